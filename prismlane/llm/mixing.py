@@ -28,7 +28,7 @@ from . import store
 
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST = (5, 2, 1), 3, 2, 2
 BLOCK, SHARD_SLOTS, BUCKETS, ROUNDS, SEED = 128, 4096, 4096, 16, 20260
-CHUNK = 4096
+CHUNK, DRAWS_A_TASK = 1024, 1 << 16
 _P = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,7 +80,9 @@ def draws(src: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
     s = s.withColumn("from_", F.coalesce(F.sum("d").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("all_", F.sum("d").over(W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).where("d > 0")
     s = s.select("sid", "n", "full", "rest", "tail", "short_at", "d", "from_", "all_", F.explode(F.expr(f"sequence(0L, (d - 1) div {CHUNK})")).alias("chunk"))
-    s = s.repartition("sid", "chunk")  # many chunks a source: a source's draws are made on many tasks
+    # a source's draws are made on many tasks; the number is stated because a chunk's few bytes grow to CHUNK draws after the exchange
+    total = src.agg(F.sum("size")).first()[0] or 0
+    s = s.repartition(max(1, -(-MOST * total // (block * DRAWS_A_TASK))), "sid", "chunk")
     s = s.withColumn("i", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(d, (chunk + 1) * {CHUNK}) - 1)")))
     s = s.withColumn("e", F.expr("i div n")).withColumn("k", F.expr("i % n"))
     s = s.withColumn("block", shuffled(F.col("k"), F.col("n"), stream(F.col("e"))))
@@ -124,7 +126,7 @@ def usage(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     src = store.stash(sources(sized, block=block), "sources")
     used = draws(src, block).select("sid", "block", "words")
     part = pieces(packed(sized, src), block)
-    part = part.join(used, ["sid", "block"], "left")
+    part = part.join(used.hint("merge"), ["sid", "block"], "left")  # both sides grow with the words
     took = F.greatest(F.lit(0), F.least(F.coalesce("words", F.lit(0)) - F.col("first"), F.col("n")))  # an undrawn block has no words
     taken = part.groupBy("sid", "at", "doc_id", "size").agg(F.sum(took).cast("long").alias("taken"))
     named = src.select("sid", "source", F.col("size").alias("source_size"), "target")
@@ -138,7 +140,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     """The mix itself: shard, slot, first (place in the block), source, doc_id, n_words, text; order by slot, first to read it."""
     docs = store.stash(docs.select("doc_id", "source", "text", n_words("text").alias("size")), "sized")
     src = store.stash(sources(docs, block=block), "sources")
-    part = pieces(packed(docs, src), block, "text").join(draws(src, block, shard_slots), ["sid", "block"]).where("first < words")
+    part = pieces(packed(docs, src), block, "text").join(draws(src, block, shard_slots).hint("merge"), ["sid", "block"]).where("first < words")
     n = F.least(F.col("n"), F.col("words") - F.col("first"))
     cut = F.when(n < F.col("n"), F.array_join(F.slice(F.split("text", " "), F.lit(1), n.cast("int")), " ")).otherwise(F.col("text"))
     return part.select("shard", "slot", "first", "source", "doc_id", F.col("skip").alias("first_word"), n.alias("n_words"), cut.alias("text"))

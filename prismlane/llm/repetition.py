@@ -1,7 +1,8 @@
 """Repetition coverage: characters inside duplicated n-grams and lines, by rolling hashes of several lengths.
 
 Words are runs of bytes other than space and \\x09-\\x0D, case kept. For each n in GRAMS the words covered by an n-word window
-that occurs twice or more in the text are marked, and their code points divided by those of all words. Lines are cut at \\n.
+that stood in the text before are marked, and their code points divided by those of all words; so a text said twice has a share
+of one half. The base rule counts the first occurrence too. Lines are cut at \\n.
 A null or empty text has no words: all counts 0, all shares 0.0 and it fails the base rule. Whole texts are read; a text is
 judged on its own, so repeated rows get equal results and no data are exchanged. Other columns of the input pass through.
 """
@@ -17,8 +18,8 @@ from . import store, textkit as tk
 store.by_value(tk.__name__)
 store.by_value(__name__)
 
-#: Largest share of a text's word characters that windows found twice may cover, by window length in words.
-GRAMS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+#: Largest share of a text's word characters that windows found before may cover, by window length in words.
+GRAMS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
 MAX_DUP_LINE_CHARS = 0.30
 MAX_DUP_LINES = 0.50
 MIN_WORDS, BASE_PERCENT, BASE_WINDOW = 20, 30, 8
@@ -57,13 +58,13 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     bad = (out["dup_line_chars"] > MAX_DUP_LINE_CHARS) | (out["n_dup_lines"] > MAX_DUP_LINES * np.maximum(n_lines, 1))
     for k, most in GRAMS.items():
         first, value = tk.windows(hashes, row, k)
-        twice, _ = tk.repeated(tk.salted(value, row[first]))
-        inside = tk.covered(first[twice], k, len(row))
+        twice, later = tk.repeated(tk.salted(value, row[first]))
+        inside = tk.covered(first[later], k, len(row))
         share = np.bincount(row[inside], weights=size[inside], minlength=n) / np.maximum(chars, 1)
         out[f"dup_{k}_gram_chars"] = share
         bad |= share > most
         if k == BASE_WINDOW:
-            out["n_repeat_words"] = np.bincount(row[inside], minlength=n)
+            out["n_repeat_words"] = np.bincount(row[tk.covered(first[twice], k, len(row))], minlength=n)
     out["base_failed"] = (count < MIN_WORDS) | (100 * out["n_repeat_words"] > BASE_PERCENT * count)
     out["kept"] = ~out["base_failed"] & ~bad
     return out

@@ -15,6 +15,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -66,7 +67,7 @@ def ranked(codes: np.ndarray, most: int) -> np.ndarray:
 def _counted(batches):
     for batch in batches:
         for lang in sorted(set(batch.column("lang").to_pylist())):
-            texts = batch.filter(pa.compute.equal(batch.column("lang"), lang)).column("text").to_pylist()
+            texts = batch.filter(pc.equal(batch.column("lang"), lang)).column("text").to_pylist()
             for k in range(0, len(texts), 64):
                 codes, n = np.unique(np.concatenate([grams(t) for t in texts[k : k + 64]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])

@@ -162,7 +162,8 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     share = mine.groupBy("y").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     mine = mine.join(share, "y").where(u < F.col("share")).select("doc_id", "y")
-    return docs.select("doc_id", "text").join(mine, "doc_id").select("y", "text")
+    # about 2 * sample ids by construction: small enough to send to the texts, which then aren't exchanged
+    return docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").select("y", "text")
 
 
 def learn(train: DataFrame) -> tuple[dict[str, float], dict[str, float], list[int]]:

@@ -27,3 +27,14 @@ def without_clashes(df: DataFrame, name: str, order: list, out: str = "file") ->
     k = F.row_number().over(W.partitionBy(name).orderBy(*order)) - 1
     stem, ext = F.regexp_replace(F.col(name), r"\.[^.]*$", ""), F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
     return df.withColumn("k_", k).withColumn(out, F.when(F.col("k_") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("k_").cast("string"), ext))).drop("k_")
+
+
+def detail_slug(reason: Column, details: dict[str, Column]) -> Column:
+    """reason__key-value__key-value, keys sorted, odd characters as underscores."""
+    parts = [F.concat(F.lit(f"{k}-"), F.regexp_replace(v.cast("string"), "[^A-Za-z0-9_.-]", "_")) for k, v in sorted(details.items())]
+    return F.concat_ws("__", slug(reason), *parts)
+
+
+def in_root(video: Column, file: Column) -> Column:
+    """The name of a selected file in the common folder."""
+    return F.concat_ws("__", F.regexp_replace(F.regexp_extract(video, r"([^/]*)$", 1), r"\.[^.]*$", ""), file)

@@ -70,6 +70,42 @@ def framing_gate(face_w: Column, face_h: Column, width: Column, height: Column)
     return F.when(F.least(face_w, face_h) / F.least(width, height) < 0.12, "face_too_small").when(~(face_w / face_h).between(0.6, 1.8), "face_aspect_weird")
 
 
+def original_gate(c: dict[str, Column], person: bool = True, face: bool = False, indoor_face: bool = True, scenery: bool = True, either: bool = True, min_person: float = 0.05, min_face: float = 0.02, min_sharpness: float = 50.0, min_aesthetic: float = 0.0) -> Column:
+    """The first cascade: person, face, scene or subject, blur with the subject's own sharpness, aesthetic; null if all pass.
+
+    c: outdoor, scenic (booleans), person_areas, face_areas, roi_sharpness (arrays), sharpness_var, aesthetic, plain_aesthetic.
+    """
+    none = lambda a: F.size(a) == 0
+    outdoor = c["outdoor"]
+    must = F.lit(face) | (F.lit(indoor_face) & ~outdoor)
+    person_on = F.lit(person) & ~(F.lit(scenery) & outdoor)
+    label = F.when(F.lit(indoor_face) & ~outdoor, "indoor_no_face").otherwise("no_face")
+    sharp = (~none(c["roi_sharpness"]) & (F.array_max(c["roi_sharpness"]) >= min_sharpness)) | (c["sharpness_var"] >= min_sharpness)
+    excused = F.lit(scenery) & outdoor & c["scenic"] & (c["plain_aesthetic"] >= min_aesthetic)
+    return (
+        F.when(person_on & none(c["person_areas"]), "no_person").when(person_on & (F.array_max(c["person_areas"]) < min_person), "person_small")
+        .when(must & none(c["face_areas"]), label).when(must & (F.array_max(c["face_areas"]) < min_face), "face_small")
+        .when(F.lit(either) & none(c["person_areas"]) & none(c["face_areas"]) & ~c["scenic"], "no_scene_no_person")
+        .when(~sharp & ~excused, "blur").when(c["aesthetic"] < min_aesthetic, "low_aesthetic")
+    )
+
+
+def scenic(outdoor: Column, brightness: Column, edges: Column, saturation: Column, least_edges: float = 0.015) -> Column:
+    return outdoor | ((brightness >= 0.12) & (edges >= least_edges) & (saturation >= 0.12))
+
+
+def outdoors(sky: Column, green: Column) -> Column:
+    return (sky > 0.06) | (green > 0.12)
+
+
+def capped_size(width: Column, height: Column, cap: int) -> dict[str, Column]:
+    """The size with the long edge capped, the scale, and the resolution floors at that scale."""
+    long_edge = F.greatest(width, height)
+    scale = F.when(long_edge > cap, cap / long_edge).otherwise(1.0)
+    size = lambda x: F.greatest(F.lit(1), F.bround(x * scale).cast("int"))
+    return {"scale": scale, "new_w": size(width), "new_h": size(height), "min_edge": F.greatest(F.lit(1.0), MIN_LONG_EDGE * scale), "min_pixels": F.greatest(F.lit(10.0), MIN_PIXELS * scale * scale)}
+
+
 def decision(c: dict[str, Column], require_face: bool = True, faceless: bool = True, scenic_only: bool = True, min_area: float = 0.02, min_y: float = 0.05, min_aesthetic: float = 0.0, min_tech: float = MIN_TECH) -> Column:
     """Why a frame is dropped, or 'kept'; the tests stand in the order in which they run.
 
@@ -79,6 +115,8 @@ def decision(c: dict[str, Column], require_face: bool = True, faceless: bool = T
     run_face = c["skin"] >= 0.05
     has = run_face & (c["num_faces"] > 0)
     sure = has & (c["face_conf"] >= 0.3)
+    if "secondary_face" in c:  # a second detector vouches for a face
+        sure, has = sure | c["secondary_face"], has | (c["secondary_face"] & F.lit(require_face))
     empty = F.lit(require_face) & ~sure
     no_face = empty & F.lit(not faceless)
     busy = empty & F.lit(scenic_only) & (((c["skin"] > 0.05) & (c["motion"] > 2.0)) | (c["person_ratio"] > 0.05))

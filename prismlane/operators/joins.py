@@ -60,6 +60,36 @@ def similar_pairs(left: DataFrame, right: DataFrame, key: list[str], lv: str, rv
     return left.join(right, key).withColumn("sim", V.dot(F.col(lv), F.col(rv))).where(F.col("sim") >= least)
 
 
+def top_similar(rows: DataFrame, queries: DataFrame, ids: str, vec: str, k: int, block: int = 2048) -> DataFrame:
+    """query_id, ids, sim, rank: the k nearest rows of each query by dot product, itself left out, ties to the smaller id.
+
+    Rows and queries meet in blocks of `block`; each pair of blocks gives k rows a query at most, so what is sorted per query is k
+    times the number of row blocks, not the number of rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    place = F.floor(F.col(ids) / F.lit(float(block))).alias("block_")
+    a = rows.groupBy(place).agg(F.collect_list(ids).alias("ra_"), F.collect_list(V.doubles(F.col(vec))).alias("va_")).withColumnRenamed("block_", "rows_")
+    q = queries.groupBy(F.pmod(F.xxhash64(ids), F.lit(max(1, -(-queries.count() // block)))).alias("block_")).agg(F.collect_list(ids).alias("rb_"), F.collect_list(V.doubles(F.col(vec))).alias("vb_"))
+    n = max(1, -(-queries.count() // block))
+    pairs = a.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(q, "block_").select("ra_", "va_", "rb_", "vb_")
+
+    def best(batches):
+        for pdf in batches:
+            for ra, va, rb, vb in pdf.itertuples(index=False, name=None):
+                ra, rb = np.asarray(ra), np.asarray(rb)
+                sims = np.round(np.stack(vb) @ np.stack(va).T, 6)
+                sims[rb[:, None] == ra[None, :]] = -np.inf
+                for i in range(len(rb)):
+                    top = np.lexsort((ra, -sims[i]))[:k]
+                    top = top[sims[i, top] > -np.inf]
+                    yield pd.DataFrame({"query_id": rb[i], ids: ra[top], "sim": sims[i, top]})
+
+    found = pairs.mapInPandas(best, f"query_id long, {ids} long, sim double")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), ids))).where(F.col("rank") <= k)
+
+
 def not_in_index(candidates: DataFrame, index: DataFrame, key: list[str], vec: str, threshold: float) -> DataFrame:
     """Candidates further than threshold from every index vector of the same key."""
     i = index.select(*key, F.col(vec).alias("iv_"))

@@ -124,3 +124,24 @@ def ranked(df: DataFrame, keys: list[str], order: list, out: str = "rank") -> Da
 def keep_budget(seconds: Column, per_image: float, cap: float | None = None) -> Column:
     usable = F.least(seconds, F.lit(float(cap))) if cap else seconds
     return F.greatest(F.lit(1), F.floor(usable / F.lit(float(per_image))).cast("int"))
+
+
+def detect_schedule(df: DataFrame, key: str, index: str, every: int, live: str | None = None) -> DataFrame:
+    """Adds `detect`: every k-th sample of a video, and samples without a live track."""
+    k = F.row_number().over(W.partitionBy(key).orderBy(index)) - 1
+    on = k % max(1, every) == 0
+    return df.withColumn("detect", on if live is None else on | ~F.col(live))
+
+
+def seek_sample(videos: DataFrame, key: str, frames: str, fps: str, start: float, stride: float, most: float | None = None) -> DataFrame:
+    """Frame numbers from start on, every stride seconds, before `most` seconds; rounding is half to even."""
+    step = F.greatest(F.lit(1), F.bround(F.col(fps) * stride).cast("int"))
+    first = F.least(F.col(frames), F.bround(F.col(fps) * start).cast("int"))
+    out = videos.where(first < F.col(frames)).select(key, F.col(fps).alias("fps_"), F.explode(F.sequence(first, F.col(frames) - 1, step)).alias("frame_index"))
+    out = out.withColumn("timestamp_sec", F.col("frame_index") / F.col("fps_")).drop("fps_")
+    return out if most is None else out.where(F.col("timestamp_sec") < most)
+
+
+def largest_boxes(df: DataFrame, keys: list[str], width: str, height: str, most: int, ids: str) -> DataFrame:
+    area = F.col(width) * F.col(height)
+    return ranked(df, keys, [area.desc(), ids]).where(F.col("rank") <= most)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from prismlane.plans import queries_folds, queries_joins, queries_ordered, queries_scores, queries_tables
+from prismlane.plans import queries_folds, queries_joins, queries_more, queries_ordered, queries_scores, queries_tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (queries_scores, queries_ordered, queries_joins, queries_folds, queries_tables):
+for _part in (queries_scores, queries_ordered, queries_joins, queries_folds, queries_tables, queries_more):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.SQL

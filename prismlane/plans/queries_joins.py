@@ -35,14 +35,9 @@ def iou_pairs(spark, d):
 
 
 def cosine_topk(spark, d):
-    """The three nearest of all vectors for each query row (ids divisible by 50); queries go in blocks, as arrays, to every row."""
-    e = load(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    blocks = q.groupBy((F.floor(F.col("query_id") / 50 / 64)).alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    n = blocks.count()
-    s = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))).join(blocks, "block").select("vec_id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), V.dot(F.col("v"), x["qv"]).alias("sim")))).alias("r")).select("vec_id", "r.*")
-    s = s.where("vec_id <> query_id").withColumn("sim", F.round("sim", 6))
-    top = s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))).where("rank <= 3")
+    """The three nearest of all vectors for each query row (ids divisible by 50), rows and queries in blocks."""
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
+    top = J.top_similar(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 3)
     return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "sim")
 
 

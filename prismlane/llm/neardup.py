@@ -5,10 +5,12 @@ null has the empty set and links to nothing. Texts with equal sets form one clas
 REGISTERS 16-bit registers (6 bits of leading zeros, 10 bits of mantissa of the least hash in the bucket; empty buckets borrow
 from others by fixed permutations), cut into BANDS bands. Classes that share a band are candidates.
 
-Within a bucket candidates are not paired with each other: all are held against one pivot, links are joined to components, and
-only classes of a bucket that are still in different components are held against a further pivot; what PIVOT_ROUNDS pivots left
-apart is then compared once each. So a group of n near copies costs about n comparisons a bucket, and no link that could join
-two components goes unchecked. Estimates below a five-sigma margin end a pair; all others are confirmed on the full sets.
+Within a bucket candidates are not paired with each other: all are held against one pivot and links are joined to components. For
+classes of buckets that still hold different components it is then counted, over all of them, how many items of each set occur in
+no other; a set with more than a quarter of such items can't link to any, nor can a pair whose shared items can't suffice. What is
+left is held against the member with the fewest items of its own, PIVOT_ROUNDS times; classes that are still in different components
+of a bucket are at last compared in blocks, where only links come out. So a group of n near copies costs about n rows a bucket, and no
+link that could join two components goes unchecked. Estimates below a five-sigma margin end a pair; all others are confirmed on the full sets.
 
 Ties and repeated rows: rows with equal text share a class and get equal results. A null doc_id takes part; component_id is the
 least non-null doc_id of the component (null if it has none). kept is doc_id <=> component_id. An empty table gives no rows.
@@ -30,7 +32,8 @@ SHINGLE, PERCENT = 5, 75
 REGISTERS, MANTISSA, BANDS, ROWS = 128, 10, 32, 4
 #: An estimate's standard error at 0.75 is 0.038; sets of fewer than SMALL shingles are always confirmed exactly.
 LEAST_ESTIMATE, SMALL = 0.56, 256
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
+COMPARE = 512  # classes in a block of the last comparison
 _SHIFT = np.uint64(57)
 _BORROW = np.argsort(tk._spread(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -99,13 +102,9 @@ def _bands(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = regs[:, :, 0]
-        for k in range(1, ROWS):
-            key = (key << np.uint64(16)) | regs[:, :, k]
-        key = tk._spread(tk._spread(key) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = _keys(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16))
         take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column("cls").take(take)], names=["band", "cls"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("cls").take(take)], names=["band", "cls"])
 
 
 def _estimated(batches):
@@ -182,33 +181,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).where("c > 1").select("band", "pivot")
     members = store.stash(bands.join(shared, "band"), "members")  # only buckets of two or more
 
-    tested = edges = comp = None
+    pairs = store.stash(_ordered(members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))), "pairs")
+    tested, edges = pairs, confirm(classes, pairs, texts=docs)
+    comp = components(edges)
+    left = central = sets = None
     for turn in range(PIVOT_ROUNDS + 1):
-        if turn == 0:
-            pairs = members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-        else:
-            here = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
-            apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp")).alias("p"), F.count("*").alias("c")).where("lo <> hi and c > 2")
-            here = here.join(apart.select("band", F.col("p.cls").alias("pivot"), F.col("p.comp").alias("pcomp")), "band")
-            if turn == PIVOT_ROUNDS:  # the rest: members of different components, each pair of one bucket once
-                here = store.stash(here, "apart")
-                pairs = here.alias("x").join(here.alias("y"), F.expr("x.band = y.band and x.comp <> y.comp and x.cls < y.cls")).selectExpr("x.cls as a", "y.cls as b")
-            else:
-                pairs = here.where("comp <> pcomp").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store.stash(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0:
+        here = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
+        if left is None:
+            apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
+            left = store.stash(here.join(apart.select("band"), "band", "left_semi").select("cls").distinct(), "left")
+            if left.isEmpty():
                 break
-            continue
-        found = confirm(docs, classes, pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges)
-    if edges is None:
-        comp = rows.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0)
+            sets = sets_of(docs, classes, left)
+            central = store.stash(shared_items(sets, classes), "central")
+        here = here.join(central, "cls")
+        apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "cls", "comp", "n", "common")).alias("p")).where("lo <> hi")
+        here = here.join(apart.select("band", "c", "p"), "band")
+        if turn < PIVOT_ROUNDS:
+            pairs = here.where(f"comp <> p.comp and {_can('p', None)}").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
+            pairs = store.stash(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                continue
+            tested, found = tested.union(pairs), confirm(classes, pairs, sets=sets)
+        else:
+            found = store.stash(compare_blocks(here, classes, sets), "links")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            comp = components(edges)
     named = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("cls", "component_id")
@@ -217,19 +216,93 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have a Jaccard similarity of PERCENT or more."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a binary, b binary")
-    likely = store.stash(likely, "likely")
-    ids = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
-    reps = ids.join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("rep")).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _can(x: str, y: str | None) -> str:
+    """Whether two sets, of which at most `common` items are elsewhere too, can have the similarity asked for."""
+    y = f"{y}." if y else ""
+    return f"{100 + PERCENT} * least({x}.common, {y}common) >= {PERCENT} * ({x}.n + {y}n)"
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cls, items) for the classes in ids, made again from one text of each."""
+    reps = ids.join(classes.select("cls", "rep"), "cls").select("rep").distinct()
     texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.mapInArrow(_sets, "cls binary, items binary").groupBy("cls").agg(F.first("items").alias("items"))
-    sets = store.stash(sets, "sets")
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("items").alias(f"s{x}"))
+    return store.stash(texts.mapInArrow(_sets, "cls binary, items binary").groupBy("cls").agg(F.first("items").alias("items")), "sets")
+
+
+def _items(batches):
+    for batch in batches:
+        cut = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]
+        take = pa.array(np.repeat(np.arange(len(cut)), [len(x) for x in cut]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), batch.column("cls").take(take)], names=["item", "cls"])
+
+
+def shared_items(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n, common): the size of each set and how many of its items another of these sets has too.
+
+    Items that no other set has can't be in an intersection; a class with too many of them links to none of the others.
+    """
+    own = sets.mapInArrow(_items, "item long, cls binary").groupBy("item").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("own"))
+    sizes = classes.select("cls", "n").join(sets.select("cls"), "cls")
+    return sizes.join(own, "cls", "left").select("cls", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(f"100 * common >= {PERCENT} * n")
+
+
+def _keys(regs: np.ndarray) -> np.ndarray:
+    """The band keys of sketches, a row each."""
+    regs = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = regs[:, :, 0]
+    for k in range(1, ROWS):
+        key = (key << np.uint64(16)) | regs[:, :, k]
+    return tk._spread(tk._spread(key) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _linked(key, table):
+    """Links between the classes of two blocks of one band, of different components; a pair counts in the first band that it shares."""
+    band, i, j = (x.as_py() for x in key)
+    block = table.column("block").to_numpy()
+    n, common = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "common"))
+    names, comps = table.column("cls").to_pylist(), table.column("comp").to_pylist()
+    number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([number[c] for c in comps])
+    keys = _keys(np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+    left, right, out = np.flatnonzero(block == i), np.flatnonzero(block == j), []
+    for x in left:
+        y = right[comp[right] != comp[x]] if i != j else right[(right > x) & (comp[right] != comp[x])]
+        y = y[(100 + PERCENT) * np.minimum(common[y], common[x]) >= PERCENT * (n[y] + n[x])]
+        if not len(y):
+            continue
+        same = keys[y] == keys[x]
+        y = y[keys[x][same.argmax(axis=1)] == band]
+        for z in y:
+            at = np.searchsorted(sets[z], sets[x])
+            both = int((sets[z][np.minimum(at, len(sets[z]) - 1)] == sets[x]).sum())
+            if 100 * both >= PERCENT * (len(sets[x]) + len(sets[z]) - both):
+                out.append((names[x], names[z]))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
+
+
+def compare_blocks(here: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (a, b) between different components of one band: its classes are dealt to blocks of about COMPARE, pairs of blocks are
+    compared in one task each, and only links come out."""
+    here = here.withColumn("blocks", F.expr(f"(c + {COMPARE - 1}) div {COMPARE}")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    rows = here.select("band", "cls", "comp", "n", "common", "block", "blocks").join(classes.select("cls", "regs"), "cls").join(sets, "cls")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    return rows.groupBy("band", "i", "j").applyInArrow(_linked, "a binary, b binary")
+
+
+def confirm(classes: DataFrame, pairs: DataFrame, texts: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets have a Jaccard similarity of PERCENT or more; sets are made from texts if not given."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    likely = store.stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a binary, b binary"), "likely")
+    mine = sets if sets is not None else sets_of(texts, classes, likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct())
+    side = lambda x: mine.select(F.col("cls").alias(x), F.col("items").alias(f"s{x}"))
     out = store.stash(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed, "a binary, b binary"), "links")
-    store.discard(likely, sets)
+    store.discard(likely, *([mine] if sets is None else []))
     return out
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def encode(vocabulary: np.ndarray):
 def sequences(batch: pa.RecordBatch, limit: int = 1 << 18):
     """(first row, ids, offsets) over a batch, in slices of about `limit` words."""
     col = batch.column("ids")
-    size = pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    size = pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64) // 4
     off = np.concatenate([[0], np.cumsum(size)])
     for i, j in tk.slices(off, limit):
         yield i, np.frombuffer(b"".join(col.slice(i, j - i).to_pylist()), np.uint32).astype(np.int64), off[i : j + 1] - off[i]
@@ -255,42 +256,74 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     basis = latent_basis(coded, weight, query)
     target = (query @ basis).astype(np.float32)
     target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)
-    longest = max(x.size for x in items)
-
-    def verify(item: Item, near: list[int]) -> float:
-        lcs = longest_common(item.masks, item.size, near) / item.size
-        if lcs < (LEAST_LCS if item.size >= SHORT else 0.95):
+    keys = [{w: item.answer.count(w) for w in item.answer} if item.answer is not None else item.keys for item in items]
+    enough = np.array([LEAST_KEYS * sum(k.values()) for k in keys])
+    codes = np.array(sorted((k * width + w - 1, v) for k, x in enumerate(keys) for w, v in x.items()))
+    codes, values = codes[:, 0].astype(np.int64), codes[:, 1]
+    reach = np.array([max(WINDOW, item.size) for item in items])
+
+    def verify(k: int, near: list[int]) -> float:
+        item, there = items[k], set(near)
+        if sum(v for w, v in keys[k].items() if w in there) < enough[k]:
             return 0.0
-        there = set(near)
-        if item.answer is not None:
-            return lcs if sum(w in there for w in item.answer) >= LEAST_KEYS * len(item.answer) else 0.0
-        return lcs if sum(v for w, v in item.keys.items() if w in there) >= LEAST_KEYS * sum(item.keys.values()) else 0.0
+        lcs = longest_common(item.masks, item.size, near) / item.size
+        return lcs if lcs >= (LEAST_LCS if item.size >= SHORT else 0.95) else 0.0
 
     def search(batches):
+        dense = None
+        if len(items) * width <= 1 << 24:
+            dense = np.zeros(len(items) * width, dtype=np.float32)
+            dense[codes] = values
+
+        def weight_there(p: np.ndarray, k: np.ndarray, begin: np.ndarray, term: np.ndarray) -> np.ndarray:
+            """The weight of item k's key terms in passage p, for each pair."""
+            n = begin[p + 1] - begin[p]
+            some = np.flatnonzero(n > 0)
+            out = np.zeros(len(p))
+            if len(some):
+                n = n[some]
+                first = np.cumsum(n) - n
+                at = np.arange(n.sum()) - np.repeat(first - begin[p[some]], n)
+                code = np.repeat(k[some] * width, n) + term[at]
+                if dense is not None:
+                    got = dense[code]
+                else:
+                    place_ = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                    got = np.where(codes[place_] == code, values[place_], 0.0)
+                out[some] = np.add.reduceat(got, first)
+            return out
+
         for batch in batches:
             best: list[tuple | None] = [None] * batch.num_rows
             for i0, ids, off in sequences(batch):
-                done: dict[tuple[int, int], set] = {}
                 for shift in (0, WINDOW // 2):
-                    p, t, tf, prow, at = passages(ids, off, shift, width)
-                    p, first, t, w = vectors(p, t, tf, weight)
-                    for a in range(0, len(p), 4096):
-                        b = min(len(p), a + 4096)
+                    p0, t0, tf, prow, at = passages(ids, off, shift, width)
+                    begin = np.searchsorted(p0, np.arange(len(prow) + 1))
+                    p, first, t, w = vectors(p0, t0, tf, weight)
+                    for a in range(0, len(p), 2048):
+                        b = min(len(p), a + 2048)
                         lo, hi = first[a], first[b] if b < len(p) else len(t)
                         x = np.add.reduceat(basis[t[lo:hi]] * w[lo:hi, None].astype(np.float32), first[a:b] - lo, axis=0)
                         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                         cos = x @ target.T
-                        for r, k in zip(*np.nonzero(cos >= LEAST_COSINE)):
-                            row, start = int(prow[p[a + r]]), int(at[p[a + r]])
-                            item, c = items[k], float(cos[r, k])
+                        r, k = np.nonzero(cos >= LEAST_COSINE)
+                        pp = p[a + r]
+                        # no more key weight can be near than in the passages around: a bound that only ends what verify() would
+                        most = weight_there(pp, k, begin, t0)
+                        for d in range(1, int(-(-reach.max() // WINDOW)) + 1):
+                            for q in (pp - d, pp + d):
+                                ok = np.flatnonzero((q >= 0) & (q < len(prow)) & (d <= -(-reach[k] // WINDOW)) & (most < enough[k]))
+                                ok = ok[prow[q[ok]] == prow[pp[ok]]]
+                                most[ok] += weight_there(q[ok], k[ok], begin, t0)
+                        for j in np.flatnonzero(most >= enough[k] * (1 - 1e-5)):
+                            row, start, kk, c = int(prow[pp[j]]), int(at[pp[j]]), int(k[j]), float(cos[r[j], k[j]])
                             old = best[i0 + row]
-                            if old is not None and (old[0], -old[3]) >= (c, -k):
+                            if old is not None and (old[0], -old[3]) >= (c, -kk):
                                 continue
-                            reach = max(WINDOW // 2, item.size)
-                            near = ids[off[row] + max(0, start - reach) : min(off[row + 1], off[row] + start + WINDOW + reach)]
-                            got = verify(item, near[near > 0].tolist())
+                            near = ids[off[row] + max(0, start - reach[kk]) : min(off[row + 1], off[row] + start + WINDOW + reach[kk])]
+                            got = verify(kk, near[near > 0].tolist())
                             if got:
-                                best[i0 + row] = (c, got, item.id, int(k))
+                                best[i0 + row] = (c, got, items[kk].id, kk)
             hit = [x is not None for x in best]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(hit, pa.bool_()), pa.array([not x for x in hit], pa.bool_()), pa.array([x and x[2] for x in best], pa.int64()), pa.array([x[0] if x else 0.0 for x in best], pa.float64()), pa.array([x[1] if x else 0.0 for x in best], pa.float64())],

@@ -26,21 +26,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.drop(n_lines, n_dropped)
 
 
+def _rows(docs: DataFrame, these: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose doc_id and text_hash are in `these` (left_semi) or not (left_anti)."""
+    key, mark = store.free_name("these_id", docs.columns), store.free_name("these_hash", docs.columns)
+    these = these.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct()
+    return docs.join(these, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(mark)), how)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one with the least doc_id; of rows that repeat it, one."""
-    found = neardup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct()
-    key = store.free_name("gone_", docs.columns)
-    left = docs.join(gone.withColumnRenamed("gone_", key), docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    found = store.stash(neardup.near_duplicates(docs), "near")
+    left = _rows(docs, found.where(~F.col("kept")), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return left
+    return _rows(left, again, "left_anti").union(_rows(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage of the benchmark."""
     found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    key = store.free_name("gone_", docs.columns)
-    gone = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+    return _rows(docs, found.where("contaminated"), "left_anti")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

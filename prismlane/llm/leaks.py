@@ -9,10 +9,10 @@ sequence of its vocabulary numbers (0 for other words), kept in the shared folde
    in the basis. An orthonormal basis of that product, refined by the Gram matrix of the projections, is the latent space.
 3. Each passage, at a stride of half a window, is held against all benchmark items by cosine, in blocks.
 4. A candidate counts if the longest common subsequence of item and neighbourhood covers LEAST_LCS of the item's words and
-   LEAST_KEYS of the IDF weight of its key terms are there (`answer` words instead, where the benchmark has such a column and it
+   LEAST_KEYS of the IDF weight of its terms are there (LEAST_KEYS of the `answer` words instead, where the benchmark has such a column and it
    isn't null); an item of under SHORT words must be there almost whole.
 
-Terms on more than COMMON of all passages are left out of the vectors (each item keeps its KEYS rarest terms); they still count in
+Terms on more than COMMON of all passages are left out of the vectors (each item keeps the rarer half of its own); they still count in
 the subsequence. An item or text that is null or has no words matches nothing. The benchmark is collected in blocks of at most
 ITEMS items, each block a pass, so what is broadcast is bounded. Every row of docs gives one row; repeated rows agree; ties
 between items go to the higher cosine, then the smaller item_id. Empty tables: no rows, or all rows clean.
@@ -65,7 +65,7 @@ def encode(vocabulary: np.ndarray):
                 at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                 ids = np.where(vocabulary[at] == hashes, at + 1, 0).astype(np.uint32)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")), pa.array([ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "text_hash", "ids"])
 
     return run
 
@@ -199,12 +199,13 @@ def latent_basis(coded: DataFrame, idf: np.ndarray, query: np.ndarray) -> np.nda
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, contaminated, kept, item_id, cosine, lcs for each row of docs (null item_id, 0.0 and 0.0 for clean ones)."""
+    """doc_id, text_hash (xxhash64 of the text), contaminated, kept, item_id, cosine, lcs for each row of docs (null item_id, 0.0 and 0.0
+    for clean ones)."""
     n = benchmark.count()
     blocks = max(1, -(-n // ITEMS))
     has_answer = "answer" in benchmark.columns
     items = benchmark.select("item_id", "text", (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer"))
-    docs = docs.select("doc_id", F.col(text).alias("text"))
+    docs = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     out = None
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -214,8 +215,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 
 def _better(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Of two results for the same rows the stronger; rows meet by doc_id and place among equal ids."""
-    return a.unionByName(b).groupBy("doc_id").agg(F.max_by(F.struct("contaminated", "kept", "item_id", "cosine", "lcs"), F.struct("contaminated", "cosine", -F.col("item_id"))).alias("r")).select("doc_id", "r.*")
+    """Of two results for the same rows the stronger; rows of equal doc_id and text become one."""
+    return a.unionByName(b).groupBy("doc_id", "text_hash").agg(F.max_by(F.struct("contaminated", "kept", "item_id", "cosine", "lcs"), F.struct("contaminated", "cosine", -F.col("item_id"))).alias("r")).select("doc_id", "text_hash", "r.*")
 
 
 def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
@@ -227,13 +228,13 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
 
     rows = [(i, coded_item(t), coded_item(a) if a else None) for i, t, a in rows]
     rows = [r for r in rows if len(r[1])]
-    clean = docs.select("doc_id", F.lit(False).alias("contaminated"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs"))
+    clean = docs.select("doc_id", "text_hash", F.lit(False).alias("contaminated"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs"))
     if not rows:
         return clean
     vocabulary = np.unique(np.concatenate([np.concatenate([h, a]) if a is not None else h for _, h, a in rows]))
     width = len(vocabulary)
     place = lambda h: np.searchsorted(vocabulary, h)
-    coded = store.stash(docs.mapInArrow(encode(vocabulary), f"doc_id {kind}, ids binary"), "coded")
+    coded = store.stash(docs.mapInArrow(encode(vocabulary), f"doc_id {kind}, text_hash long, ids binary"), "coded")
     df, total = frequencies(coded, width)
     idf = np.log((total + 1) / (df + 1))
     full_idf = np.maximum(idf, 1e-3)
@@ -241,14 +242,13 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     items, query = [], np.zeros((len(rows), width), dtype=np.float64)
     for _, h, _ in rows:
         ids = np.unique(place(h))
-        wanted[ids[np.argsort(df[ids], kind="stable")[:KEYS]]] = True
+        wanted[ids[np.argsort(df[ids], kind="stable")[: max(KEYS, len(ids) // 2)]]] = True
     weight = np.where(wanted, full_idf, 0.0)
     for k, (item_id, h, answer) in enumerate(rows):
         ids = place(h)
         item = Item(item_id, (ids + 1).tolist(), (place(answer) + 1).tolist() if answer is not None else None)
         seen = np.unique(ids)
-        rare = seen[np.argsort(-full_idf[seen], kind="stable")[: max(KEYS, len(seen) // 2)]]
-        item.keys = {int(x) + 1: float(full_idf[x]) for x in rare}
+        item.keys = {int(x) + 1: float(full_idf[x]) for x in seen}
         items.append(item)
         t, tf = np.unique(ids, return_counts=True)
         query[k, t] = (1 + np.log(tf)) * weight[t]
@@ -326,12 +326,12 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
                                 best[i0 + row] = (c, got, items[kk].id, kk)
             hit = [x is not None for x in best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(hit, pa.bool_()), pa.array([not x for x in hit], pa.bool_()), pa.array([x and x[2] for x in best], pa.int64()), pa.array([x[0] if x else 0.0 for x in best], pa.float64()), pa.array([x[1] if x else 0.0 for x in best], pa.float64())],
-                names=["doc_id", "contaminated", "kept", "item_id", "cosine", "lcs"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(hit, pa.bool_()), pa.array([not x for x in hit], pa.bool_()), pa.array([x and x[2] for x in best], pa.int64()), pa.array([x[0] if x else 0.0 for x in best], pa.float64()), pa.array([x[1] if x else 0.0 for x in best], pa.float64())],
+                names=["doc_id", "text_hash", "contaminated", "kept", "item_id", "cosine", "lcs"],
             )
 
-    return coded.mapInArrow(search, f"doc_id {kind}, contaminated boolean, kept boolean, item_id long, cosine double, lcs double")
+    return coded.mapInArrow(search, f"doc_id {kind}, text_hash long, contaminated boolean, kept boolean, item_id long, cosine double, lcs double")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+    return leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))).drop("text_hash")

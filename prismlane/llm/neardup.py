@@ -95,7 +95,8 @@ def _sketches(batches):
                 size.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "cls", "regs"])
+            ids = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "cls", "regs"])
 
 
 def _bands(batches):
@@ -171,10 +172,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = store.stash(docs.mapInArrow(_sketches, f"doc_id {kind}, n_shingles long, cls binary, regs binary"), "sketches")
+    rows = store.stash(docs.mapInArrow(_sketches, f"doc_id {kind}, text_hash long, n_shingles long, cls binary, regs binary"), "sketches")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = store.stash(classes, "classes")
     bands = classes.mapInArrow(_bands, "band long, cls binary")
@@ -211,9 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(named, "cls", "left")
     whole = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -307,4 +308,4 @@ def confirm(classes: DataFrame, pairs: DataFrame, texts: DataFrame | None = None
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

@@ -32,7 +32,7 @@ class ScorerRegistry:
             for s in series:
                 yield fn(s)
 
-        return F.pandas_udf(score, kind, functionType=204)(on)
+        return F.pandas_udf(score, kind)(on)
 
     def apply(self, df: DataFrame, on: str, names: list[str]) -> DataFrame:
         return df.withColumns({n: self.column(n, F.col(on)) for n in names})

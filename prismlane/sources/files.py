@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -43,9 +45,7 @@ def stored_frames(frames: DataFrame, embeddings: DataFrame, video: str, run: str
 
 
 def vector_from_bytes(df: DataFrame, col: str, out: str = "embedding") -> DataFrame:
-    """Little-endian float32 bytes as an array, by string functions: four bytes reversed, read as bits."""
-    import numpy as np
-    import pandas as pd
+    """Little-endian float32 bytes as an array."""
 
     @F.pandas_udf("array<float>")
     def read(s: pd.Series) -> pd.Series:

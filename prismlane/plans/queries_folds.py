@@ -150,4 +150,25 @@ SQL = {
     "cluster_representative": f"""with recursive {_CL}, m as (select scope, cluster_id, list(x order by p) c from (select scope, cluster_id, p, avg(v[p]) x from cl, (select unnest(range(1, 65)) p) group by scope, cluster_id, p) group by scope, cluster_id),
  s as (select cl.scope, cl.cluster_id, vec_id, round(list_dot_product(v, c) / greatest(1e-9, sqrt(list_dot_product(c, c))), 6) sim from cl join m using (scope, cluster_id)) select scope, cluster_id, vec_id from (select *, row_number() over (partition by scope, cluster_id order by sim desc, vec_id) r from s) where r = 1""",
     "vector_mean": "with m as (select label, list(x order by p) c from (select label, p, avg(embedding[p]::double) x from embeddings, (select unnest(range(1, 65)) p) group by label, p) group by label) select label, round(c[1], 6) c0, round(c[64], 6) c63, round(sqrt(list_dot_product(c, c)), 6) length from m",
+    "adaptive_sampler": f"""with recursive {_F}, r(video_id, i, nxt, rest, take) as (select video_id, 0, null::int, 0, false from (select distinct video_id from f) union all
+ select f.video_id, f.frame_index, case when k.t then f.frame_index + case when l.l > 0 then 2 else 5 end else r.nxt end, case when k.t then greatest(0, l.l - 1) else r.rest end, k.t
+ from r join f on f.video_id = r.video_id and f.frame_index = r.i + 1, lateral (select r.nxt is null or f.frame_index >= r.nxt t) k, lateral (select case when k.t and f.has_smile then 3 else r.rest end l) l) select video_id, i frame_index from r where take""",
+    "track_continuity": f"""with recursive b as materialized (select *, (event_id % 1000)::double t, row_number() over (partition by video_id order by event_id % 1000, event_id) i from ({BOXES_SQL})),
+ r(video_id, i, event_id, linked, px, py, pw, ph, seen) as (select video_id, 0::bigint, null::bigint, false, null::bigint, null::bigint, null::bigint, null::bigint, null::double from (select distinct video_id from b) union all
+ select b.video_id, b.i, b.event_id, k.ok, case when k.ok then b.x else r.px end, case when k.ok then b.y else r.py end, case when k.ok then b.w else r.pw end, case when k.ok then b.h else r.ph end, case when k.ok then b.t else r.seen end
+ from r join b on b.video_id = r.video_id and b.i = r.i + 1, lateral (select greatest(0, least(r.px + r.pw, b.x + b.w) - greatest(r.px, b.x)) * greatest(0, least(r.py + r.ph, b.y + b.h) - greatest(r.py, b.y)) a) a,
+ lateral (select r.seen is null or (b.t - r.seen <= 200 and a.a::double / (r.pw * r.ph + b.w * b.h - a.a + 1e-9) >= 3e-1) ok) k) select video_id, event_id, linked from r where i > 0""",
+    "novel_images": """with recursive o as materialized (select label scope, vec_id, embedding::double[] v, list_transform(embedding[1:64], lambda x: x > 0) h, row_number() over (partition by label order by vec_id) i from embeddings),
+ r(scope, i, s, ids) as (select scope, 0::bigint, []::struct(v double[], h boolean[])[], []::bigint[] from (select distinct scope from o) union all
+ select o.scope, o.i, case when b.dup then r.s else list_append(r.s, struct_pack(v := o.v, h := o.h)) end, case when b.dup then r.ids else list_append(r.ids, o.vec_id) end from r join o on o.scope = r.scope and o.i = r.i + 1,
+ lateral (select len(list_filter(r.s, lambda x: 1 - list_dot_product(x.v, o.v) <= 7e-1 or list_sum(list_transform(x.h, lambda y, k: (y <> o.h[k])::int)) <= 18)) > 0 dup) b)
+ select scope, unnest(ids) vec_id from (select *, row_number() over (partition by scope order by i desc) z from r) where z = 1""",
+    "final_dedup_chunks": f"""with recursive {_F}, o as materialized (select video_id, frame_index, embedding v, has_smile sm, tech_score q, floor(timestamp_sec / {7 * DAY}::double)::bigint c, row_number() over (partition by video_id order by floor(timestamp_sec / {7 * DAY}::double), frame_index) i from f),
+ r(video_id, i, c, idx, done, s) as (select video_id, 0::bigint, -1::bigint, []::double[][], []::int[], []::struct(id int, v double[], sm boolean, q double)[] from (select distinct video_id from o) union all
+ select o.video_id, o.i, o.c, n.idx, n.done, case when b.old then n.s when not b.dup then list_append(n.s, w.me) when b.take then list_transform(n.s, lambda x, ix: case when ix = j.j then w.me else x end) else n.s end
+ from r join o on o.video_id = r.video_id and o.i = r.i + 1, lateral (select case when o.c <> r.c then list_concat(r.idx, list_transform(r.s, lambda x: x.v)) else r.idx end idx, case when o.c <> r.c then list_concat(r.done, list_transform(r.s, lambda x: x.id)) else r.done end done, case when o.c <> r.c then r.s[1:0] else r.s end s) n,
+ lateral (select struct_pack(id := o.frame_index, v := o.v, sm := o.sm, q := o.q) me, list_transform(n.s, lambda x: list_dot_product(x.v, o.v)) sims) w, lateral (select list_position(w.sims, list_max(w.sims)) j) j,
+ lateral (select len(list_filter(n.idx, lambda x: 1 - list_dot_product(x, o.v) < {REPLACE}::double)) > 0 old, coalesce(1 - list_max(w.sims) < {REPLACE}::double, false) dup, coalesce(case when o.sm <> n.s[j.j].sm then o.sm else o.q > n.s[j.j].q end, false) take) b),
+ e as (select video_id, list_concat(done, list_transform(s, lambda x: x.id)) ids from (select *, row_number() over (partition by video_id order by i desc) z from r) where z = 1)
+ select f.video_id, f.frame_index, list_contains(e.ids, f.frame_index) kept from f join e on e.video_id = f.video_id""",
 }

@@ -60,8 +60,11 @@ def selected_mapping(spark, d):
     return ranked(s, ["ok"], ["image_id"]).select("image_id", F.concat(F.when(F.col("ok"), "out").otherwise("reject"), F.col("rank").cast("string")).alias("name"))
 
 
-def _replayed(spark, df, build, name: str):
-    """The rows that a stream over df gives: df is stored in files, read as a stream to its end, collected by a file sink."""
+def _replayed(spark, df, build, name: str, runs: int = 1):
+    """The rows that a stream over df gives: df is stored in files, read as a stream to its end, collected by a file sink.
+
+    A second run lets the watermark of the first close its windows.
+    """
     from prismlane.operators.mis import _cut
 
     root = tempfile.mkdtemp(prefix="prismlane-") if not spark.conf.get("spark.checkpoint.dir", None) else None
@@ -72,8 +75,9 @@ def _replayed(spark, df, build, name: str):
     stream = spark.readStream.schema(df.schema).parquet(path)
     out = build(stream)
     sink = f"{path}-{name}"
-    query = out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for _ in range(runs):
+        query = out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
@@ -89,7 +93,27 @@ def streamed_dedup(spark, d):
     return _replayed(spark, f, lambda s: T.lately_unseen(s, "video_id", "timestamp_sec", "embedding", "frame_index", 5 * DAY, 0.4, "video_id long, frame_index int"), "unseen")
 
 
-QUERIES = {f.__name__: f for f in (table_counts, corpus_totals, reason_cube, image_statistics, value_histogram, decision_lines, markdown_table, selected_mapping, streamed_streaks, streamed_dedup)}
+def _timed(spark, d):
+    """Frames with event times, and one far row that closes the last windows."""
+    f = frames(spark, d, vectors=False).select("video_id", "frame_index", "aesthetic", "event_id")
+    e = load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    f = f.join(e, "event_id").drop("event_id")
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("video_id"), F.lit(0).alias("frame_index"), F.lit(9.0).alias("aesthetic"), F.lit("2035-01-01").cast("timestamp").alias("ts"))
+    return f.unionByName(last)
+
+
+def streamed_best(spark, d):
+    """The first best frame of each day and video, emitted as the watermark closes the day."""
+    out = _replayed(spark, _timed(spark, d), lambda s: T.best_per_window(s, "video_id", "ts", "frame_index", "aesthetic", "1 day"), "best", runs=2)
+    return out.where("video_id >= 0").select("video_id", F.unix_micros("window_start").alias("window_us"), "frame_index")
+
+
+def streamed_sessions(spark, d):
+    out = _replayed(spark, _timed(spark, d).where("aesthetic >= 0.5"), lambda s: T.sessions(s, "video_id", "ts", "aesthetic", "6 hours"), "sessions", runs=2)
+    return out.where("video_id >= 0").select("video_id", F.unix_micros("start_ts").alias("start_us"), "hits", F.round("best_sim", 6).alias("best_sim"))
+
+
+QUERIES = {f.__name__: f for f in (table_counts, corpus_totals, reason_cube, image_statistics, value_histogram, decision_lines, markdown_table, selected_mapping, streamed_streaks, streamed_dedup, streamed_best, streamed_sessions)}
 _F = f"f as materialized ({FRAMES_SQL})"
 _n = "case when {0} is null then '{2}' else printf('%.{1}f', round(({0})::varchar::decimal(24, 12), {1})::double) end"
 SQL = {
@@ -106,4 +130,7 @@ SQL = {
  r(video_id, i, s, ids) as (select video_id, 0::bigint, []::struct(t double, v double[])[], []::int[] from (select distinct video_id from o) union all
  select o.video_id, o.i, case when b.dup then r.s else list_append(r.s, struct_pack(t := o.t, v := o.v)) end, case when b.dup then r.ids else list_append(r.ids, o.frame_index) end from r join o on o.video_id = r.video_id and o.i = r.i + 1,
  lateral (select len(list_filter(r.s, lambda x: o.t - x.t <= {5 * DAY}::double and list_dot_product(x.v, o.v) >= 4e-1)) > 0 dup) b) select video_id, unnest(ids) frame_index from (select *, row_number() over (partition by video_id order by i desc) z from r) where z = 1""",
+    "streamed_best": f"with {_F}, t as (select f.*, e.ts from f join events e using (event_id)) select video_id, epoch_us(date_trunc('day', ts)) window_us, frame_index from (select *, row_number() over (partition by video_id, date_trunc('day', ts) order by aesthetic desc, frame_index) r from t) where r = 1",
+    "streamed_sessions": f"""with {_F}, g as (select video_id, ts, aesthetic, ts - lag(ts) over (partition by video_id order by ts) > interval 6 hours brk from f join events e using (event_id) where aesthetic >= 5e-1), i as (select *, sum(coalesce(brk::int, 1)) over (partition by video_id order by ts rows unbounded preceding) isle from g)
+ select video_id, epoch_us(min(ts)) start_us, count(*) hits, round(max(aesthetic), 6) best_sim from i group by video_id, isle""",
 }

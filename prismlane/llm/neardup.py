@@ -309,3 +309,18 @@ def confirm(classes: DataFrame, pairs: DataFrame, texts: DataFrame | None = None
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP8_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') ws from documents),
+s as materialized (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < {SHINGLE} then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) end) item from w),
+n as materialized (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) n_both from s a join s b on a.item = b.item and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as materialized (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * n_both >= {PERCENT} * (a.n + b.n - n_both)),
+e as materialized (select x, y from l union all select y, x from l),
+r(doc_id, root) as (select doc_id, doc_id from n union select r.doc_id, e.y from r join e on r.root = e.x),
+c as (select doc_id, min(root) component_id from r group by doc_id)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(c.component_id, w.doc_id) component_id, coalesce(c.component_id, w.doc_id) = w.doc_id kept from w left join n on n.doc_id = w.doc_id left join c on c.doc_id = w.doc_id
+"""

@@ -21,5 +21,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
+    "op7_repetition_coverage": repetition.OP7_SQL,
+    "op8_hyperminhash": neardup.OP8_SQL,
     "op10_url_vocabulary": urlfilter.OP10_SQL,
 }

@@ -88,3 +88,34 @@ def repetition(df: DataFrame, text: str = "text") -> DataFrame:
 
 def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+
+
+def _sql() -> str:
+    word = "'[^\\x20\\x09-\\x0D]+'"
+    parts, joins, cols, bad = [], [], [], []
+    for k in sorted({*GRAMS, BASE_WINDOW}):
+        parts.append(
+            f"w{k} as (select rid, i, row_number() over (partition by rid, key order by i) nth, count(*) over (partition by rid, key) n from (select rid, i, array_to_string(ws[i:i + {k - 1}], ' ') key from x where i + {k - 1} <= n_words)), "
+            f"c{k} as (select rid, sum(size) chars, count(*) n from (select distinct w.rid, x.i, x.size from w{k} w join x on x.rid = w.rid and x.i between w.i and w.i + {k - 1} where nth > 1) group by rid)"
+        )
+        joins.append(f"left join c{k} on c{k}.rid = b.rid")
+        cols.append(f"coalesce(c{k}.chars, 0)::double / greatest(b.word_chars, 1) dup_{k}_gram_chars")
+        bad.append(f"dup_{k}_gram_chars > {GRAMS[k]}::double")
+    return f"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+a as (select *, regexp_extract_all(t, {word}) ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, {word})) ls from d),
+b as (select rid, doc_id, ws, ls, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+  (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) line_chars, coalesce(list_sum(list_transform(list_distinct(ls), lambda x: length(x))), 0) once_chars from a),
+x as (select rid, n_words, ws, unnest(range(1, n_words + 1)) i, length(ws[i]) size from b where n_words > 0),
+{", ".join(parts)},
+r as (select rid, count(*) n from (select distinct w.rid, x.i from w{BASE_WINDOW} w join x on x.rid = w.rid and x.i between w.i and w.i + {BASE_WINDOW - 1} where w.n > 1) group by rid),
+m as (select b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, len(b.ls) n_lines, (b.line_chars - b.once_chars)::double / greatest(b.line_chars, 1) dup_line_chars, {", ".join(cols)}
+  from b left join r on r.rid = b.rid {" ".join(joins)}),
+f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {BASE_PERCENT} * n_words base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (dup_line_chars > {MAX_DUP_LINE_CHARS}::double or n_dup_lines > {MAX_DUP_LINES}::double * greatest(n_lines, 1) or {" or ".join(bad)}) as kept,
+  dup_line_chars, {", ".join(f"dup_{k}_gram_chars" for k in GRAMS)} from f
+"""
+
+
+OP7_SQL = _sql()

@@ -24,7 +24,9 @@ def _cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/prismlane/mis-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
 
 
 def similarity_edges(df: DataFrame, key: str, ids: str, rank: str, vec: str, threshold: float) -> DataFrame:

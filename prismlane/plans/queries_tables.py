@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from prismlane.sources import sinks as K
@@ -67,11 +65,7 @@ def _replayed(spark, df, build, name: str, runs: int = 1):
     """
     from prismlane.operators.mis import _cut
 
-    root = tempfile.mkdtemp(prefix="prismlane-") if not spark.conf.get("spark.checkpoint.dir", None) else None
-    stored = _cut(df)
-    path = stored.inputFiles()[0].rsplit("/", 1)[0] if stored.inputFiles() else None
-    if root or path is None:
-        path = path or root
+    path = _cut(df)._path
     stream = spark.readStream.schema(df.schema).parquet(path)
     out = build(stream)
     sink = f"{path}-{name}"

@@ -40,24 +40,27 @@ _CHROME_TAGS = {"nav", "footer", "aside", "form", "button", "select", "fieldset"
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "status"}
 #: Parts of class names and ids that mark what is not the article.
 _CHROME_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "dropdown",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "dropdown",
     "feedback", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pagination", "paywall", "popup",
     "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+#: Of these, names that the article's own title block may bear.
+_TITLE_NAMES = {"banner", "header", "masthead"}
 _PARTS = re.compile(r"[^a-z]+")
+_LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][\w-]*")
 
 
 @lru_cache(maxsize=4096)
-def _facts(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Kind of element, whether it marks non-content, whether it is the main part."""
+def _facts(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """Kind of element, whether it marks non-content outside and inside of the main part, whether it is the main part."""
     found = {k.lower(): _html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
     names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "")
     first = re.sub(r"\d+", "#", re.sub(r"[(),. ].*", "", found.get("class", "").strip()))
     main = tag in ("article", "main") or role in ("main", "article")
-    parts = set(_PARTS.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", names)))
+    parts = set(_PARTS.split(_LAYOUT.sub(" ", names))) & _CHROME_NAMES if tag not in ("html", "body", "main") else set()
     hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs)) or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-    marked = tag in _CHROME_TAGS or role in _CHROME_ROLES or hidden or (tag not in ("html", "body", "main") and bool(parts & _CHROME_NAMES))
-    return (f"{tag}.{first}" if first else tag), marked, main
+    marked = tag in _CHROME_TAGS or role in _CHROME_ROLES or hidden
+    return (f"{tag}.{first}" if first else tag), marked or tag == "header" or bool(parts), marked or bool(parts - _TITLE_NAMES), main
 
 
 class Page:
@@ -122,7 +125,7 @@ class Page:
                 elif tag == "hr":
                     flush()
                 continue
-            kind, marked, main = _facts(tag, m[3])
+            kind, outside, within, main = _facts(tag, m[3])
             flush()
             if tag in _ENDS_P:
                 for k in range(len(stack) - 1, 0, -1):
@@ -148,8 +151,7 @@ class Page:
                 children[up].append(node)
             if not m[3].endswith("/") or tag not in _VOID:
                 _, chrome, inside = stack[-1]
-                if tag == "header" and not inside:
-                    marked = True
+                marked = within if inside else outside
                 stack.append((tag, chrome or marked, inside or (main and not marked)))
                 nodes.append(node)
         flush()

@@ -196,8 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             sets = sets_of(docs, classes, left)
             central = store.stash(shared_items(sets, classes), "central")
         here = here.join(central, "cls")
-        apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "cls", "comp", "n", "common")).alias("p")).where("lo <> hi")
-        here = here.join(apart.select("band", "c", "p"), "band")
+        apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "cls", "comp", "n", "common")).alias("p")).where("lo <> hi")
+        here = here.join(apart.select("band", "p"), "band")
         if turn < PIVOT_ROUNDS:
             pairs = here.where(f"comp <> p.comp and {_can('p', None)}").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
             pairs = store.stash(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -287,12 +287,21 @@ def _linked(key, table):
 
 
 def compare_blocks(here: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links (a, b) between different components of one band: its classes are dealt to blocks of about COMPARE, pairs of blocks are
-    compared in one task each, and only links come out."""
-    here = here.withColumn("blocks", F.expr(f"(c + {COMPARE - 1}) div {COMPARE}")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    rows = here.select("band", "cls", "comp", "n", "common", "block", "blocks").join(classes.select("cls", "regs"), "cls").join(sets, "cls")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    """All links (a, b) between different components of one band; only links come out.
+
+    The classes of a band's largest component and all others are dealt to blocks of about COMPARE each; a task compares two blocks, of
+    which one at least is of the others, so the work follows the classes that are still apart, not the square of the band.
+    """
+    parts = here.groupBy("band", "comp").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("c"))
+    dealt = lambda x: F.expr(f"(({x}) + {COMPARE - 1}) div {COMPARE}")
+    here = here.join(parts.select("band", "main", dealt("m").alias("bm"), dealt("c - m").alias("bo")), "band")
+    big, mark = F.col("comp") == F.col("main"), F.xxhash64("cls")
+    here = here.withColumn("block", F.when(big, F.pmod(mark, F.col("bm"))).otherwise(F.col("bm") + F.pmod(mark, F.greatest(F.lit(1), F.col("bo")))))
+    here = here.withColumn("from_", F.when(big, F.col("bm")).otherwise(F.lit(0)))
+    rows = here.select("band", "cls", "comp", "n", "common", "block", "from_", "bm", "bo").join(classes.select("cls", "regs"), "cls").join(sets, "cls")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.col("from_").cast("long"), F.col("bm") + F.col("bo") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("from_", "bm", "bo", "other")
     return rows.groupBy("band", "i", "j").applyInArrow(_linked, "a binary, b binary")
 
 

@@ -82,3 +82,15 @@ def test_vectors(spark):
     assert (r["d"], r["n"], r["f"], r["g"]) == (4.0, 5.0, True, False) and r["u"] == pytest.approx([0.6, 0.8])
     h = spark.createDataFrame([("ffffffffffffffff",), ("000000000000000f",)], "h string").select(V.hash_from_hex(F.col("h")).alias("h"), V.hamming(V.hash_from_hex(F.col("h")), F.lit(0).cast("long")).alias("b")).collect()
     assert [(x["h"], x["b"]) for x in h] == [(-1, 64), (15, 4)]
+
+
+def test_sql_functions(spark):
+    from prismlane.functions import sql
+
+    assert "pl_dot" in sql.register(spark)
+    row = spark.sql("""select pl_dot(array(1D, 2D), array(3D, 4D)) d, pl_norm(array(3D, 4D)) n, pl_hamming(7L, 0L) h, pl_hash_from_hex('ffffffffffffffff') x, pl_overall(1D, 2D, null) o,
+        pl_selection_gate(5D, 5D, 0.9D) g, pl_image_gate(5D, 5D, null) i, pl_iou(0, 0, 10, 10, 0, 0, 10, 10) u, pl_slug('A b') s, pl_sampling_step(0D, 2D) t""").first()
+    assert (row["d"], row["n"], row["h"], row["x"], row["o"], row["g"], row["i"], row["s"], row["t"]) == (11.0, 5.0, 3, -1, None, True, False, "a_b", 12)
+    assert row["u"] == pytest.approx(1.0)
+    plan = spark.sql("select v, c.* from values (1, 700D), (2, 0D) t(v, dur), lateral pl_chunk_plan(dur, 300D) c order by 1, 2").collect()
+    assert [(r["v"], r["chunk_id"], r["end_sec"]) for r in plan] == [(1, 0, 300.0), (1, 1, 600.0), (1, 2, 700.0), (2, 0, None)]

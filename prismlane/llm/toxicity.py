@@ -70,6 +70,7 @@ class Machine:
 
 # I insult, H threat, T target, N negation, R report, O other, C clause end; output: i, h negated; r, q reported; A, B aimed
 ALPHABET, KINDS = "IHTNROC", "IHAirqBh"
+EVIDENCE = len(KINDS) + 3
 
 
 def _negation(state, s):
@@ -122,8 +123,9 @@ class Lexicon:
         return "O", 0.0
 
     def evidence(self, text: str | None) -> list[float]:
-        """For each kind of match the weight of the best clause, then the log of the number of matched clauses."""
-        out, n = dict.fromkeys(KINDS, 0.0), 0
+        """For each kind of match the weight of the best clause; the log of the number of matched clauses; the weight of the strongest
+        word in them, and its square."""
+        out, n, top = dict.fromkeys(KINDS, 0.0), 0, 0.0
         text = (text or "").lower()
         spans, last = [], -1
         for end, size in self.find.iter(text):
@@ -141,10 +143,11 @@ class Lexicon:
                 state, got = self.table[state, symbol]
                 if got in best:
                     best[got] += weight
+                    top = max(top, weight)
             n += any(best.values())
             for k, v in best.items():
                 out[k] = max(out[k], v)
-        return [*(min(out[k], 10.0) for k in KINDS), math.log1p(n)]
+        return [*(min(out[k], 10.0) for k in KINDS), math.log1p(n), top, top * top / 10]
 
 
 def _counted(batches):
@@ -212,12 +215,12 @@ def score(df: DataFrame, docs: DataFrame, labels: DataFrame, text: str = "text")
         def read(batches):
             lexicon = Lexicon(words, stems)
             for batch in batches:
-                found = np.array([lexicon.evidence(t.as_py()) for t in batch.column("text")]).reshape(-1, len(KINDS) + 1)
+                found = np.array([lexicon.evidence(t.as_py()) for t in batch.column("text")]).reshape(-1, EVIDENCE)
                 yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(found.shape[1]))], names=["y", *(f"e{k}" for k in range(found.shape[1]))])
 
-        got = train.mapInArrow(read, "y int, " + ", ".join(f"e{k} double" for k in range(len(KINDS) + 1)))
+        got = train.mapInArrow(read, "y int, " + ", ".join(f"e{k} double" for k in range(EVIDENCE)))
         # equal evidence is one row with a count: the driver gets kinds of evidence, not texts
-        cols = [f"e{k}" for k in range(len(KINDS) + 1)]
+        cols = [f"e{k}" for k in range(EVIDENCE)]
         rows = got.select("y", *[F.round(c, 2).alias(c) for c in cols]).groupBy("y", *cols).agg(F.count("*").alias("n")).toPandas()
         rep = np.repeat(np.arange(len(rows)), rows["n"].to_numpy())
         weights = logistic(rows[cols].to_numpy(dtype=float)[rep], rows["y"].to_numpy(dtype=float)[rep])
@@ -230,7 +233,7 @@ def score(df: DataFrame, docs: DataFrame, labels: DataFrame, text: str = "text")
             if lexicon is None:
                 got = np.full(batch.num_rows, base)
             else:
-                e = np.array([lexicon.evidence(t.as_py()) for t in batch.column(text)]).reshape(-1, len(KINDS) + 1)
+                e = np.array([lexicon.evidence(t.as_py()) for t in batch.column(text)]).reshape(-1, EVIDENCE)
                 got = 1 / (1 + np.exp(-np.clip(e @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, name])
 

@@ -1,6 +1,5 @@
 import pytest
 
-from . import brute  # noqa: F401
 
 LONG = "ab " * 60000
 BASE = " ".join(f"w{i}" for i in range(40))

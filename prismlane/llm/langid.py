@@ -80,7 +80,8 @@ def bucket(doc_id: str, mod: int) -> Column:
 def profiles(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, list[int]]:
     """Language to codes, best first; PROFILE for each language at most."""
     train = docs.where("lang is not null and text is not null").where(bucket("doc_id", 4) != 2)
-    share = train.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    # written first: its size is then known, so Spark sends it to the texts instead of dealing them by language
+    share = store.stash(train.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")), "shares")
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
     chosen = train.join(share, "lang").where(u < F.col("share")).select("lang", "text")
     counts = chosen.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -1,6 +1,6 @@
 """Quality classifier: a sparse ensemble of rules over text statistics, scored by Spark columns.
 
-Statistics of the whole text are computed in NumPy over Arrow batches. Small boosted trees are grown on a sample of at most
+Statistics of the whole text are computed in NumPy over Arrow batches. Small boosted trees are grown on a sample of about
 SAMPLE labelled rows (by a hash of doc_id, among rows whose crc32(doc_id) mod 4 is not 2); every path from a root is a rule, a
 conjunction of thresholds. A lasso logistic regression weighs the rules and leaves few; those are compiled into one Column
 expression. labels, lang, source and doc_id are no inputs of a score. A null text counts as empty. Without labels of both kinds
@@ -193,31 +193,29 @@ def compiled(model: tuple[float, list], names: list[str]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def learn(stats: DataFrame, names: list[str], labels: DataFrame, sample: int = SAMPLE) -> tuple[float, list]:
-    """Fits on at most `sample` rows of stats (doc_id and statistics)."""
-    mine = labels.where("quality in (0, 1)").where(bucket("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("y_"))
-    rows = stats.where(bucket("doc_id", 4) != 2).join(mine, "doc_id").select("y_", *names, F.xxhash64("doc_id").alias("h_"))
-    got = rows.orderBy("h_", "y_", *names).limit(sample).toPandas()
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, list]:
+    """Fits on the whole texts of about `sample` labelled documents, or of all of them if there are fewer."""
+    mine = labels.where("quality in (0, 1) and doc_id is not null").where(bucket("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("y_"))
+    share = sample / max(1, mine.count())
+    mine = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # about `sample` ids by construction: small enough to send to the texts, which then aren't exchanged
+    rows, names = with_features(docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id"))
+    got = rows.select("y_", *names, F.xxhash64("doc_id").alias("h_")).toPandas().sort_values(["h_", "y_", *names], kind="stable")
     return fit(got[names].to_numpy(dtype=np.float64), got["y_"].to_numpy(dtype=np.float64))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs (doc_id, text and any others but no text in the result) with score; fitted on labels."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the statistics and score for each row of docs; fitted on labels."""
     stats, names = with_features(docs.select("doc_id", "text"))
-    stats = store.stash(stats.drop("text"), "stats")
-    return stats.withColumn("score", compiled(learn(stats, names, labels), names)), names
+    return stats.drop("text").withColumn("score", compiled(learn(docs, labels), names))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score is `cut` or more, all columns as they are."""
-    stats, names = with_features(docs.select("doc_id", "text"))
-    stats = store.stash(stats.drop("text"), "stats")
-    model = learn(stats, names, labels)
     full, names = with_features(docs)
-    return full.where(compiled(model, names) >= cut).drop(*names)
+    return full.where(compiled(learn(docs, labels), names) >= cut).drop(*names)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    out, _ = scored(docs, labels)
-    return out.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored(docs, labels).select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

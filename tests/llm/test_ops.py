@@ -82,6 +82,8 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><b>no
 def test_page_text():
     want = "Title & more\nFirst para with bold and éé x\nSecond\nThird <tag>\none\ntwo"
     assert webtext.Page(PAGE).content() == want
+    assert webtext.Page("<div class='has-sidebar'><header class=top>Site</header><article><header class='post-header'><h1>T</h1></header><p>x</p><footer>f</footer></article></div>").content() == "T\nx"
+    assert webtext.Page("<div id=page><div class=header>Site</div><div class='text'>words<div class=byline>By A</div></div><div class='ad-box'>Buy</div></div>").content() == "words\nBy A"
     for cut in range(0, len(PAGE), 7):  # broken markup never fails
         webtext.Page(PAGE[:cut]).content()
     assert webtext.Page("").content() == "" and webtext.Page("just <i>text</i> here").content() == "just text here"
@@ -164,11 +166,11 @@ def test_quality(spark, docs, empty):
     assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in out)
     again = {r["doc_id"]: r["score"] for r in quality.op5_quality_rules(spark, MEDIUM).collect()}
     assert all(again[r["doc_id"]] == r["score"] for r in out)
-    got, _ = quality.scored(docs, labels.limit(0))
+    got = quality.scored(docs, labels.limit(0))
     assert {r["score"] for r in got.collect()} == {0.5}
     lab = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    got, _ = quality.scored(docs, lab)
-    assert got.count() == docs.count() and quality.scored(empty, lab)[0].count() == 0
+    got = quality.scored(docs, lab)
+    assert got.count() == docs.count() and quality.scored(empty, lab).count() == 0
     kept = quality.quality_filter(docs.withColumn("f_words", F.lit("mine")), lab, cut=0.0)
     assert kept.columns == [*docs.columns, "f_words"] and kept.count() == docs.count()
 
@@ -229,8 +231,10 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_chain_and_group(spark):
+@pytest.mark.parametrize("compare", [512, 12])
+def test_near_duplicates_chain_and_group(spark, monkeypatch, compare):
     """A chain whose ends differ, and a group of edited copies in which many pairs are just below the bound."""
+    monkeypatch.setattr(neardup, "COMPARE", compare)
     rng = random.Random(2)
     base = [f"t{i}" for i in range(120)]
     rows, text = [], list(base)

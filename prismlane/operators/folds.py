@@ -7,13 +7,13 @@ the survivors of the folds before it.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-import sys
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

@@ -40,21 +40,6 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, width: float) -> DataFrame:
     return x.join(y, [key, "b_"]).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & meet).drop("b_")
 
 
-def planes(vec: Column, n: int, dim: int, seed: int = 5) -> Column:
-    """A bucket number from the signs of n sparse random projections, as a long."""
-    import random
-
-    rng = random.Random(seed)
-    bits = []
-    for k in range(n):
-        a, b, c, d = (rng.randrange(dim) for _ in range(4))
-        bits.append(F.when(vec[a] + vec[b] - vec[c] - vec[d] > 0, 1 << k).otherwise(0))
-    out = bits[0]
-    for x in bits[1:]:
-        out = out + x
-    return out
-
-
 def similar_pairs(left: DataFrame, right: DataFrame, key: list[str], lv: str, rv: str, least: float) -> DataFrame:
     """Pairs of one key (a video, a scope) whose unit vectors have a dot product of `least` or more; the key bounds the pairs."""
     return left.join(right, key).withColumn("sim", V.dot(F.col(lv), F.col(rv))).where(F.col("sim") >= least)
@@ -71,8 +56,8 @@ def top_similar(rows: DataFrame, queries: DataFrame, ids: str, vec: str, k: int,
 
     place = F.floor(F.col(ids) / F.lit(float(block))).alias("block_")
     a = rows.groupBy(place).agg(F.collect_list(ids).alias("ra_"), F.collect_list(V.doubles(F.col(vec))).alias("va_")).withColumnRenamed("block_", "rows_")
-    q = queries.groupBy(F.pmod(F.xxhash64(ids), F.lit(max(1, -(-queries.count() // block)))).alias("block_")).agg(F.collect_list(ids).alias("rb_"), F.collect_list(V.doubles(F.col(vec))).alias("vb_"))
     n = max(1, -(-queries.count() // block))
+    q = queries.groupBy(F.pmod(F.xxhash64(ids), F.lit(n)).alias("block_")).agg(F.collect_list(ids).alias("rb_"), F.collect_list(V.doubles(F.col(vec))).alias("vb_"))
     pairs = a.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(q, "block_").select("ra_", "va_", "rb_", "vb_")
 
     def best(batches):

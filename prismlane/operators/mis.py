@@ -33,7 +33,8 @@ def similarity_edges(df: DataFrame, key: str, ids: str, rank: str, vec: str, thr
     """(key, better, worse) for pairs of one key closer than threshold."""
     a = df.select(key, F.col(ids).alias("better"), F.col(rank).alias("ra_"), F.col(vec).alias("va_"))
     b = df.select(key, F.col(ids).alias("worse"), F.col(rank).alias("rb_"), F.col(vec).alias("vb_"))
-    return a.join(b, key).where("ra_ < rb_").where(V.cosine_distance(F.col("va_"), F.col("vb_")) < threshold).select(key, "better", "worse")
+    near = V.cosine_distance(F.col("va_"), F.col("vb_")) < threshold
+    return a.join(b, key).where(F.col("ra_") < F.col("rb_")).where(near).select(key, "better", "worse")
 
 
 def greedy_independent(df: DataFrame, edges: DataFrame, key: str, ids: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: File endings, fixed by the stored collections.
 VIDEO_ENDINGS = ("mp4", "mov", "mkv", "avi", "flv", "webm", "m4v", "mpg", "mpeg")
 CLIP_ENDINGS = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "mpg", "mpeg")

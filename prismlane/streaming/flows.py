@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def best_per_window(stream: DataFrame, key: str, ts: str, index: str, score: str, width: str, late: str = "10 seconds") -> DataFrame:
     """The first best frame of each tumbling window, emitted when the watermark closes it."""

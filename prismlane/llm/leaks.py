@@ -126,7 +126,7 @@ class Item:
             self.masks[w] = self.masks.get(w, 0) | (1 << k)
 
 
-def _summed(df: DataFrame, n_blocks: int) -> dict[int, np.ndarray]:
+def _summed(df: DataFrame) -> dict[int, np.ndarray]:
     """Adds up float64 blobs by block, in two steps so no task gets the blobs of all tasks."""
 
     def add(key, table):
@@ -159,7 +159,7 @@ def frequencies(coded: DataFrame, width: int) -> tuple[np.ndarray, float]:
                 n += len(prow)
         yield _blobs(df, n)
 
-    got = _summed(coded.mapInArrow(run, "block int, blob binary"), 0)
+    got = _summed(coded.mapInArrow(run, "block int, blob binary"))
     if not got:
         return np.zeros(width), 0.0
     return np.concatenate([got[k] for k in sorted(got) if k >= 0]), float(got[-1][0])
@@ -187,7 +187,7 @@ def latent_basis(coded: DataFrame, idf: np.ndarray, query: np.ndarray) -> np.nda
                 total[t[at]] += np.add.reduceat(y[order], at, axis=0)
         yield _blobs(total)
 
-    got = _summed(coded.mapInArrow(run, "block int, blob binary"), 0)
+    got = _summed(coded.mapInArrow(run, "block int, blob binary"))
     y = np.concatenate([got[k] for k in sorted(got)]).reshape(width, rank) if got else np.zeros((width, rank))
     q = query.T @ (query @ g)
     mass, own = np.linalg.norm(y), np.linalg.norm(q)

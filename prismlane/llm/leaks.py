@@ -206,17 +206,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     has_answer = "answer" in benchmark.columns
     items = benchmark.select("item_id", "text", (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer"))
     docs = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    out = None
+    if blocks == 1:
+        return _against(docs, _sorted(items))
+    hits = None
     for k in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = _against(docs, sorted((tuple(r) for r in mine.collect()), key=lambda r: (r[0] is None, r[0], r[1] or "")))
-        out = found if out is None else _better(out, found)
-    return out
+        mine = _against(docs, _sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))).where("contaminated").drop("contaminated", "kept")
+        hits = mine if hits is None else hits.unionByName(mine)
+    best = hits.groupBy("doc_id", "text_hash").agg(F.max_by(F.struct("item_id", "cosine", "lcs"), F.struct("cosine", -F.col("item_id"))).alias("r")).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "r.*")
+    rows = docs.select("doc_id", "text_hash")
+    found = rows.join(best, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
+    hit = F.col("hash_").isNotNull()
+    return found.select("doc_id", "text_hash", hit.alias("contaminated"), (~hit).alias("kept"), "item_id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("lcs", F.lit(0.0)).alias("lcs"))
 
 
-def _better(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Of two results for the same rows the stronger; rows of equal doc_id and text become one."""
-    return a.unionByName(b).groupBy("doc_id", "text_hash").agg(F.max_by(F.struct("contaminated", "kept", "item_id", "cosine", "lcs"), F.struct("contaminated", "cosine", -F.col("item_id"))).alias("r")).select("doc_id", "text_hash", "r.*")
+def _sorted(items: DataFrame) -> list[tuple]:
+    return sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
 
 
 def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:

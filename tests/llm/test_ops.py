@@ -268,7 +268,9 @@ def test_components(spark):
 # 9 leaks
 
 
-def test_leaks(spark, docs, rows, empty):
+@pytest.mark.parametrize("most", [leaks.ITEMS, 9])
+def test_leaks(spark, docs, rows, empty, monkeypatch, most):
+    monkeypatch.setattr(leaks, "ITEMS", most)
     rng = random.Random(8)
     pool = [f"word{i}" for i in range(800)]
     text = lambda n: [rng.choice(pool) for _ in range(n)]

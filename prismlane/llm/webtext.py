@@ -46,6 +46,8 @@ _CHROME_NAMES = {
 }
 #: Of these, names that the article's own title block may bear.
 _TITLE_NAMES = {"banner", "header", "masthead"}
+#: Beginnings of longer names of the same kinds, like commentlist or topnav.
+_CHROME_STARTS = re.compile(r"^(?:ad(?:box|slot|unit|banner|container|wrapper)|advert|breadcrumb|comment|cookie|disqus|footer|header|menu|nav(?:bar|igation|menu|links)|newsletter|popup|sidebar|sponsor|subscri|topnav|sidenav|mainnav|sitenav)")
 _PARTS = re.compile(r"[^a-z]+")
 _LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][\w-]*")
 
@@ -57,7 +59,7 @@ def _facts(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
     names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "")
     first = re.sub(r"\d+", "#", re.sub(r"[(),. ].*", "", found.get("class", "").strip()))
     main = tag in ("article", "main") or role in ("main", "article")
-    parts = set(_PARTS.split(_LAYOUT.sub(" ", names))) & _CHROME_NAMES if tag not in ("html", "body", "main") else set()
+    parts = {x for x in _PARTS.split(_LAYOUT.sub(" ", names)) if x in _CHROME_NAMES or _CHROME_STARTS.match(x)} if tag not in ("html", "body", "main") else set()
     hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs)) or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
     marked = tag in _CHROME_TAGS or role in _CHROME_ROLES or hidden
     return (f"{tag}.{first}" if first else tag), marked or tag == "header" or bool(parts), marked or bool(parts - _TITLE_NAMES), main

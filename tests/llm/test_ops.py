@@ -84,6 +84,11 @@ def test_page_text():
     assert webtext.Page(PAGE).content() == want
     assert webtext.Page("<div class='has-sidebar'><header class=top>Site</header><article><header class='post-header'><h1>T</h1></header><p>x</p><footer>f</footer></article></div>").content() == "T\nx"
     assert webtext.Page("<div id=page><div class=header>Site</div><div class='text'>words<div class=byline>By A</div></div><div class='ad-box'>Buy</div></div>").content() == "words\nBy A"
+    marks = ["class=commentlist", "id='topNav'", "class='x sidebar-left'", "role=banner", "class='AdSlot'", "id=cookieBar", "class='newsletter_box'", "hidden", "style='display: none'"]
+    for m in marks:
+        assert webtext.Page(f"<body><div {m}><p>out</p></div><div class='story body-text'><p>in</p></div></body>").content() == "in", m
+    for m in ("class=address", "class='adventure'", "id=radio", "class=navy", "class='no-comments'"):
+        assert webtext.Page(f"<body><div {m}><p>in</p></div></body>").content() == "in", m
     for cut in range(0, len(PAGE), 7):  # broken markup never fails
         webtext.Page(PAGE[:cut]).content()
     assert webtext.Page("").content() == "" and webtext.Page("just <i>text</i> here").content() == "just text here"

@@ -42,3 +42,14 @@ def test_run(spark):
     text = {r["doc_id"]: brute.words(r["text"]) for r in docs.collect()}
     for r in out.collect():
         assert brute.words(r["text"]) == text[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]]
+
+
+def test_everything_is_registered():
+    import re
+
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert set(entry.oracle_sql()) <= set(names)
+    assert [s for s, _ in P.STAGES] == ["quality classifier", "line dedup", "near duplicates", "benchmark decontamination", "mixing"]

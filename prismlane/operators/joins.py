@@ -40,6 +40,20 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, width: float) -> DataFrame:
     return x.join(y, [key, "b_"]).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & meet).drop("b_")
 
 
+def near_hashes(rows: DataFrame, queries: DataFrame, h: str, q: str, bits: int) -> DataFrame:
+    """Pairs whose 64-bit hashes differ in `bits` (7 at most) places: of four 16-bit words one then differs in one place at most.
+
+    Rows go to the buckets of their four words, queries to the 17 words near each of theirs: an exact equi join on 2^18 keys.
+    """
+    if bits > 7:
+        raise ValueError("more than 7 bits need shorter words")
+    word = lambda c, k: F.shiftright(F.col(c), 16 * k).bitwiseAND(F.lit(65535))
+    near = [F.lit(0), *[F.lit(1 << j) for j in range(16)]]
+    a = rows.withColumn("w_", F.explode(F.array(*[word(h, k) * 4 + k for k in range(4)])))
+    b = queries.withColumn("w_", F.explode(F.array(*[word(q, k).bitwiseXOR(n) * 4 + k for k in range(4) for n in near])))
+    return a.join(b, "w_").where(V.hamming(F.col(h), F.col(q)) <= bits).drop("w_").distinct()
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, key: list[str], lv: str, rv: str, least: float) -> DataFrame:
     """Pairs of one key (a video, a scope) whose unit vectors have a dot product of `least` or more; the key bounds the pairs."""
     return left.join(right, key).withColumn("sim", V.dot(F.col(lv), F.col(rv))).where(F.col("sim") >= least)

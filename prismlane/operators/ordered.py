@@ -121,6 +121,18 @@ def ranked(df: DataFrame, keys: list[str], order: list, out: str = "rank") -> Da
     return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, out: str = "rank") -> DataFrame:
+    """As ranked, for groups of any size: rows are sorted by ranges, counted per range and numbered within it; keys aren't null."""
+    from prismlane.operators.mis import _cut
+
+    rows = _cut(df.orderBy(*keys, *order).withColumn("id_", F.monotonically_increasing_id())).withColumn("part_", F.shiftright("id_", 33))
+    sizes = rows.groupBy(*keys, "part_").agg(F.count("*").alias("n_"))
+    prior = F.sum("n_").over(W.partitionBy(*keys).orderBy("part_").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(sizes.withColumn("before_", F.coalesce(prior, F.lit(0))).drop("n_"), [*keys, "part_"])
+    place = F.row_number().over(W.partitionBy(*keys, "part_").orderBy("id_"))
+    return rows.withColumn(out, F.col("before_") + place).drop("id_", "part_", "before_")
+
+
 def keep_budget(seconds: Column, per_image: float, cap: float | None = None) -> Column:
     usable = F.least(seconds, F.lit(float(cap))) if cap else seconds
     return F.greatest(F.lit(1), F.floor(usable / F.lit(float(per_image))).cast("int"))

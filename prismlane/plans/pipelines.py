@@ -94,5 +94,5 @@ def score_images(scores: DataFrame, cfg: ImageConfig = ImageConfig()) -> DataFra
     c = [F.col(x) for x in ("clip", "nima", "piq")]
     ok = {"gate": lambda: S.image_gate(*c), "ordered": lambda: S.image_rules_ordered(*c, F.col("brisque"), cfg.without_brisque), "all": lambda: S.image_rules_all(*c, F.col("brisque"))}[cfg.rules]()
     out = scores.withColumn("overall_rating", S.overall(*c)).withColumn("selected", F.coalesce(ok, F.lit(False)))
-    out = O.ranked(out, ["selected"], ["image"])
+    out = O.numbered(out, ["selected"], ["image"])  # two groups only, so no group may meet in one task
     return out.withColumn("file", F.concat(F.when(F.col("selected"), "out").otherwise("reject"), F.col("rank").cast("string"), F.regexp_extract("image", r"(\.[^.]*)$", 1))).withColumn("slug", N.slug(F.col("image"))).drop("rank")

@@ -8,6 +8,7 @@ from prismlane.functions import geometry as G
 from prismlane.functions import naming as N
 from prismlane.functions import scores as S
 from prismlane.functions import vectors as V
+from prismlane.operators import joins as J
 from prismlane.sources.tables import BOXES_SQL, PIXELS_SQL, SCORES_SQL, boxes, image_scores, load, pixels
 
 TECH_COLS = ("sharpness_var", "noise_sigma", "clip_shadows", "clip_highlights", "mean_luma", "color_cast")
@@ -111,14 +112,12 @@ def reason_rollup(spark, d):
 
 
 def hash_hamming(spark, d):
-    """Rows of the embeddings against the query rows (ids divisible by 50): sign hashes that differ in 16 bits at most."""
+    """All rows against the query rows (ids divisible by 50): sign hashes that differ in 7 bits at most."""
     h = load(spark, d, "embeddings").select("vec_id", V.sign_hash(F.col("embedding")).alias("h"))
     hex_ = F.lpad(F.lower(F.hex("h")), 16, "0")
     h = h.select("vec_id", V.hash_from_hex(hex_).alias("h"))
     q = h.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("h").alias("qh"))
-    chunks = lambda c: F.explode(F.array(*[F.shiftright(c, 8 * k).bitwiseAND(255) * 8 + k for k in range(8)]))
-    # 7 bits at most in 8 bytes: one byte at least is equal, so equal bytes find every pair
-    return h.withColumn("b", chunks(F.col("h"))).join(q.withColumn("b", chunks(F.col("qh"))), "b").where(V.hamming(F.col("h"), F.col("qh")) <= 7).select("query_id", "vec_id", V.hamming(F.col("h"), F.col("qh")).cast("long").alias("bits")).distinct()
+    return J.near_hashes(h, q, "h", "qh", 7).select("query_id", "vec_id", V.hamming(F.col("h"), F.col("qh")).cast("long").alias("bits"))
 
 
 QUERIES = {f.__name__: f for f in (tech_score, overall_rating, selection_gate, image_select_v5, image_rules_v4, image_rules_v3, composition_score, face_quality, black_slate, quality_linear, body_bbox, crop_rect, padded_bbox, slug_filename, clashing_names, early_gates, decision_log, reason_counts, reason_rollup, hash_hamming)}

@@ -52,10 +52,10 @@ def markdown_table(spark, d):
 def selected_mapping(spark, d):
     """out{n} and reject{n} in the order of the ids."""
     from prismlane.functions.scores import image_gate
-    from prismlane.operators.ordered import ranked
+    from prismlane.operators.ordered import numbered
 
     s = image_scores(spark, d).withColumn("ok", image_gate(F.col("clip"), F.col("nima"), F.col("piq")))
-    return ranked(s, ["ok"], ["image_id"]).select("image_id", F.concat(F.when(F.col("ok"), "out").otherwise("reject"), F.col("rank").cast("string")).alias("name"))
+    return numbered(s, ["ok"], ["image_id"]).select("image_id", F.concat(F.when(F.col("ok"), "out").otherwise("reject"), F.col("rank").cast("string")).alias("name"))
 
 
 def _replayed(spark, df, build, name: str, runs: int = 1):

@@ -140,3 +140,20 @@ def test_chunk_batches_resume(spark, tmp_path):
     for _ in range(2):
         flows.chunk_batches(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), lambda df, epoch: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert sum(seen) == 10
+
+
+def test_numbered_equals_ranked(spark):
+    df = spark.range(500).select((F.col("id") % 2 == 0).alias("k"), F.xxhash64("id").alias("v")).repartition(7)
+    a, b = (sorted(map(tuple, f(df, ["k"], ["v"]).select("k", "v", F.col("rank").cast("long")).collect())) for f in (O.numbered, O.ranked))
+    assert a == b and O.numbered(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_near_hashes(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = [(i, b ^ sum(1 << p for p in rng.sample(range(63), rng.randrange(10)))) for i, b in enumerate(base * 30)]
+    h, q = spark.createDataFrame(rows, "i int, h long"), spark.createDataFrame(list(enumerate(base)), "j int, q long")
+    want = {(i, j) for i, x in rows for j, y in enumerate(base) if (x ^ y).bit_count() <= 7}
+    assert {(r["i"], r["j"]) for r in J.near_hashes(h, q, "h", "q", 7).collect()} == want

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,7 +180,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = store.stash(classes, "classes")
     bands = classes.mapInArrow(_bands, "band long, cls binary")
-    shared = bands.groupBy("band").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).where("c > 1").select("band", "pivot")
+    # what is known of a bucket is summed up first and stored, then joined: a plain join, whose large buckets Spark can split
+    shared = store.stash(bands.groupBy("band").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).where("c > 1").select("band", "pivot"), "shared")
     members = store.stash(bands.join(shared, "band"), "members")  # only buckets of two or more
 
     pairs = store.stash(_ordered(members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))), "pairs")
@@ -190,16 +192,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         here = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
         if left is None:
             apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
-            left = store.stash(here.join(apart.select("band"), "band", "left_semi").select("cls").distinct(), "left")
+            left = store.stash(members.join(store.stash(apart.select("band"), "apart"), "band", "left_semi").select("cls").distinct(), "left")
             if left.isEmpty():
                 break
             sets = sets_of(docs, classes, left)
             central = store.stash(shared_items(sets, classes), "central")
-        here = here.join(central, "cls")
-        apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "cls", "comp", "n", "common")).alias("p")).where("lo <> hi")
-        here = here.join(apart.select("band", "p"), "band")
+        here = store.stash(here.join(central, "cls"), "here")
         if turn < PIVOT_ROUNDS:
-            pairs = here.where(f"comp <> p.comp and {_can('p', None)}").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
+            own = F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "cls", "comp", "n", "common")).alias("p")
+            apart = store.stash(here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), own).where("lo <> hi").select("band", "p"), "apart")
+            pairs = here.join(apart, "band").where(f"comp <> p.comp and {_can('p', None)}").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
             pairs = store.stash(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
                 continue
@@ -236,9 +238,12 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _items(batches):
     for batch in batches:
-        cut = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]
-        take = pa.array(np.repeat(np.arange(len(cut)), [len(x) for x in cut]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), batch.column("cls").take(take)], names=["item", "cls"])
+        size = pc.binary_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j in tk.slices(np.concatenate([[0], np.cumsum(size)])):  # a row an item: slices bound what a batch grows to
+            part = batch.slice(i, j - i)
+            cut = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+            take = pa.array(np.repeat(np.arange(len(cut)), [len(x) for x in cut]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), part.column("cls").take(take)], names=["item", "cls"])
 
 
 def shared_items(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -295,9 +300,10 @@ def compare_blocks(here: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     parts = here.groupBy("band", "comp").agg(F.count("*").alias("m"))
     parts = parts.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("c"))
     dealt = lambda x: F.expr(f"(({x}) + {COMPARE - 1}) div {COMPARE}")
-    here = here.join(parts.select("band", "main", dealt("m").alias("bm"), dealt("c - m").alias("bo")), "band")
+    parts = store.stash(parts.where("c > m").select("band", "main", dealt("m").alias("bm"), dealt("c - m").alias("bo")), "parts")
+    here = here.join(parts, "band")
     big, mark = F.col("comp") == F.col("main"), F.xxhash64("cls")
-    here = here.withColumn("block", F.when(big, F.pmod(mark, F.col("bm"))).otherwise(F.col("bm") + F.pmod(mark, F.greatest(F.lit(1), F.col("bo")))))
+    here = here.withColumn("block", F.when(big, F.pmod(mark, F.col("bm"))).otherwise(F.col("bm") + F.pmod(mark, F.col("bo"))))
     here = here.withColumn("from_", F.when(big, F.col("bm")).otherwise(F.lit(0)))
     rows = here.select("band", "cls", "comp", "n", "common", "block", "from_", "bm", "bo").join(classes.select("cls", "regs"), "cls").join(sets, "cls")
     rows = rows.withColumn("other", F.explode(F.sequence(F.col("from_").cast("long"), F.col("bm") + F.col("bo") - 1)))

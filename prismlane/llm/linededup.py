@@ -2,9 +2,9 @@
 
 A page's lines are its \\n-split parts, trimmed of space and \\x09-\\x0D; blank lines are neither counted nor dropped. Pages of a
 host with equal text count once, above and below the line, so mass copies of a page do not turn its prose into boilerplate.
-A line goes when it stands on MIN_PAGES distinct pages of the host at least and on more than 1/ONE_IN of them. Where such lines
-hold more than MAX_SHARE of a page's characters the page is a copy, not a page with furniture; it stays for near-duplicate
-removal as it is. No row is ever dropped.
+A line goes when it stands on MIN_PAGES distinct pages of the host at least and on more than 1/ONE_IN of them, whatever part of
+the page such lines are: a page of nothing else is left empty. No row is ever dropped. Only op3_line_dedup, which is bound by its
+SQL, spares pages of which such lines hold more than MAX_SHARE of the characters; op3_line_dedup_whole and the pipeline don't.
 
 A null text stays null with 0 lines; an empty one stays empty; a null host is a host of its own; repeated rows get equal
 results; an empty table gives no rows. Only DataFrame functions; only 8-byte hashes of lines are exchanged, summed up first.
@@ -46,8 +46,9 @@ def boilerplate(docs: DataFrame, host: str, text: str, one_in: int = ONE_IN, min
     return store.stash(many.groupBy("host").agg(F.array_sort(F.collect_set("mark")).alias("marks")), "boilerplate")
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", one_in: int = ONE_IN, min_pages: int = MIN_PAGES, max_share: float = MAX_SHARE) -> DataFrame:
-    """docs with the lines gone from `text`, and n_lines, n_dropped added (more underscores where docs has such columns)."""
+def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", one_in: int = ONE_IN, min_pages: int = MIN_PAGES, max_share: float | None = None) -> DataFrame:
+    """docs with the lines gone from `text`, and n_lines, n_dropped added (more underscores where docs has such columns). With a
+    max_share, pages of which more of the characters would go keep all."""
     marks = boilerplate(docs, host, text, one_in, min_pages)
     key, hit = store.free_name("_host", docs.columns), store.free_name("_marks", docs.columns)
     marks = marks.select(F.col("host").alias(key), F.col("marks").alias(hit))
@@ -62,15 +63,20 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", one_in
     info, lines_ = store.free_name("_gone", docs.columns), F.filter(parts, _has_word)
     out = out.withColumn(info, gone)
     out = out.withColumn(n_lines, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines_)).cast("long"))
-    copy = length(F.col(info)) > max_share * length(lines_)
-    out = out.withColumn(n_dropped, F.when((F.size(info) == 0) | copy, F.lit(0)).otherwise(F.size(info)).cast("long"))
+    spared = F.lit(False) if max_share is None else length(F.col(info)) > max_share * length(lines_)
+    out = out.withColumn(n_dropped, F.when(spared, F.lit(0)).otherwise(F.size(info)).cast("long"))
     kept = F.array_join(F.filter(parts, lambda x: ~(_has_word(x) & F.array_contains(F.col(hit), _hash(x)))), "\n")
     out = out.withColumn(text, F.when(F.col(n_dropped) > 0, kept).otherwise(F.col(text)))
     return out.drop(key, hit, info)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents has no host column; its source is the site."""
+    """documents has no host column; its source is the site. Spares pages above MAX_SHARE, as OP3_SQL does."""
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), max_share=MAX_SHARE)
+
+
+def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every page."""
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
 
 
@@ -92,3 +98,6 @@ select doc_id, source,
   case when text is null then 0 else len(full_) end::bigint as n_lines, nd::bigint as n_dropped
 from k
 """
+
+#: OP3_SQL without the pages it spares.
+OP3_WHOLE_SQL = OP3_SQL.replace(f" or gone_chars > {MAX_SHARE}::double * full_chars", "")

@@ -142,6 +142,13 @@ def test_lines(spark, docs, rows, empty):
     assert out.columns == ["doc_id", "text", "source", "n_lines", "_host", "n_lines_", "n_dropped"] and out.first()["n_lines"] == "mine"
 
 
+def test_lines_of_pages_of_furniture(spark):
+    menu = ["Subscribe to our weekly letter", "All rights reserved by the publisher", "Follow us on every network"]
+    made = [(i, "\n".join([f"Story {i} of its own", *menu]), "s") for i in range(5)] + [(8, "\n".join([*menu, "ok"]), "s"), (9, "\n".join(menu), "s")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.line_dedup(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()}
+    assert got[0] == ("Story 0 of its own", 4, 3) and got[8] == ("ok", 4, 3) and got[9] == ("", 3, 3)
+
+
 # 4 to 6 classifiers
 
 

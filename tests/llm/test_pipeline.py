@@ -29,6 +29,12 @@ def test_line_dedup_sets_lengths(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in P.line_dedup(spark, df, SMALL).collect())
 
 
+def test_line_dedup_treats_pages_of_furniture(spark):
+    menu = "Subscribe to our weekly letter\nAll rights reserved by the publisher"
+    df = spark.createDataFrame([(i, f"text {i}\n{menu}", "en", "s", 999) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r["text"], r["n_chars"]) for r in P.line_dedup(spark, df, SMALL).collect()} == {(f"text {i}", 6) for i in range(4)}
+
+
 def test_run(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs.count()

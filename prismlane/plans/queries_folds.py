@@ -46,14 +46,24 @@ def final_dedup_chunks(spark, d):
     return D.final_dedup(f, "video_id", "chunk_id", "embedding", [("frame_index", True)], "has_smile", "tech_score", REPLACE, "frame_index")
 
 
-def global_dedup(spark, d):
-    """One registry over all survivors of the per-video passes; a single group by nature, so only survivors enter it."""
-    f = frames(spark, d)
-    f = f.join(D.greedy_dedup(f.where("aesthetic >= 4"), "video_id", "embedding", BEST_FIRST, DEDUP, "frame_index"), ["video_id", "frame_index"])
+def _registry(f, kept):
+    f = f.join(kept, ["video_id", "frame_index"])
     f = f.withColumn("scope", F.lit(0)).withColumn("frame_id", F.col("video_id") * 1000000 + F.col("frame_index"))
     return D.dedup_with_replacement(f, "scope", "embedding", [("video_id", True), ("timestamp_sec", True), ("frame_index", True)], "has_smile", "aesthetic", REPLACE, "frame_id").select("frame_id", "status")
 
 
+def global_dedup(spark, d):
+    """One registry over the survivors of a per-video pass over frames of aesthetic 4 and more only, as its SQL has it."""
+    f = frames(spark, d)
+    return _registry(f, D.greedy_dedup(f.where("aesthetic >= 4"), "video_id", "embedding", BEST_FIRST, DEDUP, "frame_index"))
+
+
+def global_dedup_all(spark, d):
+    """One registry over all survivors of the per-video pass over all frames; a single group by nature, so only survivors enter it."""
+    f = frames(spark, d)
+    return _registry(f, D.greedy_dedup(f, "video_id", "embedding", BEST_FIRST, DEDUP, "frame_index"))
+
+
 def threshold_groups(spark, d):
     return D.grouped(frames(spark, d), "video_id", "embedding", [("frame_index", True)], "aesthetic", GROUP, "frame_index")
 
@@ -101,7 +111,7 @@ def track_continuity(spark, d):
     return D.tracked(b, "video_id", "t", ["x", "y", "w", "h"], "event_id", 0.3, 200.0)
 
 
-QUERIES = {f.__name__: f for f in (greedy_dedup, greedy_dedup_mis, two_pass_topn, dedup_replace, windowed_face_dedup, final_dedup_chunks, global_dedup, threshold_groups, greedy_cluster, cluster_sizes, cluster_representative, vector_mean, novel_images, adaptive_sampler, track_continuity)}
+QUERIES = {f.__name__: f for f in (greedy_dedup, greedy_dedup_mis, two_pass_topn, dedup_replace, windowed_face_dedup, final_dedup_chunks, global_dedup, global_dedup_all, threshold_groups, greedy_cluster, cluster_sizes, cluster_representative, vector_mean, novel_images, adaptive_sampler, track_continuity)}
 
 _F = f"f as materialized ({FRAMES_SQL})"
 _O = "o as materialized (select *, row_number() over (partition by video_id order by {}) i from f{})"

@@ -88,3 +88,30 @@ def test_mis_equals_fold(spark):
     empty = df.where(F.lit(False))
     assert M.greedy_independent(empty, M.similarity_edges(empty, "video", "id", "rank", "v", 0.6), "video", "id").count() == 0
     assert D.greedy_dedup(empty, "video", "v", [("rank", True)], 0.6, "id").count() == 0
+
+
+def test_global_registry_takes_all_survivors(spark):
+    """Every frame enters the per-video pass, and every survivor the registry; against plain loops."""
+    from prismlane.plans import queries_folds as Q
+    from prismlane.sources.tables import frames
+
+    from .conftest import SMALL
+
+    rows = [r.asDict() | {"v": np.array(r["embedding"], dtype=float)} for r in frames(spark, SMALL).collect()]
+    left: dict = {}
+    for r in sorted(rows, key=lambda r: (-r["aesthetic"], -r["tech_score"], r["frame_index"])):
+        if all(1 - r["v"] @ k["v"] >= Q.DEDUP for k in left.setdefault(r["video_id"], [])):
+            left[r["video_id"]].append(r)
+    slots, want = [], {}
+    for r in sorted((r for v in left.values() for r in v), key=lambda r: (r["video_id"], r["timestamp_sec"], r["frame_index"])):
+        r["id"] = r["video_id"] * 1000000 + r["frame_index"]
+        j = max(range(len(slots)), key=lambda k: slots[k]["v"] @ r["v"], default=None)
+        if j is None or 1 - slots[j]["v"] @ r["v"] >= Q.REPLACE:
+            slots.append(r)
+        elif (r["has_smile"] and not slots[j]["has_smile"]) or (r["has_smile"] == slots[j]["has_smile"] and r["aesthetic"] > slots[j]["aesthetic"]):
+            want[slots[j]["id"]], slots[j] = "replaced", r
+        else:
+            want[r["id"]] = "dedup"
+    want |= {r["id"]: "kept" for r in slots}
+    assert {r["frame_id"]: r["status"] for r in Q.global_dedup_all(spark, SMALL).collect()} == want
+    assert any(r["aesthetic"] < 4 for v in left.values() for r in v) and len(want) == sum(map(len, left.values()))

@@ -2,7 +2,7 @@
 
 Each page is parsed into a tree of block elements in which neighbours of one kind (tag and class) are one node. The commonest
 tree of a host is its reference; every page's tree is aligned with it by simple tree matching (memoised by shape, so one
-alignment serves all pages of a shape). A block text that stands at one aligned node on CONSTANT of a host's pages, MIN_PAGES at
+alignment serves all pages of a shape), whatever its size or depth. A block text that stands at one aligned node on CONSTANT of a host's pages, MIN_PAGES at
 least, belongs to the template; blocks that vary are content, if they lie in article or main (in body where a page has neither)
 and not in an element whose tag, role, class or id marks a menu, header, footer, sidebar, notice, advert, form or comment.
 Where every content block of a page is constant the page is a copy of another and keeps them.
@@ -19,6 +19,7 @@ import html as _html
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ _TITLE_NAMES = {"banner", "header", "masthead"}
 #: Beginnings of longer names of the same kinds, like commentlist or topnav.
 _CHROME_STARTS = re.compile(r"^(?:ad(?:box|slot|unit|banner|container|wrapper)|advert|breadcrumb|comment|cookie|disqus|footer|header|menu|nav(?:bar|igation|menu|links)|newsletter|popup|sidebar|sponsor|subscri|topnav|sidenav|mainnav|sitenav)")
 _PARTS = re.compile(r"[^a-z]+")
+_NODE = re.compile(r"([(,]?)([^(),]+)(\)*)")
 _LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][\w-]*")
 
 
@@ -57,12 +59,13 @@ def _facts(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
     """Kind of element, whether it marks non-content outside and inside of the main part, whether it is the main part."""
     found = {k.lower(): _html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
     names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "")
+    label = re.sub(r"[(),]", "_", tag)
     first = re.sub(r"\d+", "#", re.sub(r"[(),. ].*", "", found.get("class", "").strip()))
     main = tag in ("article", "main") or role in ("main", "article")
     parts = {x for x in _PARTS.split(_LAYOUT.sub(" ", names)) if x in _CHROME_NAMES or _CHROME_STARTS.match(x)} if tag not in ("html", "body", "main") else set()
     hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs)) or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
     marked = tag in _CHROME_TAGS or role in _CHROME_ROLES or hidden
-    return (f"{tag}.{first}" if first else tag), marked or tag == "header" or bool(parts), marked or bool(parts - _TITLE_NAMES), main
+    return (f"{label}.{first}" if first else label), marked or tag == "header" or bool(parts), marked or bool(parts - _TITLE_NAMES), main
 
 
 class Page:
@@ -159,12 +162,22 @@ class Page:
         flush()
         order: dict[int, int] = {}
 
-        def write(node: int) -> str:
+        parts: list[str] = []
+        todo: list = [0]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                parts.append(node)
+                continue
             order[node] = len(order)
-            inner = ",".join([write(c) for c in children[node]])
-            return f"{kinds[node]}({inner})" if inner else kinds[node]
-
-        self.shape = write(0) if len(kinds) < 400 else _flat(kinds, children, order)
+            parts.append(kinds[node])
+            inner = children[node]
+            if inner:
+                todo.append(")")
+                for k in range(len(inner) - 1, -1, -1):
+                    todo += [inner[k], "," if k else "("]
+
+        self.shape = "".join(parts)
         self.blocks = [(order[n], t, c, m) for n, t, c, m in out]
 
     def content(self, constant: set[tuple[int, int]] = frozenset(), places: dict[int, int] | None = None) -> str:
@@ -176,16 +189,6 @@ class Page:
         return "\n".join(b[1] for b in blocks)
 
 
-def _flat(kinds, children, order) -> str:
-    """The shape of an unusually large tree: numbered without recursion, written as its root's children only."""
-    todo = [0]
-    while todo:
-        node = todo.pop()
-        order[node] = len(order)
-        todo += reversed(children[node])
-    return "#(" + ",".join(kinds[c] for c in children[0]) + ")"
-
-
 def mark(text: str) -> int:
     import zlib
 
@@ -193,65 +196,135 @@ def mark(text: str) -> int:
     return (zlib.crc32(raw) << 31) ^ zlib.adler32(raw) ^ len(raw)
 
 
-def read_shape(shape: str) -> tuple:
-    """(kind, number, children) nested."""
-    at, n = 0, 0
-
-    def node():
-        nonlocal at, n
-        m = re.compile(r"[^(),]*").match(shape, at)
-        at, me, kids = m.end(), n, []
-        n += 1
-        if at < len(shape) and shape[at] == "(":
-            at += 1
-            while True:
-                kids.append(node())
-                at += 1
-                if shape[at - 1] == ")":
-                    break
-        return m[0], me, tuple(kids)
-
-    return node()
-
-
-def _match(a: tuple, b: tuple, memo: dict) -> tuple[int, tuple]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees with equal roots, and its pairs of children."""
-    if a[0] != b[0]:
-        return 0, ()
-    key = (a[1], b[1])
-    if key not in memo:
-        x, y = a[2], b[2]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(1, len(x) + 1):
-            for j in range(1, len(y) + 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + _match(x[i - 1], y[j - 1], memo)[0])
-        pairs, i, j = [], len(x), len(y)
+def read_shape(shape: str) -> tuple[list[str], list[list[int]]]:
+    """Kind and children of each node, numbered in pre-order."""
+    kinds, children, stack = [], [], []
+    for before, kind, ends in _NODE.findall(shape):
+        if before == "(":
+            stack.append(len(kinds) - 1)
+        if stack:
+            children[stack[-1]].append(len(kinds))
+        kinds.append(kind)
+        children.append([])
+        if ends:
+            del stack[-len(ends) :]
+    return kinds, children
+
+
+class Subtrees:
+    """Subtrees of two trees by content: equal ones share a number, so each pair of contents is matched once."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.facts: list[tuple[str, tuple[int, ...], int]] = []  # kind, children, size
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def number(self, kinds: list[str], children: list[list[int]]) -> list[int]:
+        out = [0] * len(kinds)
+        for n in range(len(kinds) - 1, -1, -1):
+            key = (kinds[n], tuple([out[c] for c in children[n]]))
+            if key not in self.known:
+                self.known[key] = len(self.facts)
+                self.facts.append((*key, 1 + sum(self.facts[c][2] for c in key[1])))
+            out[n] = self.known[key]
+        return out
+
+    def size(self, a: int, b: int) -> int | None:
+        """The size of the largest order-keeping match of two trees with equal roots; None where it isn't known yet."""
+        x, y = self.facts[a], self.facts[b]
+        if x[0] != y[0]:
+            return 0
+        if a == b:
+            return x[2]
+        return self.sizes.get((a, b)) if x[1] and y[1] else 1
+
+    def _same(self, a: int, b: int) -> tuple[tuple, tuple, int]:
+        """Children of both, and how many equal ones they begin with; some best match has those in pairs."""
+        x, y = self.facts[a][1], self.facts[b][1]
+        k = 0
+        while k < min(len(x), len(y)) and x[k] == y[k]:
+            k += 1
+        return x, y, k
+
+    def _table(self, x: tuple, y: tuple, trace: bool) -> tuple[int, list]:
+        ux, uy = {c: k for k, c in enumerate(dict.fromkeys(x))}, {c: k for k, c in enumerate(dict.fromkeys(y))}
+        at = np.array([uy[c] for c in y], dtype=np.int64)
+        by_child = {c: np.array([self.size(c, d) for d in uy], dtype=np.int32)[at] for c in ux}
+        row, moves = np.zeros(len(y) + 1, dtype=np.int32), []
+        for c in x:
+            new = np.zeros_like(row)
+            new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + by_child[c]))
+            if trace:
+                moves.append((np.packbits(new == row), np.packbits(new[1:] == new[:-1])))
+            row = new
+        return int(row[-1]), moves
+
+    def match(self, a: int, b: int) -> int:
+        """size(a, b), after that of all pairs below that it rests on."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo[-1]
+            if self.size(a, b) is not None:
+                todo.pop()
+                continue
+            x, y, k = self._same(a, b)
+            left, right = dict.fromkeys(x[k:]), {}
+            for d in dict.fromkeys(y[k:]):
+                right.setdefault(self.facts[d][0], []).append(d)
+            open_ = [(c, d) for c in left for d in right.get(self.facts[c][0], ()) if self.size(c, d) is None]
+            if open_:
+                todo += open_
+                continue
+            self.sizes[(a, b)] = 1 + sum(self.facts[c][2] for c in x[:k]) + self._table(x[k:], y[k:], False)[0]
+        return self.size(a, b)
+
+    def pairs(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The children that match(a, b) pairs, by position."""
+        x, y, k = self._same(a, b)
+        out = [(i, i) for i in range(k)]
+        _, moves = self._table(x[k:], y[k:], True)
+        i, j = len(x) - k, len(y) - k
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            up, left = moves[i - 1]
+            if up[j >> 3] >> (7 - (j & 7)) & 1:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif left[(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
                 j -= 1
             else:
-                pairs.append((x[i - 1], y[j - 1]))
                 i, j = i - 1, j - 1
-        memo[key] = best[-1][-1] + 1, tuple(pairs)
-    return memo[key]
+                out.append((k + i, k + j))
+        return out
 
 
-@lru_cache(maxsize=20000)
-def aligned(shape: str, reference: str) -> dict[int, int]:
-    """Node numbers of `shape` to those of `reference`."""
-    a, b = read_shape(shape), read_shape(reference)
-    memo: dict = {}
-    out, todo = {}, [(a, b)]
+def _aligned(shape: str, reference: str) -> dict[int, int]:
+    (xk, xc), (yk, yc) = read_shape(shape), read_shape(reference)
+    trees = Subtrees()
+    xs, ys = trees.number(xk, xc), trees.number(yk, yc)
+    out, todo = {}, [(0, 0)]
     while todo:
         x, y = todo.pop()
-        if _match(x, y, memo)[0]:
-            out[x[1]] = y[1]
-            todo += _match(x, y, memo)[1]
+        if trees.match(xs[x], ys[y]):
+            out[x] = y
+            if xc[x] and yc[y]:
+                todo += [(xc[x][i], yc[y][j]) for i, j in trees.pairs(xs[x], ys[y])]
     return out
 
 
+@lru_cache(maxsize=20000)
+def _many(shape: str, reference: str) -> dict[int, int]:
+    return _aligned(shape, reference)
+
+
+@lru_cache(maxsize=50)
+def _few(shape: str, reference: str) -> dict[int, int]:
+    return _aligned(shape, reference)
+
+
+def aligned(shape: str, reference: str) -> dict[int, int]:
+    """Node numbers of `shape` to those of `reference` by simple tree matching; few of large trees are kept, which bounds memory."""
+    return (_many if len(shape) + len(reference) < 8000 else _few)(shape, reference)
+
+
 _HOST = re.compile(r"://([^/?#]*)")
 
 

@@ -118,6 +118,47 @@ def test_alignment():
     assert webtext.aligned(a, a) == {i: i for i in range(8)}
 
 
+def tree_match(a, b):
+    """Simple tree matching of (kind, children) by plain recursion."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + tree_match(x, y))
+    return best[-1][-1] + 1
+
+
+def test_alignment_is_a_largest_match():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+
+    def text(t):
+        return t[0] + (f"({','.join(map(text, t[1]))})" if t[1] else "")
+
+    for _ in range(100):
+        x, y = ("#", [tree(3) for _ in range(3)]), ("#", [tree(3) for _ in range(3)])
+        a, b = text(x), text(y)
+        m = webtext.aligned(a, b)
+        kinds = [webtext.read_shape(t)[0] for t in (a, b)]
+        assert len(m) == tree_match(x, y) and all(kinds[0][i] == kinds[1][j] for i, j in m.items())
+        assert [m[i] for i in sorted(m)] == sorted(m.values())
+
+
+def test_wrapper_of_large_and_deep_pages(spark):
+    """Template blocks go from pages of any size; several children of the root keep their numbers."""
+    parts = lambda i, n: "".join(f"<h2>Head {i} {k}</h2><p>Text {i} {k}</p>" for k in range(n))
+    large = lambda i: f"<div>lead {i}</div><section><p>Read our other stories</p></section>{parts(i, 300 + i)}<section><p>Write to the editor</p></section>"
+    deep = lambda i: "<div>" * 3000 + f"<h2>Own {i}</h2><p>Read our other stories</p>" + "</div>" * 3000
+    rows = [(i, "http://large.example/", large(i)) for i in range(5)] + [(10 + i, "http://deep.example/", deep(i)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in webtext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i].split("\n") == [f"lead {i}"] + [x for k in range(300 + i) for x in (f"Head {i} {k}", f"Text {i} {k}")]
+        assert got[10 + i] == f"Own {i}"
+
+
 def test_pages_give_their_article(spark):
     got = webtext.op2_wrapper_text(spark, MEDIUM).collect()
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{MEDIUM}/pages.parquet").collect()}

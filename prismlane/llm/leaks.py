@@ -12,9 +12,13 @@ sequence of its vocabulary numbers (0 for other words), kept in the shared folde
    LEAST_KEYS of the IDF weight of its terms are there (LEAST_KEYS of the `answer` words instead, where the benchmark has such a column and it
    isn't null); an item of under SHORT words must be there almost whole.
 
+An item of more than WINDOW words is searched whole and also in pieces of WINDOW words, half a window apart and one at its end, each
+with a vector, a subsequence and key terms of its own, so that a contiguous passage counts however long its item is. `lcs` and
+`cosine` are then the piece's. Answers are looked for as far around a piece as around its whole item.
+
 Terms on more than COMMON of all passages are left out of the vectors (each item keeps the rarer half of its own); they still count in
 the subsequence. An item or text that is null or has no words matches nothing. The benchmark is collected in blocks of at most
-ITEMS items, each block a pass, so what is broadcast is bounded. Every row of docs gives one row; repeated rows agree; ties
+ITEMS items and pieces, each block a pass, so what is broadcast is bounded. Every row of docs gives one row; repeated rows agree; ties
 between items go to the higher cosine, then the smaller item_id. Empty tables: no rows, or all rows clean.
 """
 
@@ -201,10 +205,10 @@ def latent_basis(coded: DataFrame, idf: np.ndarray, query: np.ndarray) -> np.nda
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), contaminated, kept, item_id, cosine, lcs for each row of docs (null item_id, 0.0 and 0.0
     for clean ones)."""
-    n = benchmark.count()
-    blocks = max(1, -(-n // ITEMS))
     has_answer = "answer" in benchmark.columns
     items = benchmark.select("item_id", "text", (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer"))
+    items = _with_pieces(items)
+    blocks = max(1, -(-items.count() // ITEMS))
     docs = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     if blocks == 1:
         return _against(docs, _sorted(items))
@@ -219,6 +223,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     return found.select("doc_id", "text_hash", hit.alias("contaminated"), (~hit).alias("kept"), "item_id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("lcs", F.lit(0.0)).alias("lcs"))
 
 
+def _with_pieces(items: DataFrame) -> DataFrame:
+    """item_id, text, answer, span: items, and the pieces of long ones; span: the words of the whole item."""
+    words = F.filter(F.split("text", "[\\x09-\\x0D ]+"), lambda w: w != "")
+    known = items.withColumn("words", words).withColumn("span", F.coalesce(F.size("words"), F.lit(0)))
+    last = F.col("span") - WINDOW
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(WINDOW // 2)), F.array(last)))
+    pieces = known.where(F.col("span") > WINDOW).withColumn("start", F.explode(starts)).withColumn("text", F.array_join(F.slice("words", F.col("start") + 1, WINDOW), " "))
+    cols = ["item_id", "text", "answer", "span"]
+    return known.select(cols).unionByName(pieces.select(cols))
+
+
 def _sorted(items: DataFrame) -> list[tuple]:
     return sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
 
@@ -230,12 +245,12 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
         data, off = tk.text_bytes(pa.array([value or ""], pa.large_string()))
         return terms(data, off)[0]
 
-    rows = [(i, coded_item(t), coded_item(a) if a else None) for i, t, a in rows]
+    rows = [(i, coded_item(t), coded_item(a) if a else None, n) for i, t, a, n in rows]
     rows = [r for r in rows if len(r[1])]
     clean = docs.select("doc_id", "text_hash", F.lit(False).alias("contaminated"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs"))
     if not rows:
         return clean
-    vocabulary = np.unique(np.concatenate([np.concatenate([h, a]) if a is not None else h for _, h, a in rows]))
+    vocabulary = np.unique(np.concatenate([np.concatenate([h, a]) if a is not None else h for _, h, a, _ in rows]))
     width = len(vocabulary)
     place = lambda h: np.searchsorted(vocabulary, h)
     coded = store.stash(docs.mapInArrow(encode(vocabulary), f"doc_id {kind}, text_hash long, ids binary"), "coded")
@@ -244,11 +259,11 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     full_idf = np.maximum(idf, 1e-3)
     wanted = df <= COMMON * total
     items, query = [], np.zeros((len(rows), width), dtype=np.float64)
-    for _, h, _ in rows:
+    for _, h, _, _ in rows:
         ids = np.unique(place(h))
         wanted[ids[np.argsort(df[ids], kind="stable")[: max(KEYS, len(ids) // 2)]]] = True
     weight = np.where(wanted, full_idf, 0.0)
-    for k, (item_id, h, answer) in enumerate(rows):
+    for k, (item_id, h, answer, _) in enumerate(rows):
         ids = place(h)
         item = Item(item_id, (ids + 1).tolist(), (place(answer) + 1).tolist() if answer is not None else None)
         seen = np.unique(ids)
@@ -264,10 +279,11 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     enough = np.array([LEAST_KEYS * sum(k.values()) for k in keys])
     codes = np.array(sorted((k * width + w - 1, v) for k, x in enumerate(keys) for w, v in x.items()))
     codes, values = codes[:, 0].astype(np.int64), codes[:, 1]
-    reach = np.array([max(WINDOW, item.size) for item in items])
+    own = np.array([max(WINDOW, item.size) for item in items])
+    reach = np.array([max(o, r[3]) if item.answer is not None else o for o, item, r in zip(own.tolist(), items, rows)])
 
-    def verify(k: int, near: list[int]) -> float:
-        item, there = items[k], set(near)
+    def verify(k: int, near: list[int], wide: list[int]) -> float:
+        item, there = items[k], set(wide)
         if sum(v for w, v in keys[k].items() if w in there) < enough[k]:
             return 0.0
         lcs = longest_common(item.masks, item.size, near) / item.size
@@ -324,8 +340,8 @@ def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
                             old = best[i0 + row]
                             if old is not None and (old[0], -old[3]) >= (c, -kk):
                                 continue
-                            near = ids[off[row] + max(0, start - reach[kk]) : min(off[row + 1], off[row] + start + WINDOW + reach[kk])]
-                            got = verify(kk, near[near > 0].tolist())
+                            near, wide = (ids[off[row] + max(0, start - d) : min(off[row + 1], off[row] + start + WINDOW + d)] for d in (own[kk], reach[kk]))
+                            got = verify(kk, near[near > 0].tolist(), wide[wide > 0].tolist())
                             if got:
                                 best[i0 + row] = (c, got, items[kk].id, kk)
             hit = [x is not None for x in best]

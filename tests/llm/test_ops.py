@@ -358,6 +358,36 @@ def test_answers(spark):
     assert got == {1: True, 2: False}
 
 
+@pytest.mark.parametrize("most", [leaks.ITEMS, 9])
+def test_passages_of_long_items(spark, monkeypatch, most):
+    """A contiguous passage counts however long its item is, wherever in it the passage stands."""
+    monkeypatch.setattr(leaks, "ITEMS", most)
+    rng = random.Random(4)
+    pool = [f"word{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = {1: text(100), 2: text(400), 3: text(49), 4: text(1000)}
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    made, want = [], {}
+    for k, n in ((1, 50), (2, 200), (2, 50), (3, 49), (4, 50), (4, 300)):
+        for at in (0, (len(items[k]) - n) // 3, len(items[k]) - n):
+            want[len(made)] = k
+            made.append((len(made), " ".join(text(90) + items[k][at : at + n] + text(60))))
+    for k in items:  # a few words of an item are no passage
+        made.append((len(made), " ".join(text(90) + items[k][:12] + text(60))))
+    made += [(len(made) + i, " ".join(text(200))) for i in range(5)]
+    got = {r["doc_id"]: r["item_id"] for r in leaks.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).where("contaminated").collect()}
+    assert got == want
+
+
+def test_answers_of_long_items(spark):
+    item = [f"word{i}" for i in range(150)]
+    bench = spark.createDataFrame([(1, " ".join(item), "deep azure")], "item_id long, text string, answer string")
+    rest = " ".join(f"other{i}" for i in range(70))
+    made = [(1, " ".join(item[:50]) + f" {rest} deep azure"), (2, " ".join(item[:50]) + f" {rest} nobody knows")]
+    got = {r["doc_id"]: r["contaminated"] for r in leaks.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
+    assert got == {1: True, 2: False}
+
+
 def test_longest_common():
     rng = random.Random(1)
     for _ in range(50):

@@ -4,9 +4,11 @@ The vocabulary is that of the benchmark: A-Z lower-cased words without ASCII pun
 sequence of its vocabulary numbers (0 for other words), kept in the shared folder; all later passes read that, not the text.
 
 1. Document frequencies over all passages of WINDOW words.
-2. Randomised SVD of the TF-IDF passages, distributed: each task adds up A'(A G) for a fixed Gaussian G over its passages, sums
+2. Randomised range finder over the TF-IDF passages, distributed: each task adds up A'(A G) for a fixed Gaussian G over its passages, sums
    meet by blocks of terms; the benchmark's own rows join with the weight QUERY_SHARE of the corpus energy, so its directions are
-   in the basis. An orthonormal basis of that product, refined by the Gram matrix of the projections, is the latent space.
+   in the basis. An orthonormal basis of that product is turned so that the directions
+   the benchmark's rows fill most come first, and cut to RANK: a range finder led by the benchmark, with no singular vectors or
+   values of the passages themselves. Where the benchmark takes several blocks, each has a vocabulary, IDF and basis of its own.
 3. Each passage, at a stride of half a window, is held against all benchmark items by cosine, in blocks.
 4. A candidate counts if the longest common subsequence of item and neighbourhood covers LEAST_LCS of the item's words and
    LEAST_KEYS of the IDF weight of its terms are there (LEAST_KEYS of the `answer` words instead, where the benchmark has such a column and it

@@ -4,13 +4,18 @@ Each page is parsed into a tree of block elements in which neighbours of one kin
 tree of a host is its reference; every page's tree is aligned with it by simple tree matching (memoised by shape, so one
 alignment serves all pages of a shape), whatever its size or depth. A block text that stands at one aligned node on CONSTANT of a host's pages, MIN_PAGES at
 least, belongs to the template; blocks that vary are content, if they lie in article or main (in body where a page has neither)
-and not in an element whose tag, role, class or id marks a menu, header, footer, sidebar, notice, advert, form or comment.
+and not in an element, block or inline, whose tag, role, class or id marks a menu, header, footer, sidebar, notice, advert, form or
+comment. Inside the main part a name counts only if all its words are such marks or say nothing (share-button, not search-history);
+article and main are never dropped for a name, but an article named like a comment or advert gives way to others of its page.
 Where every content block of a page is constant the page is a copy of another and keeps them.
 
-Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one \\n. A null or
-empty html, or one without content, gives ''. No page is cut. A null url, or one without a host, is a host of its own, ''.
+Tags are read as the HTML standard's tokenizer does, each character a bounded number of times: quotes count only in values, and a
+tag, comment or declaration that never ends takes the rest of the page. Character references are decoded, white space inside a
+block becomes one space, blocks are trimmed and joined by one \\n. A null or empty html, or one without content, gives ''. No page
+is cut, none is treated otherwise for its size. A null url, or one without a host, is a host of its own, ''. Rows are judged alone
+against their host's template, so repeated rows agree; they count as pages of the host. An empty table gives no rows.
 Only shapes and 8-byte hashes are exchanged, summed up before; a host's template holds at most 1/CONSTANT times its mean number
-of blocks, and pages meet it by host in a join whose small side Spark broadcasts only below its measured size threshold.
+of blocks (8 bytes each), and pages meet it by host in a join whose small side Spark broadcasts only below its measured size threshold.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
@@ -29,13 +34,17 @@ from . import store
 store.by_value(__name__)
 
 CONSTANT, MIN_PAGES = 0.6, 3
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_ATTRS = r"""(?:[\s/]*+[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+[\s/]*+"""
+#: A whole tag that needs no repair; `=` with nothing to name, and quotes that never close, are left to _repaired.
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>")
+_ATTR = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>|\Z)))?+""")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_COMMENT_END = re.compile("--!?>")
+_QUOTE = re.compile(r"\s*+=\s*+[\"']")
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLD = {"ul", "ol", "table", "dl", "article", "body", "main", "div", "section"}
 _CHROME_TAGS = {"nav", "footer", "aside", "form", "button", "select", "fieldset", "dialog", "menu", "head"}
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "status"}
@@ -49,35 +58,90 @@ _CHROME_NAMES = {
 _TITLE_NAMES = {"banner", "header", "masthead"}
 #: Beginnings of longer names of the same kinds, like commentlist or topnav.
 _CHROME_STARTS = re.compile(r"^(?:ad(?:box|slot|unit|banner|container|wrapper)|advert|breadcrumb|comment|cookie|disqus|footer|header|menu|nav(?:bar|igation|menu|links)|newsletter|popup|sidebar|sponsor|subscri|topnav|sidenav|mainnav|sitenav)")
+#: Words of a name that say nothing of what it holds.
+_NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "container", "content", "count", "div", "field", "foot", "group", "head", "heading", "icon", "icons", "in", "inline",
+    "inner", "item", "items", "label", "left", "link", "links", "list", "main", "module", "outer", "panel", "right", "row", "section", "site", "slot", "text", "title", "toggle", "top", "unit", "up", "wrap", "wrapper",
+}
 _PARTS = re.compile(r"[^a-z]+")
 _NODE = re.compile(r"([(,]?)([^(),]+)(\)*)")
-_LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][\w-]*")
+_LAYOUT = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_][\w-]*+")
 
 
-@lru_cache(maxsize=4096)
-def _facts(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
-    """Kind of element, whether it marks non-content outside and inside of the main part, whether it is the main part."""
-    found = {k.lower(): _html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
-    names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "")
-    label = re.sub(r"[(),]", "_", tag)
-    first = re.sub(r"\d+", "#", re.sub(r"[(),. ].*", "", found.get("class", "").strip()))
+def _marks(word: str) -> bool:
+    return word in _CHROME_NAMES or _CHROME_STARTS.match(word) is not None
+
+
+def _facts(tag: str, attrs: str) -> tuple[str, bool, bool, int]:
+    """Kind of element, whether it marks non-content outside and inside of the main part, and its main part: 0 none, 1 doubtful, 2 sure."""
+    return _judged_once(tag, attrs) if len(attrs) < 400 else _judged(tag, attrs)
+
+
+def _judged(tag: str, attrs: str) -> tuple[str, bool, bool, int]:
+    found: dict[str, str] = {}
+    for k, v in _ATTR.findall(attrs):
+        found.setdefault(k.lower(), _html.unescape(v.strip("\"'")).lower())
+    label, role = re.sub(r"[(),]", "_", tag), found.get("role", "")
+    first = re.sub(r"\d+", "#", re.split(r"[(),.\s]", found.get("class", "").strip(), maxsplit=1)[0])
+    names = _LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").split()
+    parts, whole = set(), set()
+    if tag not in ("html", "body", "main"):
+        for name in names:
+            words = [w for w in _PARTS.split(name) if w]
+            hits = {w for w in words if _marks(w)}
+            parts |= hits
+            if hits and all(w in hits or w in _NEUTRAL for w in words):
+                whole |= hits
     main = tag in ("article", "main") or role in ("main", "article")
-    parts = {x for x in _PARTS.split(_LAYOUT.sub(" ", names)) if x in _CHROME_NAMES or _CHROME_STARTS.match(x)} if tag not in ("html", "body", "main") else set()
-    hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs)) or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
+    hidden = "hidden" in found or "hidden" in names or re.search(r"display\s*+:\s*+none", found.get("style", "")) is not None
     marked = tag in _CHROME_TAGS or role in _CHROME_ROLES or hidden
-    return (f"{label}.{first}" if first else label), marked or tag == "header" or bool(parts), marked or bool(parts - _TITLE_NAMES), main
+    whole -= _TITLE_NAMES
+    kind = f"{label}.{first}" if first else label
+    if main:
+        return kind, marked, marked or bool(whole), 1 if whole else 2
+    return kind, marked or tag == "header" or bool(parts), marked or bool(whole), 0
+
+
+@lru_cache(maxsize=4096)
+def _judged_once(tag: str, attrs: str) -> tuple[str, bool, bool, int]:
+    return _judged(tag, attrs)
+
+
+def _repaired(text: str, at: int) -> tuple[str, str, str, int] | None:
+    """The tag at `at`, read attribute by attribute: (slash, name, attributes, end); None if it never ends."""
+    m = _OPEN.match(text, at)
+    begin = here = m.end()
+    while True:
+        m2 = _ATTR.match(text, here)
+        if m2 is None:
+            break
+        here = m2.end()
+        if m2[2] is None and _QUOTE.match(text, here):
+            return None
+    while here < len(text) and text[here] != ">":  # white space or slashes
+        here += 1
+    return (m[1], m[2], text[begin:here], here + 1) if here < len(text) else None
+
+
+#: Elements that a start tag ends, as groups of tags: the nearest open one of the group, within the nearest of _HOLD.
+_GROUPS = ("p", "li", "dtdd", "tr", "tdth", "option")
+_IN_GROUP = {"p": (0,), "li": (1,), "dt": (2,), "dd": (2,), "tr": (3,), "td": (3, 4), "th": (3, 4), "option": (5,)}
+_ENDS = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5} | dict.fromkeys(_ENDS_P, 0)
+_NONE = (-1,) * len(_GROUPS)
 
 
 class Page:
-    """shape: the reduced tree as text; blocks: (node number in the order of shape, text, whether not chrome, whether in the main part)."""
+    """shape: the reduced tree as text; blocks: (node number in the order of shape, text, whether not chrome, main part as in _facts)."""
 
     __slots__ = ("blocks", "shape")
 
     def __init__(self, text: str):
         kinds, children, nodes = ["#"], [[]], [0]  # of reduced nodes; nodes: the reduced node of each open element
-        stack: list[tuple[str, bool, bool]] = [("#", False, False)]
-        out: list[tuple[int, str, bool, bool]] = []
+        stack: list[tuple[str, bool, int, tuple[int, ...]]] = [("#", False, 0, _NONE)]  # tag, chrome, main part, nearest open of each group
+        opened: dict[str, list[int]] = {}  # where each tag is open
+        out: list[tuple[int, str, bool, int]] = []
         piece: list[str] = []
+        mute, mute_tag, mute_in = 0, "", 0  # how many of mute_tag are open since an inline element that is chrome, and the size of the stack there
         at, size = 0, len(text)
 
         def flush() -> None:
@@ -89,63 +153,85 @@ class Page:
                     out.append((nodes[-1], raw, not stack[-1][1], stack[-1][2]))
 
         def close(k: int) -> None:
+            nonlocal mute
             flush()
+            for entry in stack[k:]:
+                opened[entry[0]].pop()
             del stack[k:], nodes[k:]
+            if len(stack) < mute_in:
+                mute = 0
 
         while at < size:
-            m = _TAG.search(text, at)
-            if m is None:
-                rest = text[at:]
-                piece.append(rest)
+            lt = text.find("<", at)
+            if lt < 0:
+                if not mute:
+                    piece.append(text[at:])
                 break
-            if m.start() > at:
-                piece.append(text[at : m.start()])
-            at = m.end()
-            tag = m[2]
-            if tag is None:
-                if m[0].startswith("<![CDATA["):
-                    piece.append(m[0][9:].removesuffix("]]>"))
-                continue
+            if lt > at and not mute:
+                piece.append(text[at:lt])
+            m = _TAG.match(text, lt)
+            if m is not None:
+                slash, tag, attrs = m[1], m[2], m[3]
+                at = m.end()
+            else:
+                after = text[lt + 1 : lt + 9]
+                if after.startswith("!--"):
+                    end = _COMMENT_END.search(text, lt + 2 if text.startswith(("<!-->", "<!--->"), lt) else lt + 4)
+                    at = end.end() if end else size
+                    continue
+                if after == "![CDATA[":
+                    end = text.find("]]>", lt)
+                    if not mute:
+                        piece.append(text[lt + 9 : end if end >= 0 else size])
+                    at = end + 3 if end >= 0 else size
+                    continue
+                if after[:1] in ("!", "?") or (after[:1] == "/" and not (after[1:2].isascii() and after[1:2].isalpha())):
+                    end = text.find(">", lt) if len(after) > 1 or after != "/" else -1
+                    at = end + 1 if end >= 0 else size
+                    continue
+                if _OPEN.match(text, lt) is None:
+                    if not mute:
+                        piece.append("<")
+                    at = lt + 1
+                    continue
+                got = _repaired(text, lt)
+                if got is None:
+                    break
+                slash, tag, attrs, at = got
             tag = tag.lower()
-            if m[1]:
+            if slash:
                 if tag in _INLINE:
+                    mute -= mute > 0 and tag == mute_tag
                     continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                else:
-                    if tag == "p" or tag in _ENDS_P:
-                        flush()
+                where = opened.get(tag)
+                if where:
+                    close(where[-1])
+                elif tag == "p" or tag in _ENDS_P:
+                    flush()
                 continue
             if tag in _RAW:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(text, at)
+                if not (tag in ("svg", "math") and attrs.endswith("/")):
+                    end = _ends_of(tag).search(text, at)
                     close_at = text.find(">", end.start()) if end else -1
                     at = close_at + 1 if close_at >= 0 else size
                 continue
-            if tag in _VOID or tag in _INLINE:
-                if tag in ("br", "wbr", "img"):
-                    piece.append(" " if tag == "br" else "")
+            if tag in _VOID:
+                if tag == "br":
+                    piece.append(" ")
                 elif tag == "hr":
                     flush()
                 continue
-            kind, outside, within, main = _facts(tag, m[3])
+            if tag in _INLINE:
+                if mute:
+                    mute += tag == mute_tag
+                elif attrs and _facts(tag, attrs)[2]:
+                    mute, mute_tag, mute_in = 1, tag, len(stack)
+                continue
+            kind, outside, within, main = _facts(tag, attrs)
             flush()
-            if tag in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in _HOLD:
-                        break
-            elif tag in _SAME:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in _SAME[tag]:
-                        close(k)
-                        break
-                    if stack[k][0] in _HOLD:
-                        break
+            group = _ENDS.get(tag)
+            if group is not None and stack[-1][3][group] > 0:
+                close(stack[-1][3][group])
             up = nodes[-1]
             if children[up] and kinds[children[up][-1]] == kind:
                 node = children[up][-1]
@@ -154,11 +240,15 @@ class Page:
                 kinds.append(kind)
                 children.append([])
                 children[up].append(node)
-            if not m[3].endswith("/") or tag not in _VOID:
-                _, chrome, inside = stack[-1]
-                marked = within if inside else outside
-                stack.append((tag, chrome or marked, inside or (main and not marked)))
-                nodes.append(node)
+            _, chrome, inside, near = stack[-1]
+            marked = within if inside else outside
+            if tag in _HOLD:
+                near = _NONE
+            elif tag in _IN_GROUP:
+                near = tuple(len(stack) if g in _IN_GROUP[tag] else k for g, k in enumerate(near))
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, chrome or marked or mute > 0, inside or (0 if marked else main), near))
+            nodes.append(node)
         flush()
         order: dict[int, int] = {}
 
@@ -180,15 +270,26 @@ class Page:
         self.shape = "".join(parts)
         self.blocks = [(order[n], t, c, m) for n, t, c, m in out]
 
-    def content(self, constant: set[tuple[int, int]] = frozenset(), places: dict[int, int] | None = None) -> str:
+    def content(self, constant: set[int] | frozenset = frozenset(), places: dict[int, int] | None = None) -> str:
+        """The text, without the blocks whose slot() at the node in `places` is in `constant`."""
         blocks = [b for b in self.blocks if b[2]]
-        if any(b[3] for b in blocks):
-            blocks = [b for b in blocks if b[3]]
+        best = max((b[3] for b in blocks), default=0)
+        blocks = [b for b in blocks if b[3] == best]
         if constant and places is not None:
-            blocks = [b for b in blocks if (places.get(b[0], -1), mark(b[1])) not in constant] or blocks
+            blocks = [b for b in blocks if b[0] not in places or slot(places[b[0]], mark(b[1])) not in constant] or blocks
         return "\n".join(b[1] for b in blocks)
 
 
+@lru_cache(maxsize=64)
+def _ends_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[\s/>]", re.I)
+
+
+def slot(node: int, text_mark: int) -> int:
+    """A node and the mark of a text as one number of 63 bits."""
+    return ((text_mark * 0x9E3779B97F4A7C15) ^ ((node + 1) * 0xC2B2AE3D27D4EB4F)) & 0x7FFFFFFFFFFFFFFF
+
+
 def mark(text: str) -> int:
     import zlib
 
@@ -246,18 +347,19 @@ class Subtrees:
             k += 1
         return x, y, k
 
-    def _table(self, x: tuple, y: tuple, trace: bool) -> tuple[int, list]:
-        ux, uy = {c: k for k, c in enumerate(dict.fromkeys(x))}, {c: k for k, c in enumerate(dict.fromkeys(y))}
-        at = np.array([uy[c] for c in y], dtype=np.int64)
-        by_child = {c: np.array([self.size(c, d) for d in uy], dtype=np.int32)[at] for c in ux}
-        row, moves = np.zeros(len(y) + 1, dtype=np.int32), []
-        for c in x:
-            new = np.zeros_like(row)
-            new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + by_child[c]))
-            if trace:
-                moves.append((np.packbits(new == row), np.packbits(new[1:] == new[:-1])))
-            row = new
-        return int(row[-1]), moves
+    def _gains(self, x: tuple, y: tuple):
+        """gains(c): the sizes of child c of x against all of y; made as needed, few are kept."""
+        uy = {c: k for k, c in enumerate(dict.fromkeys(y))}
+        at, known = np.array([uy[c] for c in y], dtype=np.int64), {}
+
+        def gains(c: int) -> np.ndarray:
+            if c not in known:
+                if len(known) * len(y) > 1 << 23:
+                    known.clear()
+                known[c] = np.array([self.size(c, d) for d in uy], dtype=np.int32)[at]
+            return known[c]
+
+        return gains
 
     def match(self, a: int, b: int) -> int:
         """size(a, b), after that of all pairs below that it rests on."""
@@ -275,27 +377,47 @@ class Subtrees:
             if open_:
                 todo += open_
                 continue
-            self.sizes[(a, b)] = 1 + sum(self.facts[c][2] for c in x[:k]) + self._table(x[k:], y[k:], False)[0]
+            row, gains = np.zeros(len(y) - k + 1, dtype=np.int32), self._gains(x[k:], y[k:])
+            for c in x[k:]:
+                row = _next_row(row, gains(c))
+            self.sizes[(a, b)] = 1 + sum(self.facts[c][2] for c in x[:k]) + int(row[-1])
         return self.size(a, b)
 
     def pairs(self, a: int, b: int) -> list[tuple[int, int]]:
         """The children that match(a, b) pairs, by position."""
         x, y, k = self._same(a, b)
         out = [(i, i) for i in range(k)]
-        _, moves = self._table(x[k:], y[k:], True)
-        i, j = len(x) - k, len(y) - k
+        x, y = x[k:], y[k:]
+        gains, row, every = self._gains(x, y), np.zeros(len(y) + 1, dtype=np.int32), int(len(x) ** 0.5) + 1
+        marks = [row]  # every so many rows of the table; those between are made again on the way back
+        for n, c in enumerate(x, 1):
+            row = _next_row(row, gains(c))
+            if n % every == 0:
+                marks.append(row)
+        i, j, rows, first = len(x), len(y), [], -1
         while i and j:
-            up, left = moves[i - 1]
-            if up[j >> 3] >> (7 - (j & 7)) & 1:
-                i -= 1
-            elif left[(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
-                j -= 1
-            else:
+            if first != (i - 1) // every * every:
+                first = (i - 1) // every * every
+                rows = [marks[first // every]]
+                for c in x[first : first + every]:
+                    rows.append(_next_row(rows[-1], gains(c)))
+            before, here, gain = rows[i - 1 - first], rows[i - first], gains(x[i - 1])[j - 1]
+            if gain and here[j] == before[j - 1] + gain:  # of equal matches the one that pairs the ends
                 i, j = i - 1, j - 1
                 out.append((k + i, k + j))
+            elif here[j] == before[j]:
+                i -= 1
+            else:
+                j -= 1
         return out
 
 
+def _next_row(row: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    new = np.zeros_like(row)
+    new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain))
+    return new
+
+
 def _aligned(shape: str, reference: str) -> dict[int, int]:
     (xk, xc), (yk, yc) = read_shape(shape), read_shape(reference)
     trees = Subtrees()
@@ -325,66 +447,66 @@ def aligned(shape: str, reference: str) -> dict[int, int]:
     return (_many if len(shape) + len(reference) < 8000 else _few)(shape, reference)
 
 
-_HOST = re.compile(r"://([^/?#]*)")
-
-
-def host_of(url: str | None) -> str:
-    m = _HOST.search(url or "")
-    return m[1].lower() if m else ""
+def host_of(url: str) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1), F.lit("")))
 
 
 def _surveyed(batches):
     for batch in batches:
         rows = []
-        for url, text in zip(batch.column("url").to_pylist(), batch.column("html")):
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("html")):
             page = Page(text.as_py() or "")
             marks = sorted({(n, mark(t)) for n, t, c, _ in page.blocks if c})
-            rows.append((host_of(url), page.shape, [x[0] for x in marks], [x[1] for x in marks]))
+            rows.append((host, page.shape, [x[0] for x in marks], [x[1] for x in marks]))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["host", "shape", "nodes", "marks"])
 
 
 def _placed(batches):
     for batch in batches:
-        hosts, nodes, marks = [], [], []
+        hosts, slots = [], []
         for h, s, ref, ns, ms in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "reference", "nodes", "marks"))):
             places = aligned(s, ref)
-            for n, m in {(places[n], m) for n, m in zip(ns, ms) if n in places}:
+            for x in {slot(places[n], m) for n, m in zip(ns, ms) if n in places}:
                 hosts.append(h)
-                nodes.append(n)
-                marks.append(m)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(marks, pa.int64())], names=["host", "node", "mark"])
+                slots.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int64())], names=["host", "slot"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, reference, constant): the reference shape and the (node, mark) of template blocks, for hosts that have any."""
-    seen = store.stash(pages.select("url", "html").mapInArrow(_surveyed, "host string, shape string, nodes array<int>, marks array<long>"), "shapes")
+    """From (host, html): (host, reference, constant): the reference shape and the slots of template blocks, for hosts that have any."""
+    seen = store.stash(pages.select("host", "html").mapInArrow(_surveyed, "host string, shape string, nodes array<int>, marks array<long>"), "shapes")
     shapes = seen.groupBy("host", "shape").agg(F.count("*").alias("n"))
     refs = shapes.groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     refs = store.stash(refs, "references")
-    placed = seen.join(refs.select("host", "reference"), "host").mapInArrow(_placed, "host string, node int, mark long")
-    often = placed.groupBy("host", "node", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    placed = seen.join(refs.select("host", "reference"), "host").mapInArrow(_placed, "host string, slot long")
+    often = placed.groupBy("host", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     often = often.join(refs, "host").where(F.col("n") >= CONSTANT * F.col("pages"))
-    return store.stash(often.groupBy("host").agg(F.first("reference").alias("reference"), F.collect_list(F.struct("node", "mark")).alias("constant")), "wrappers")
+    out = store.stash(often.groupBy("host").agg(F.first("reference").alias("reference"), F.collect_list("slot").alias("constant")), "wrappers")
+    store.discard(seen, refs)
+    return out
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages with text and n_chars added and html gone (more underscores where pages has such columns)."""
-    known = wrappers(pages.select(F.col(url).alias("url"), F.col(html).alias("html")))
+    known = wrappers(pages.select(host_of(url).alias("host"), F.col(html).alias("html")))
     host, ref, constant, text, n = (store.free_name(c, pages.columns) for c in ("_host", "_reference", "_constant", "text", "n_chars"))
-    keyed = pages.withColumn(host, F.lower(F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1), F.lit(""))))
+    keyed = pages.withColumn(host, host_of(url))
     joined = keyed.join(known.select(F.col("host").alias(host), F.col("reference").alias(ref), F.col("constant").alias(constant)), host, "left")
     keep = [c for c in pages.columns if c != html]
 
     def run(batches):
+        known_: dict[str, tuple[str, set[int]] | None] = {}  # of this task
         for batch in batches:
-            out, memo = [], {}
-            for h, r, raw in zip(batch.column(ref).to_pylist(), batch.column(constant), batch.column(html)):
+            out = []
+            for k, (h, raw) in enumerate(zip(batch.column(host).to_pylist(), batch.column(html))):
                 page = Page(raw.as_py() or "")
-                if h is None:
-                    out.append(page.content())
-                else:
-                    key = (h, r.as_py() and tuple((x["node"], x["mark"]) for x in r.as_py()))
-                    out.append(page.content(memo.setdefault(key, set(key[1])), aligned(page.shape, h)))
+                if h not in known_:
+                    if len(known_) > 5000:
+                        known_.clear()
+                    r = batch.column(ref)[k].as_py()
+                    known_[h] = None if r is None else (r, set(batch.column(constant)[k].as_py()))
+                of = known_[h]
+                out.append(page.content() if of is None else page.content(of[1], aligned(page.shape, of[0])))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*keep, text, n])
 
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html] + [f"`{text}` string, `{n}` long"])

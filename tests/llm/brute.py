@@ -100,5 +100,12 @@ def url(u):
     return host, path, best
 
 
+def url_terms(u, strict, soft):
+    """Strict hits and soft weight of a url, term by term."""
+    raw = re.sub("(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), u or "")
+    there = lambda w: re.search(rf"(?<![a-z0-9]){w}(?![a-z0-9])", lower(raw)) is not None
+    return sum(map(there, strict)), sum(n for w, n in soft.items() if there(w))
+
+
 def count(xs):
     return Counter(xs)

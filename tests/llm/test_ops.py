@@ -411,20 +411,41 @@ def test_leaks_recall_against_brute_force(spark):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://User@WWW.Example.NET:80/en/x?q#f", "http://example.net/en/", "http://a.example.net/en", "http://notnet/", "http://x.net?y=/", "http://b.example.com/de/1", "http://z.org/fr/", "http://z.org/FR/casino", "http://free-bet.org/", "http://spam-farm.org/a", "http://spammer.org/farming", "http://cheap.org/cheap", "http://cheap.org/a/pills?x", "http://a.org/?casino", "a://b://c/d", "http://ädult.org/adulté"]
+    urls = [None, "", "no scheme", "http://", "HTTP://User@WWW.Example.NET:80/en/x?q#f", "http://example.net/en/", "http://a.example.net/en", "http://notnet/", "http://x.net?y=/", "http://b.example.com/de/1", "http://z.org/fr/", "http://z.org/FR/casino", "http://free-bet.org/", "http://spam-farm.org/a", "http://spammer.org/farming", "http://cheap.org/cheap", "http://cheap.org/a/pills?x", "http://a.org/?casino", "a://b://c/d", "http://ädult.org/adulté", "http://a.org/x#poker", "http://a.org/%63asino", "http://a.org/%zzcasino%", "http://a.org/%C3%A9casino", "casino.org/no-scheme", "HTTP://CASINO.ORG", "http://free.org/win?hot=1", "http://free.org/win", "http://pokeronline.org/", "http://free-bets.example.org", "http://long.org/" + "x" * 100000 + "/casino"]
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r["page_id"]: r for r in urlfilter.url_filter(df).collect()}
     machine = urlfilter.automaton()
     for i, u in enumerate(urls):
         host, path, rule = brute.url(u)
         r = got[i]
-        hard, soft = urlfilter.hits(machine, brute.lower(host + path))
+        hard, soft = brute.url_terms(u, urlfilter.STRICT, urlfilter.SOFT)
+        assert (hard, soft) == urlfilter.hits(machine, urlfilter.scanned(u)) == (r["strict_hits"], r["soft_weight"])
         assert (r["host_"], r["path"], r["rule"]) == (host, path, rule and rule[0]) and r["host"] == "mine"
-        assert r["verdict"] == (rule[1] if rule else "block" if hard or soft >= 2 else "allow")
-    assert got[11]["verdict"] == got[13]["verdict"] == got[16]["verdict"] == "block" and got[14]["verdict"] == got[15]["verdict"] == got[17]["verdict"] == "allow"
+        assert r["verdict"] == (rule[1] if rule else "block" if hard or soft >= 3 else "allow")
+    verdicts = {u: got[i]["verdict"] for i, u in enumerate(urls)}
+    assert all(verdicts[u] == "block" for u in ("http://spam-farm.org/a", "http://cheap.org/a/pills?x", "http://a.org/?casino", "http://a.org/x#poker", "http://a.org/%63asino", "casino.org/no-scheme", "HTTP://CASINO.ORG", "http://free.org/win?hot=1", "http://free-bets.example.org"))
+    assert all(verdicts[u] == "allow" for u in ("http://spammer.org/farming", "http://cheap.org/cheap", "http://free-bet.org/", "http://free.org/win", "http://pokeronline.org/", None, ""))
     assert urlfilter.url_filter(df.limit(0)).count() == 0
 
 
+def test_urls_by_own_lists(spark):
+    df = spark.createDataFrame([(1, "http://a.org/red?blue"), (2, "http://b.org/red"), (3, "http://c.org/green"), (4, "http://sub.d.org/green"), (5, "http://casino.org/")], "page_id long, url string")
+    got = lambda **k: {r["page_id"]: r["verdict"] for r in urlfilter.url_filter(df, **k).collect()}
+    assert got(rules=[("d.org/", "allow")], strict=["green"], soft={"red": 3, "blue": 2}, reject_at=5) == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+    assert set(got(rules=[], strict=[], soft={}).values()) == {"allow"}
+
+
+def test_url_sql(spark, duck, tmp_path):
+    """The SQL on addresses that the given pages don't have."""
+    import duckdb
+
+    urls = [None, "", "a%63b", "http://x.net/%63asino", "http://x.org/%63asino?%73pam=farm", "x.org/%41DS#Track", "http://x.org/%", "http://x.org/%zz-poker", "http://x.org/100%poker", "http://x.org/caf%C3%A9poker", "http://x.org/cheap+pills"]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(urlfilter.op10_url_vocabulary(spark, str(tmp_path)), con.sql(urlfilter.OP10_SQL))
+
+
 def test_shared_folder(spark):
     df = store.stash(spark.range(3), "t")
     assert df.count() == 3 and df._stash_path.startswith(store.shared_dir(spark))

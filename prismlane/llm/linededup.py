@@ -3,8 +3,7 @@
 A page's lines are its \\n-split parts, trimmed of space and \\x09-\\x0D; blank lines are neither counted nor dropped. Pages of a
 host with equal text count once, above and below the line, so mass copies of a page do not turn its prose into boilerplate.
 A line goes when it stands on MIN_PAGES distinct pages of the host at least and on more than 1/ONE_IN of them, whatever part of
-the page such lines are: a page of nothing else is left empty. No row is ever dropped. Only op3_line_dedup, which is bound by its
-SQL, spares pages of which such lines hold more than MAX_SHARE of the characters; op3_line_dedup_whole and the pipeline don't.
+the page such lines are: a page of nothing else is left empty. No row is ever dropped.
 
 A null text stays null with 0 lines; an empty one stays empty; a null host is a host of its own; repeated rows get equal
 results; an empty table gives no rows. Only DataFrame functions; only 8-byte hashes of lines are exchanged, summed up first.
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-ONE_IN, MIN_PAGES, MAX_SHARE = 50, 3, 0.8
+ONE_IN, MIN_PAGES = 50, 3
 _BLANKS = "\t\n\x0b\x0c\r "
 
 
@@ -46,37 +45,28 @@ def boilerplate(docs: DataFrame, host: str, text: str, one_in: int = ONE_IN, min
     return store.stash(many.groupBy("host").agg(F.array_sort(F.collect_set("mark")).alias("marks")), "boilerplate")
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", one_in: int = ONE_IN, min_pages: int = MIN_PAGES, max_share: float | None = None) -> DataFrame:
-    """docs with the lines gone from `text`, and n_lines, n_dropped added (more underscores where docs has such columns). With a
-    max_share, pages of which more of the characters would go keep all."""
+def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", one_in: int = ONE_IN, min_pages: int = MIN_PAGES) -> DataFrame:
+    """docs with the lines gone from `text`, and n_lines, n_dropped added (more underscores where docs has such columns)."""
     marks = boilerplate(docs, host, text, one_in, min_pages)
     key, hit = store.free_name("_host", docs.columns), store.free_name("_marks", docs.columns)
     marks = marks.select(F.col("host").alias(key), F.col("marks").alias(hit))
     out = docs.join(marks, docs[host].eqNullSafe(F.col(key)), "left")
     n_lines, n_dropped = (store.free_name(x, docs.columns) for x in ("n_lines", "n_dropped"))
     parts = _parts(F.col(text))
+    # by hashing, in one pass over the page's lines and the host's marks: those of the marks that stand on this page
+    mine = F.array_intersect(F.transform(F.filter(parts, _has_word), _hash), F.col(hit))
+    out = out.withColumn(hit, F.when(F.col(hit).isNull() | F.col(text).isNull(), F.expr("cast(array() as array<long>)")).otherwise(mine))
+    some = F.size(hit) > 0
     drop = lambda x: _has_word(x) & F.array_contains(F.col(hit), _hash(x))
-    length = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + F.length(F.btrim(x, F.lit(_BLANKS))))
-    gone = F.filter(parts, drop)
-    # a row without marks, or with none of them on it, keeps its text untouched
-    gone = F.when(F.col(hit).isNull() | F.col(text).isNull(), F.expr("cast(array() as array<string>)")).otherwise(gone)
-    info, lines_ = store.free_name("_gone", docs.columns), F.filter(parts, _has_word)
-    out = out.withColumn(info, gone)
-    out = out.withColumn(n_lines, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines_)).cast("long"))
-    spared = F.lit(False) if max_share is None else length(F.col(info)) > max_share * length(lines_)
-    out = out.withColumn(n_dropped, F.when(spared, F.lit(0)).otherwise(F.size(info)).cast("long"))
-    kept = F.array_join(F.filter(parts, lambda x: ~(_has_word(x) & F.array_contains(F.col(hit), _hash(x)))), "\n")
-    out = out.withColumn(text, F.when(F.col(n_dropped) > 0, kept).otherwise(F.col(text)))
-    return out.drop(key, hit, info)
+    out = out.withColumn(n_lines, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.filter(parts, _has_word))).cast("long"))
+    out = out.withColumn(n_dropped, F.when(some, F.size(F.filter(parts, drop))).otherwise(0).cast("long"))
+    # a row with none of the lines keeps its text untouched
+    out = out.withColumn(text, F.when(some, F.array_join(F.filter(parts, lambda x: ~drop(x)), "\n")).otherwise(F.col(text)))
+    return out.drop(key, hit)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents has no host column; its source is the site. Spares pages above MAX_SHARE, as OP3_SQL does."""
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), max_share=MAX_SHARE)
-
-
-def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every page."""
+    """documents has no host column; its source is the site."""
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
 
 
@@ -90,14 +80,9 @@ h as (select source, list(line) marks from m group by source),
 d as (select p.*, coalesce(h.marks, []::varchar[]) marks from p left join h on p.source is not distinct from h.source),
 g as (select *, list_filter(parts, lambda x: trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ') <> '' and list_contains(marks, trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '))) gone,
       list_filter(parts, lambda x: trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ') <> '') full_ from d),
-c as (select *, coalesce(list_sum(list_transform(gone, lambda x: length(trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ')))), 0) gone_chars,
-      coalesce(list_sum(list_transform(full_, lambda x: length(trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ')))), 0) full_chars from g),
-k as (select *, case when text is null or len(gone) = 0 or gone_chars > {MAX_SHARE}::double * full_chars then 0 else len(gone) end nd from c)
+k as (select *, case when text is null then 0 else len(gone) end nd from g)
 select doc_id, source,
   case when nd > 0 then array_to_string(list_filter(parts, lambda x: not (trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ') <> '' and list_contains(marks, trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ')))), chr(10)) else text end as text,
   case when text is null then 0 else len(full_) end::bigint as n_lines, nd::bigint as n_dropped
 from k
 """
-
-#: OP3_SQL without the pages it spares.
-OP3_WHOLE_SQL = OP3_SQL.replace(f" or gone_chars > {MAX_SHARE}::double * full_chars", "")

@@ -8,7 +8,6 @@ QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_wrapper_text": webtext.op2_wrapper_text,
     "op3_line_dedup": linededup.op3_line_dedup,
-    "op3_line_dedup_whole": linededup.op3_line_dedup_whole,
     "op4_language_id": langid.op4_language_id,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -22,7 +21,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
-    "op3_line_dedup_whole": linededup.OP3_WHOLE_SQL,
     "op7_repetition_coverage": repetition.OP7_SQL,
     "op8_hyperminhash": neardup.OP8_SQL,
     "op10_url_vocabulary": urlfilter.OP10_SQL,

@@ -3,8 +3,10 @@
 Statistics of the whole text are computed in NumPy over Arrow batches. Small boosted trees are grown on a sample of about
 SAMPLE labelled rows (by a hash of doc_id, among rows whose crc32(doc_id) mod 4 is not 2); every path from a root is a rule, a
 conjunction of thresholds. A lasso logistic regression weighs the rules and leaves few; those are compiled into one Column
-expression. labels, lang, source and doc_id are no inputs of a score. A null text counts as empty. Without labels of both kinds
-every score is the share of label 1 (0.5 without labels). Each row is scored alone; repeated rows get equal scores.
+expression. labels, lang, source and doc_id are no inputs of a score. A null text counts as empty; long texts are read whole. Without
+labels of both kinds every score is the share of label 1 (0.5 without labels). An id with several texts is learned from its least, one
+labelled 0 and 1 counts for both. Each row is scored alone; repeated rows get equal scores; a score on the cut is accepted. An empty
+table gives no rows; other columns pass through, clashing names get underscores.
 """
 
 from __future__ import annotations
@@ -195,11 +197,12 @@ def compiled(model: tuple[float, list], names: list[str]) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, list]:
     """Fits on the whole texts of about `sample` labelled documents, or of all of them if there are fewer."""
-    mine = labels.where("quality in (0, 1) and doc_id is not null").where(bucket("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("y_"))
+    mine = labels.where("quality in (0, 1) and doc_id is not null").where(bucket("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("y_")).distinct()
     share = sample / max(1, mine.count())
     mine = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # about `sample` ids by construction: small enough to send to the texts, which then aren't exchanged
-    rows, names = with_features(docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id"))
+    # about `sample` distinct ids by construction: small enough to send to the texts; repeated ids are summed up before the exchange
+    texts = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").groupBy("doc_id", "y_").agg(F.min("text").alias("text"))
+    rows, names = with_features(texts)
     got = rows.select("y_", *names, F.xxhash64("doc_id").alias("h_")).toPandas().sort_values(["h_", "y_", *names], kind="stable")
     return fit(got[names].to_numpy(dtype=np.float64), got["y_"].to_numpy(dtype=np.float64))
 

@@ -1,5 +1,6 @@
 """The ten operators on rows with nulls, empty and long texts, ties, repeats and clashing columns, against plain models."""
 
+import math
 import random
 
 import pytest
@@ -239,14 +240,112 @@ def test_toxicity(spark, docs, empty, rows):
     assert toxicity.score(empty, docs, none).count() == 0
 
 
-def test_grammar():
-    lex = toxicity.Lexicon({"scum": 5.0}, {"loweix"[:5]: 4.0})
-    kinds = lambda t: dict(zip(toxicity.KINDS, lex.evidence(t)))
-    assert kinds("He is scum.")["A"] == 5 and kinds("scum he is")["I"] == 5
-    assert kinds("never a scum here")["i"] == 5 and kinds("not in all of this long talk scum")["I"] == 5
-    assert kinds("said scum. fine")["r"] == 5 and kinds("not. scum")["I"] == 5 and kinds("you loweiabc")["A"] == 4
-    assert not any(lex.evidence("scummy alowei fine words")) and not any(lex.evidence(None)) and not any(lex.evidence(""))
-    assert kinds("I will kill you")["H"] == 1 and kinds("you i will kill")["B"] == 1
+def kinds_of(text):
+    """What the grammar finds in a text, by kind, with scum and idiot as the insults."""
+    lex = toxicity.Lexicon({"scum": 5.0, "idiot": 3.0, "fool": 2.0}, {"loweix"[:5]: 4.0})
+    return {k: v for k, v in zip(toxicity.KINDS, lex.evidence(text)) if v}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("He is scum.", {"A": 5}), ("scum he is", {"A": 5}), ("utter scum here", {"I": 5}), ("never a scum here", {"i": 5}), ("not in all of this long talk scum", {"I": 5}),
+        ("said scum. fine", {"r": 5}), ("not. scum", {"I": 5}), ("you loweiabc", {"A": 4}), ("scummy alowei fine words", {}), (None, {}), ("", {}),
+        ("I will kill you", {"B": 1}), ("you i will kill", {"B": 1}), ("He killed them", {"B": 1}), ("this kills you", {"B": 1}), ("kill it", {"H": 1}), ("ich werde dich töten", {"B": 1}), ("I won't kill you", {"h": 1}),
+        ("He said: you are an idiot", {"r": 3}), ("You are an idiot, he said", {"r": 3}), ("You are an idiot who said nonsense", {"A": 3}), ('"You are an idiot!" he said.', {"r": 3}),
+        ('She wrote: "You are an idiot. You are scum." Fine.', {"r": 5}), ('She wrote: "Fine." You are scum', {"A": 5}), ("She said you will kill him", {"q": 1}),
+        ("not, in any way at all, an idiot", {"i": 3}), ("I don't care, you idiot", {"A": 3}), ("not nice but scum", {"I": 5}), ("You are not an idiot, he said", {"i": 3}), ("you\nscum", {"I": 5}),
+        ("fool and idiot; scum", {"I": 5}), ("a fool and an idiot", {"I": 5}), ("IDIOT! you", {"I": 3}),
+    ],
+)
+def test_grammar(text, want):
+    assert kinds_of(text) == want
+
+
+def parsed(symbols):
+    """The grammar of one line as plain loops over its symbols, the composed machines' rule by rule."""
+    out = []
+    for p, s in enumerate(symbols):
+        if s not in "IH":
+            out.append(s)
+            continue
+        before, after = symbols[:p], symbols[p + 1 :]
+        clause = "".join(before).rsplit("C", 1)[-1]
+        rest = "".join(after).split("C", 1)[0]
+        # negation: the last one of the clause, after the last adversative
+        scope = clause.rsplit("X", 1)[-1]
+        negated = False
+        if "N" in scope:
+            between = [x for x in scope.rsplit("N", 1)[1] if x not in "QD"]
+            if between[:1] == ["K"]:
+                between = between[between.index("K", 1) + 1 :] if "K" in between[1:] else ["K"]
+            negated = "K" not in between and len(between) < toxicity.REACH
+        # reports before: to the clause's end, or within the quote opened in that clause
+        state = 0
+        for x in before:
+            state = max(1, state) if x == "R" else {1: 2}.get(state, 0) if x == "Q" else (0 if state == 1 else state) if x == "C" else state
+        reported = state > 0
+        # reports after
+        state, left = "", 0
+        for x in reversed(after):
+            if x == "C":
+                state = state if state == "quoted" else ""
+            elif x == "R":
+                state, left = (state, 0) if state in ("quoted", "before") else ("near", toxicity.REPORT_REACH)
+            elif x == "Q":
+                state = {"near": "quoted", "before": "before"}.get(state, "")
+            elif state == "near" and x in "KD":
+                state = "before" if x == "K" else ""
+            elif state == "near":
+                left -= 1
+                state = state if left else ""
+        reported = reported or state in ("quoted", "before")
+        aimed = "T" in clause or "T" in rest
+        out.append({"I": "irAI", "H": "hqBH"}[s][0 if negated else 1 if reported else 2 if aimed else 3])
+    return out
+
+
+def test_machines_against_plain_loops():
+    lex, rng = toxicity.Lexicon({"scum": 5.0}, {}), random.Random(6)
+    for _ in range(20000):
+        symbols = [rng.choice("IIHTNRXOOOKQDC") for _ in range(rng.randrange(1, 14))]
+        assert lex.rewritten(symbols) == parsed(symbols), symbols
+
+
+def test_toxicity_against_plain_reading(spark):
+    """Scores of whole texts from the learned words and weights, read word by word."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    words, stems, _ = toxicity.learn(toxicity.sampled(docs, labels))
+    lex, rows, found = toxicity.Lexicon(words, stems), docs.select("doc_id", "text").collect(), {}
+    for r in rows:
+        best, n, top = dict.fromkeys(toxicity.KINDS, 0.0), 0, 0.0
+        for line in (r["text"] or "").lower().split("\n"):
+            tokens = toxicity._TOKEN.findall(line)
+            read = []
+            for w in tokens:
+                weight = max([words.get(w.replace("’", "'"), 0.0)] + [v for k, v in stems.items() if w.replace("’", "'").startswith(k)]) if w[0].isalpha() else 0.0
+                read.append(("I", weight) if weight else lex.symbol(w))
+            sums = {}
+            for kind, (_, weight) in zip([*parsed([s for s, _ in read]), "C"], [*read, ("C", 0)]):
+                if kind in best:
+                    sums[kind] = sums.get(kind, 0.0) + weight
+                    top = max(top, weight)
+                elif kind == "C" and sums:
+                    n += 1
+                    best, sums = {k: max(v, sums.get(k, 0.0)) for k, v in best.items()}, {}
+        found[r["doc_id"]] = [min(v, 10.0) for v in best.values()] + [math.log1p(n), top, top * top / 10]
+    for r in rows:
+        assert lex.evidence(r["text"]) == pytest.approx(found[r["doc_id"]])
+
+
+def test_repeated_ids_count_once(spark):
+    """A label row, or a document, that is there a thousand times is one of the sample."""
+    lab = spark.createDataFrame([(1, 1, 1)] * 1000 + [(2, 0, 0), (3, 1, 0), (5, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, f"text {i % 3} of one") for i in range(1000)] + [(k, f"text {k}") for k in range(2, 7)], "doc_id long, text string")
+    train = toxicity.sampled(docs, lab).collect()
+    assert sorted((r["y"], r["text"]) for r in train) == sorted((y, "text 0 of one" if d == 1 else f"text {d}") for d, y in ((1, 1), (2, 0), (3, 0), (5, 1), (6, 0)) if brute.bucket(d, 3) != 1)
+    got = quality.scored(docs, lab)
+    assert got.count() == 1005 and got.select("score").where("doc_id = 1").distinct().count() <= 3
 
 
 # 7 repetition

@@ -1,15 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The vocabulary is that of the benchmark: A-Z lower-cased words without ASCII punctuation at their ends. Every text becomes the
+The vocabulary is that of the whole benchmark: A-Z lower-cased words without ASCII punctuation at their ends. Every text becomes the
 sequence of its vocabulary numbers (0 for other words), kept in the shared folder; all later passes read that, not the text.
 
 1. Document frequencies over all passages of WINDOW words.
-2. Randomised range finder over the TF-IDF passages, distributed: each task adds up A'(A G) for a fixed Gaussian G over its passages, sums
-   meet by blocks of terms; the benchmark's own rows join with the weight QUERY_SHARE of the corpus energy, so its directions are
-   in the basis. An orthonormal basis of that product is turned so that the directions
-   the benchmark's rows fill most come first, and cut to RANK: a range finder led by the benchmark, with no singular vectors or
-   values of the passages themselves. Where the benchmark takes several blocks, each has a vocabulary, IDF and basis of its own.
-3. Each passage, at a stride of half a window, is held against all benchmark items by cosine, in blocks.
+2. Randomised SVD of the TF-IDF passages A, distributed, in one pass: each task adds up A'(A G) over its passages for a fixed Gaussian G
+   (a term's row follows from its hash); sums meet in rounds, by blocks of terms, FAN_IN at a time. The benchmark's own rows Q join as
+   A'A + c Q'Q, with QUERY_SHARE of the corpus energy, so its directions are in the basis. The leading RANK right singular vectors come
+   from that product by the Nystroem form (Y (G'Y)^-1 Y', eigenvectors of it), on the driver.
+3. Candidates: an inverted index holds for each item the fewest rarest terms without one of which it can't pass step 4; passages, at a
+   stride of half a window, meet the items that an own term or a neighbour's names. Pairs whose latent vectors have a cosine of
+   LEAST_COSINE or more go on. So the work follows the rare terms found, not passages times items.
 4. A candidate counts if the longest common subsequence of item and neighbourhood covers LEAST_LCS of the item's words and
    LEAST_KEYS of the IDF weight of its terms are there (LEAST_KEYS of the `answer` words instead, where the benchmark has such a column and it
    isn't null); an item of under SHORT words must be there almost whole.
@@ -19,9 +20,11 @@ with a vector, a subsequence and key terms of its own, so that a contiguous pass
 `cosine` are then the piece's. Answers are looked for as far around a piece as around its whole item.
 
 Terms on more than COMMON of all passages are left out of the vectors (each item keeps the rarer half of its own); they still count in
-the subsequence. An item or text that is null or has no words matches nothing. The benchmark is collected in blocks of at most
-ITEMS items and pieces, each block a pass, so what is broadcast is bounded. Every row of docs gives one row; repeated rows agree; ties
-between items go to the higher cosine, then the smaller item_id. Empty tables: no rows, or all rows clean.
+the subsequence. Vocabulary, frequencies and basis are of the whole benchmark: 8, 8 and 4 * RANK bytes a distinct word on driver and
+workers. Items and pieces are indexed and sent in blocks of about ITEMS, a pass each, with one result whatever their number. item_id
+may be of any type that has an order. An item or text that is null or has no words matches nothing; repeated items are one. Every row of
+docs gives one row; repeated rows agree; ties between items go to the higher cosine, then the smaller item_id (null last). Empty tables:
+no rows, or all rows clean. Other columns of both tables are left alone and not returned. Long texts are read whole, in slices of rows.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ store.by_value(tk.__name__)
 store.by_value(__name__)
 
 WINDOW, RANK, EXTRA, SEED, QUERY_SHARE, COMMON = 48, 64, 16, 7, 0.5, 0.02
-LEAST_COSINE, LEAST_LCS, LEAST_KEYS, SHORT, KEYS, ITEMS = 0.30, 0.6, 0.6, 8, 5, 20000
-BLOCK = 256  # terms that are summed together
+LEAST_COSINE, LEAST_LCS, LEAST_KEYS, SHORT, LEAST_SHORT, KEYS, ITEMS = 0.30, 0.6, 0.6, 8, 0.95, 5, 20000
+BLOCK, FAN_IN, TASKS_A_CORE = 256, 16, 4  # terms that are summed together; sums that meet in a task; tasks that make sums
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
@@ -103,7 +106,7 @@ def vectors(p: np.ndarray, t: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tu
     """Passages that have a weighted term (their numbers), where each begins, terms and unit TF-IDF weights."""
     w = (1 + np.log(tf)) * idf[t]
     live = w > 0
-    p, t, w = p[live], t[live], w[live]
+    p, t, w = p[live], t[live], w[live].astype(np.float32)
     if not len(p):
         return p, np.zeros(0, np.int64), t, w
     first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
@@ -123,106 +126,183 @@ def longest_common(item: dict[int, int], size: int, words: list[int]) -> int:
     return size - v.bit_count()
 
 
-class Item:
-    __slots__ = ("answer", "id", "keys", "masks", "size")
+def _summed(make, coded: DataFrame, schema: str = "block int, part int, blob binary") -> dict[int, np.ndarray]:
+    """Adds up the float64 blobs that make(batches, part) gives for each task, by block, FAN_IN at a time, in as many rounds as it takes."""
 
-    def __init__(self, item_id, ids: list[int], answer: list[int] | None):
-        self.id, self.size, self.answer, self.masks, self.keys = item_id, len(ids), answer, {}, {}
-        for k, w in enumerate(ids):
-            self.masks[w] = self.masks.get(w, 0) | (1 << k)
+    def made(batches):
+        from pyspark import TaskContext
 
-
-def _summed(df: DataFrame) -> dict[int, np.ndarray]:
-    """Adds up float64 blobs by block, in two steps so no task gets the blobs of all tasks."""
+        yield from make(batches, TaskContext.get().partitionId())
 
     def add(key, table):
         total = None
         for x in table.column("blob"):
             v = np.frombuffer(x.as_buffer(), np.float64)
             total = v.copy() if total is None else total + v
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
+
+    parts = max(1, TASKS_A_CORE * coded.sparkSession.sparkContext.defaultParallelism)
+    sums = coded.coalesce(parts).mapInArrow(made, schema)  # sums are as wide as the vocabulary, so their number follows the machines
+    while True:
+        parts = -(-parts // FAN_IN)
+        sums = sums.withColumn("part", F.expr(f"cast(part div {FAN_IN} as int)")).groupBy("block", "part").applyInArrow(add, schema)
+        if parts == 1:
+            return {r["block"]: np.frombuffer(r["blob"], np.float64) for r in sums.select("block", "blob").collect()}
+
+
+class _Sums:
+    """A matrix of which only the blocks of BLOCK rows that are touched exist."""
 
-    part = df.groupBy("block", F.pmod(F.xxhash64("blob"), F.lit(32)).alias("s")).applyInArrow(add, "block int, blob binary")
-    return {r["block"]: np.frombuffer(r["blob"], np.float64) for r in part.groupBy("block").applyInArrow(add, "block int, blob binary").collect()}
+    def __init__(self, columns: int):
+        self.columns, self.blocks = columns, {}
 
+    def add(self, rows: np.ndarray, values: np.ndarray) -> None:
+        """values to the sorted distinct rows."""
+        number = rows // BLOCK
+        at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(rows) else np.zeros(0, np.int64)
+        for a, b in zip(at, np.append(at[1:], len(rows))):
+            k = int(number[a])
+            if k not in self.blocks:
+                self.blocks[k] = np.zeros((BLOCK, self.columns))
+            self.blocks[k][rows[a:b] - k * BLOCK] += values[a:b]
 
-def _blobs(matrix: np.ndarray, tail: float | None = None) -> pa.RecordBatch:
-    rows = [(k // BLOCK, np.ascontiguousarray(matrix[k : k + BLOCK]).tobytes()) for k in range(0, len(matrix), BLOCK)]
-    if tail is not None:
-        rows.append((-1, np.array([tail]).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "blob"])
+    def rows(self, part: int) -> pa.RecordBatch:
+        keys = sorted(self.blocks)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), pa.array([self.blocks[k].tobytes() for k in keys], pa.binary())], names=["block", "part", "blob"])
+
+
+def _whole(got: dict[int, np.ndarray], width: int, columns: int) -> np.ndarray:
+    out = np.zeros((-(-width // BLOCK) * BLOCK, columns))
+    for k, v in got.items():
+        if k >= 0:
+            out[k * BLOCK : (k + 1) * BLOCK] = v.reshape(BLOCK, columns)
+    return out[:width]
 
 
 def frequencies(coded: DataFrame, width: int) -> tuple[np.ndarray, float]:
     """Passages that hold each term, and the number of passages."""
 
-    def run(batches):
+    def make(batches, part):
         df, n = np.zeros(width), 0.0
         for batch in batches:
             for _, ids, off in sequences(batch):
                 _, t, _, prow, _ = passages(ids, off, 0, width)
                 df += np.bincount(t, minlength=width)
                 n += len(prow)
-        yield _blobs(df, n)
+        if n:
+            sums = _Sums(1)
+            some = np.flatnonzero(df)
+            sums.add(some, df[some, None])
+            sums.blocks[-1] = np.full(1, n)
+            yield sums.rows(part)
+
+    got = _summed(make, coded)
+    return _whole(got, width, 1)[:, 0], float(got[-1][0]) if got else 0.0
 
-    got = _summed(coded.mapInArrow(run, "block int, blob binary"))
-    if not got:
-        return np.zeros(width), 0.0
-    return np.concatenate([got[k] for k in sorted(got) if k >= 0]), float(got[-1][0])
 
+def gaussians(vocabulary: np.ndarray, rank: int) -> np.ndarray:
+    """A row of standard normal numbers for each term, from its hash."""
+    draw = tk._spread(vocabulary[:, None] + np.arange(1, 2 * rank + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
+    u = ((draw >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return (np.sqrt(-2 * np.log(u[:, :rank])) * np.cos(2 * np.pi * u[:, rank:])).astype(np.float32)
 
-def latent_basis(coded: DataFrame, idf: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """An orthonormal basis (terms x RANK) of the leading right singular space of passages and query rows."""
+
+def products(first: np.ndarray, t: np.ndarray, w: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (terms, ascending) of A'(A G) that aren't zero, for the sparse rows of A."""
+    w = w[:, None]
+    y = np.add.reduceat(g[t] * w, first, axis=0)
+    y = np.repeat(y, np.diff(np.append(first, len(t))), axis=0) * w
+    order = np.argsort(t, kind="stable")
+    t = t[order]
+    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    return t[at], np.add.reduceat(y[order], at, axis=0)
+
+
+def latent_basis(coded: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, queries) -> np.ndarray:
+    """The leading right singular vectors (terms x RANK) of passages and query rows; queries() gives slices (first, terms, weights) of the latter."""
     width, rank = len(idf), min(RANK + EXTRA, len(idf))
-    g = np.random.default_rng(SEED).standard_normal((width, rank)).astype(np.float32)
+    g = gaussians(vocabulary, rank)
 
-    def run(batches):
-        total = np.zeros((width, rank), dtype=np.float64)
+    def make(batches, part):
+        total = _Sums(rank)
         for batch in batches:
             for _, ids, off in sequences(batch):
                 p, t, tf, _, _ = passages(ids, off, 0, width)
                 _, first, t, w = vectors(p, t, tf, idf)
-                if not len(first):
-                    continue
-                w = w.astype(np.float32)[:, None]
-                y = np.add.reduceat(g[t] * w, first, axis=0)
-                y = np.repeat(y, np.diff(np.append(first, len(t))), axis=0) * w
-                order = np.argsort(t, kind="stable")
-                t = t[order]
-                at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                total[t[at]] += np.add.reduceat(y[order], at, axis=0)
-        yield _blobs(total)
-
-    got = _summed(coded.mapInArrow(run, "block int, blob binary"))
-    y = np.concatenate([got[k] for k in sorted(got)]).reshape(width, rank) if got else np.zeros((width, rank))
-    q = query.T @ (query @ g)
+                if len(first):
+                    total.add(*products(first, t, w, g))
+        yield total.rows(part)
+
+    y, q = _whole(_summed(make, coded), width, rank), np.zeros((width, rank))
+    for first, t, w in queries():
+        rows, values = products(first, t, w, g)
+        q[rows] += values
     mass, own = np.linalg.norm(y), np.linalg.norm(q)
     y = (y / mass if mass else y) + QUERY_SHARE * (q / own if own else q)
-    basis, _ = np.linalg.qr(y)
-    # rotate so that the directions that carry the query rows come first
-    _, _, turn = np.linalg.svd(query @ basis, full_matrices=False)
-    return (basis @ turn.T)[:, :RANK].astype(np.float32)
+    return singular_vectors(y, g.astype(np.float64))[:, :RANK].astype(np.float32)
+
+
+def singular_vectors(y: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Leading eigenvectors of a positive semidefinite M, from y = M g, by the Nystroem form."""
+    y = y + 1e-9 * max(np.linalg.norm(y), 1e-300) * g / np.linalg.norm(g)
+    values, turn = np.linalg.eigh((g.T @ y + y.T @ g) / 2)
+    some = values > 1e-12 * max(values[-1], 1e-300)
+    u, _, _ = np.linalg.svd(y @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)
+    return u
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), contaminated, kept, item_id, cosine, lcs for each row of docs (null item_id, 0.0 and 0.0
     for clean ones)."""
-    has_answer = "answer" in benchmark.columns
-    items = benchmark.select("item_id", "text", (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer"))
-    items = _with_pieces(items)
-    blocks = max(1, -(-items.count() // ITEMS))
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    kind = benchmark.schema["item_id"].dataType
     docs = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    items = _with_pieces(benchmark.select("item_id", "text", answer.alias("answer")).distinct())
+    blocks = max(1, -(-items.count() // ITEMS))
     if blocks == 1:
-        return _against(docs, _sorted(items))
+        all_ = _sorted(items)
+        of = lambda k: all_
+    else:
+        items = store.stash(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+        of = lambda k: _sorted(items.where(F.col("block") == k).drop("block"))
+    vocabulary = np.zeros(0, np.uint64)
+    for k in range(blocks):
+        vocabulary = np.union1d(vocabulary, np.concatenate([vocabulary, *(h for r in _hashed(of(k)) for h in (r[1], r[2]) if h is not None)]))
+    if not len(vocabulary):
+        none = F.lit(None).cast(kind)
+        return docs.select("doc_id", "text_hash", F.lit(False).alias("contaminated"), F.lit(True).alias("kept"), none.alias("item_id"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs"))
+    width, of_doc = len(vocabulary), docs.schema["doc_id"].dataType.simpleString()
+    coded = store.stash(docs.mapInArrow(encode(vocabulary), f"doc_id {of_doc}, text_hash long, ids binary"), "coded")
+    df, total = frequencies(coded, width)
+    idf = np.log((total + 1) / (df + 1))
+    full_idf, wanted = np.maximum(idf, 1e-3), df <= COMMON * total
+    for k in range(blocks):  # each item's rarer half has a weight
+        for _, h, _, _ in _hashed(of(k)):
+            ids = np.unique(np.searchsorted(vocabulary, h))
+            wanted[ids[np.argsort(df[ids], kind="stable")[: max(KEYS, len(ids) // 2)]]] = True
+    weight = np.where(wanted, full_idf, 0.0)
+
+    def queries():
+        for k in range(blocks):
+            rows = [np.searchsorted(vocabulary, r[1]) for r in _hashed(of(k))]
+            for i in range(0, len(rows), 2048):
+                _, first, t, w = _query_rows(rows[i : i + 2048], width, weight)
+                if len(first):
+                    yield first, t, w
+
+    basis = latent_basis(coded, vocabulary, weight, queries)
     hits = None
     for k in range(blocks):
-        mine = _against(docs, _sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))).where("contaminated").drop("contaminated", "kept")
-        hits = mine if hits is None else hits.unionByName(mine)
-    best = hits.groupBy("doc_id", "text_hash").agg(F.max_by(F.struct("item_id", "cosine", "lcs"), F.struct("cosine", -F.col("item_id"))).alias("r")).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "r.*")
-    rows = docs.select("doc_id", "text_hash")
-    found = rows.join(best, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
-    hit = F.col("hash_").isNotNull()
-    return found.select("doc_id", "text_hash", hit.alias("contaminated"), (~hit).alias("kept"), "item_id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("lcs", F.lit(0.0)).alias("lcs"))
+        rows = _hashed(of(k))
+        if rows:
+            mine = _against(coded, Index(rows, vocabulary, full_idf, weight, basis), weight, basis, of_doc, kind)
+            hits = mine if hits is None else hits.unionByName(mine)
+    if blocks > 1:
+        hits = hits.where("contaminated").groupBy("doc_id", "text_hash").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("item_id").isNull().alias("n"), "item_id", "lcs")).alias("r"))
+        best = hits.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "r.item_id", (-F.col("r.c")).alias("cosine"), "r.lcs")
+        rows = docs.select("doc_id", "text_hash")
+        hits = rows.join(best, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left").withColumn("contaminated", F.col("hash_").isNotNull())
+    return hits.select("doc_id", "text_hash", "contaminated", (~F.col("contaminated")).alias("kept"), "item_id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("lcs", F.lit(0.0)).alias("lcs"))
 
 
 def _with_pieces(items: DataFrame) -> DataFrame:
@@ -237,122 +317,189 @@ def _with_pieces(items: DataFrame) -> DataFrame:
 
 
 def _sorted(items: DataFrame) -> list[tuple]:
-    return sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
+    return sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0] is None, *(() if r[0] is None else (r[0],)), r[1] or "", r[2] or ""))
 
 
-def _against(docs: DataFrame, rows: list[tuple]) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _hashed(rows: list[tuple]) -> list[tuple]:
+    """(item_id, hashes of the words, of the answer's or None, span) of the items that have words."""
 
-    def coded_item(value: str | None) -> np.ndarray:
-        data, off = tk.text_bytes(pa.array([value or ""], pa.large_string()))
-        return terms(data, off)[0]
+    def of(texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        hashes, row = terms(*tk.text_bytes(pa.array([t or "" for t in texts], pa.large_string())))
+        return np.split(hashes, np.searchsorted(row, np.arange(1, len(texts))))
 
-    rows = [(i, coded_item(t), coded_item(a) if a else None, n) for i, t, a, n in rows]
-    rows = [r for r in rows if len(r[1])]
-    clean = docs.select("doc_id", "text_hash", F.lit(False).alias("contaminated"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("lcs"))
-    if not rows:
-        return clean
-    vocabulary = np.unique(np.concatenate([np.concatenate([h, a]) if a is not None else h for _, h, a, _ in rows]))
-    width = len(vocabulary)
-    place = lambda h: np.searchsorted(vocabulary, h)
-    coded = store.stash(docs.mapInArrow(encode(vocabulary), f"doc_id {kind}, text_hash long, ids binary"), "coded")
-    df, total = frequencies(coded, width)
-    idf = np.log((total + 1) / (df + 1))
-    full_idf = np.maximum(idf, 1e-3)
-    wanted = df <= COMMON * total
-    items, query = [], np.zeros((len(rows), width), dtype=np.float64)
-    for _, h, _, _ in rows:
-        ids = np.unique(place(h))
-        wanted[ids[np.argsort(df[ids], kind="stable")[: max(KEYS, len(ids) // 2)]]] = True
-    weight = np.where(wanted, full_idf, 0.0)
-    for k, (item_id, h, answer, _) in enumerate(rows):
-        ids = place(h)
-        item = Item(item_id, (ids + 1).tolist(), (place(answer) + 1).tolist() if answer is not None else None)
-        seen = np.unique(ids)
-        item.keys = {int(x) + 1: float(full_idf[x]) for x in seen}
-        items.append(item)
-        t, tf = np.unique(ids, return_counts=True)
-        query[k, t] = (1 + np.log(tf)) * weight[t]
-        query[k] /= max(1e-12, np.linalg.norm(query[k]))
-    basis = latent_basis(coded, weight, query)
-    target = (query @ basis).astype(np.float32)
-    target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)
-    keys = [{w: item.answer.count(w) for w in item.answer} if item.answer is not None else item.keys for item in items]
-    enough = np.array([LEAST_KEYS * sum(k.values()) for k in keys])
-    codes = np.array(sorted((k * width + w - 1, v) for k, x in enumerate(keys) for w, v in x.items()))
-    codes, values = codes[:, 0].astype(np.int64), codes[:, 1]
-    own = np.array([max(WINDOW, item.size) for item in items])
-    reach = np.array([max(o, r[3]) if item.answer is not None else o for o, item, r in zip(own.tolist(), items, rows)])
-
-    def verify(k: int, near: list[int], wide: list[int]) -> float:
-        item, there = items[k], set(wide)
-        if sum(v for w, v in keys[k].items() if w in there) < enough[k]:
-            return 0.0
-        lcs = longest_common(item.masks, item.size, near) / item.size
-        return lcs if lcs >= (LEAST_LCS if item.size >= SHORT else 0.95) else 0.0
+    out = zip((r[0] for r in rows), of([r[1] for r in rows]), of([r[2] for r in rows]), rows)
+    return [(i, h, a if r[2] else None, r[3]) for i, h, a, r in out if len(h)]
 
-    def search(batches):
-        dense = None
-        if len(items) * width <= 1 << 24:
-            dense = np.zeros(len(items) * width, dtype=np.float32)
-            dense[codes] = values
-
-        def weight_there(p: np.ndarray, k: np.ndarray, begin: np.ndarray, term: np.ndarray) -> np.ndarray:
-            """The weight of item k's key terms in passage p, for each pair."""
-            n = begin[p + 1] - begin[p]
-            some = np.flatnonzero(n > 0)
-            out = np.zeros(len(p))
-            if len(some):
-                n = n[some]
-                first = np.cumsum(n) - n
-                at = np.arange(n.sum()) - np.repeat(first - begin[p[some]], n)
-                code = np.repeat(k[some] * width, n) + term[at]
-                if dense is not None:
-                    got = dense[code]
-                else:
-                    place_ = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    got = np.where(codes[place_] == code, values[place_], 0.0)
-                out[some] = np.add.reduceat(got, first)
+
+def _query_rows(rows: list[np.ndarray], width: int, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The items' sparse unit rows, as vectors() gives them."""
+    key = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) * width + np.concatenate(rows)
+    key, tf = np.unique(key, return_counts=True)
+    return vectors(key // width, key % width, tf, weight)
+
+
+class Index:
+    """A block of items as flat arrays: word sequences, key terms and their weights, latent vectors, and an inverted index of the terms
+    of which an item needs one at least."""
+
+    def __init__(self, rows: list[tuple], vocabulary: np.ndarray, full_idf: np.ndarray, weight: np.ndarray, basis: np.ndarray):
+        width, n = len(vocabulary), len(rows)
+        words = [np.searchsorted(vocabulary, h) for _, h, _, _ in rows]
+        self.ids, self.width = [r[0] for r in rows], width
+        self.words, self.begin = np.concatenate(words).astype(np.uint32), np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        size = np.diff(self.begin)
+        self.own = np.maximum(WINDOW, size)
+        self.reach = np.array([max(o, r[3]) if r[2] is not None else o for o, r in zip(self.own.tolist(), rows)])
+        self.target = np.zeros((n, basis.shape[1]), dtype=np.float32)
+        for i in range(0, n, 2048):
+            q, first, t, w = _query_rows(words[i : i + 2048], width, weight)
+            if len(q):
+                self.target[i + q] = latent(first, t, w, basis)
+        codes, values, enough, posted = [], [], np.zeros(n), []
+        for k, (w, (_, _, answer, _)) in enumerate(zip(words, rows)):
+            if answer is None:
+                t = np.unique(w)
+                v = full_idf[t]
+                rare = np.argsort(-v, kind="stable")
+                need = 1 + int(np.searchsorted(np.cumsum(v[rare]), (1 - LEAST_KEYS) * v.sum() * (1 + 1e-6)))
+                posted.append(t[rare[:need]])
+            else:
+                t, v = np.unique(np.searchsorted(vocabulary, answer), return_counts=True)
+                rare = w[np.argsort(-full_idf[w], kind="stable")]
+                posted.append(np.unique(rare[: len(w) - int(np.ceil(self.least(len(w)) * len(w) - 1e-9)) + 1]))
+            codes.append(k * width + t)
+            values.append(v)
+            enough[k] = LEAST_KEYS * v.sum()
+        self.codes, self.values, self.enough = np.concatenate(codes), np.concatenate(values).astype(np.float64), enough
+        term, item = np.concatenate(posted), np.repeat(np.arange(n), [len(x) for x in posted])
+        order = np.argsort(term, kind="stable")
+        self.item, self.posted, self.at = item[order], *np.unique(term[order], return_index=True)
+        self.masks: dict[int, dict[int, int]] = {}
+
+    @staticmethod
+    def least(size: int) -> float:
+        return LEAST_LCS if size >= SHORT else LEAST_SHORT
+
+    def named(self, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (passage, item) of the inverted index, for terms t of passages p."""
+        if not len(self.posted):
+            return p[:0], p[:0]
+        at = np.minimum(np.searchsorted(self.posted, t), len(self.posted) - 1)
+        some = np.flatnonzero(self.posted[at] == t)
+        begin = self.at[at[some]]
+        n = np.append(self.at, len(self.item))[at[some] + 1] - begin
+        first = np.cumsum(n) - n
+        return np.repeat(p[some], n), self.item[np.arange(n.sum()) - np.repeat(first - begin, n)]
+
+    def weight_there(self, p: np.ndarray, k: np.ndarray, begin: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """The weight of item k's key terms in passage p, for each pair."""
+        n = begin[p + 1] - begin[p]
+        some = np.flatnonzero(n > 0)
+        out = np.zeros(len(p))
+        if len(some):
+            n = n[some]
+            first = np.cumsum(n) - n
+            code = np.repeat(k[some] * self.width, n) + term[np.arange(n.sum()) - np.repeat(first - begin[p[some]], n)]
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            out[some] = np.add.reduceat(np.where(self.codes[at] == code, self.values[at], 0.0), first)
+        return out
+
+    def verify(self, k: int, near: np.ndarray, wide: np.ndarray) -> float:
+        """The share of item k's words in the longest common subsequence, 0.0 if that or the key terms don't suffice."""
+        a, b = np.searchsorted(self.codes, [k * self.width, (k + 1) * self.width])
+        if self.values[a:b][np.isin(self.codes[a:b] - k * self.width, wide)].sum() < self.enough[k]:
+            return 0.0
+        size = int(self.begin[k + 1] - self.begin[k])
+        if k not in self.masks:
+            if len(self.masks) > 4096:
+                self.masks.clear()
+            mine = self.masks[k] = {}
+            for i, w in enumerate(self.words[self.begin[k] : self.begin[k + 1]].tolist()):
+                mine[w] = mine.get(w, 0) | (1 << i)
+        lcs = longest_common(self.masks[k], size, near.tolist()) / size
+        return lcs if lcs >= self.least(size) else 0.0
+
+
+def latent(first: np.ndarray, t: np.ndarray, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of sparse rows."""
+    x = np.add.reduceat(basis[t] * w[:, None], first, axis=0)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _against(coded: DataFrame, index: Index, weight: np.ndarray, basis: np.ndarray, of_doc: str, kind) -> DataFrame:
+    """Each row's best item of the index."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    width, many, item_type = len(weight), len(index.ids), to_arrow_type(kind)
+    steps = -(-index.reach // WINDOW)  # passages on either side that the neighbourhood of an item touches
+
+    def candidates(p: np.ndarray, t: np.ndarray, prow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (passage, item) named by a term of the passage or of a neighbour."""
+        p, k = index.named(p, t)
+        pairs = own = np.unique(p * many + k)
+        p, k = own // many, own % many
+        for d in range(1, int(steps[k].max(initial=0)) + 1):
+            far = steps[k] >= d
+            for q in (p[far] - d, p[far] + d):
+                ok = (q >= 0) & (q < len(prow))
+                ok[ok] = prow[q[ok]] == prow[p[far][ok]]
+                pairs = np.concatenate([pairs, q[ok] * many + k[far][ok]])
+        pairs = np.unique(pairs)
+        return pairs // many, pairs % many
+
+    def cosines(pp: np.ndarray, k: np.ndarray, p: np.ndarray, first: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of the pairs; passages without a weighted term have 0."""
+        out = np.zeros(len(pp), dtype=np.float32)
+        if not len(p):
             return out
+        at = np.minimum(np.searchsorted(p, pp), len(p) - 1)
+        some = np.flatnonzero(p[at] == pp)
+        last = np.append(first[1:], len(t))
+        for a in range(0, len(some), 4096):
+            mine = some[a : a + 4096]
+            need, back = np.unique(at[mine], return_inverse=True)
+            n = last[need] - first[need]
+            begin = np.cumsum(n) - n
+            pick = np.arange(n.sum()) - np.repeat(begin - first[need], n)
+            out[mine] = np.einsum("ij,ij->i", latent(begin, t[pick], w[pick], basis)[back], index.target[k[mine]])
+        return out
 
+    def search(batches):
         for batch in batches:
             best: list[tuple | None] = [None] * batch.num_rows
             for i0, ids, off in sequences(batch):
                 for shift in (0, WINDOW // 2):
                     p0, t0, tf, prow, at = passages(ids, off, shift, width)
+                    pp, k = candidates(p0, t0, prow)
+                    cos = cosines(pp, k, *vectors(p0, t0, tf, weight))
+                    near = cos >= LEAST_COSINE
+                    pp, k, cos = pp[near], k[near], cos[near]
+                    # no more key weight can be there than in the passages around: a bound that only ends what verify() would
                     begin = np.searchsorted(p0, np.arange(len(prow) + 1))
-                    p, first, t, w = vectors(p0, t0, tf, weight)
-                    for a in range(0, len(p), 2048):
-                        b = min(len(p), a + 2048)
-                        lo, hi = first[a], first[b] if b < len(p) else len(t)
-                        x = np.add.reduceat(basis[t[lo:hi]] * w[lo:hi, None].astype(np.float32), first[a:b] - lo, axis=0)
-                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                        cos = x @ target.T
-                        r, k = np.nonzero(cos >= LEAST_COSINE)
-                        pp = p[a + r]
-                        # no more key weight can be near than in the passages around: a bound that only ends what verify() would
-                        most = weight_there(pp, k, begin, t0)
-                        for d in range(1, int(-(-reach.max() // WINDOW)) + 1):
-                            for q in (pp - d, pp + d):
-                                ok = np.flatnonzero((q >= 0) & (q < len(prow)) & (d <= -(-reach[k] // WINDOW)) & (most < enough[k]))
-                                ok = ok[prow[q[ok]] == prow[pp[ok]]]
-                                most[ok] += weight_there(q[ok], k[ok], begin, t0)
-                        for j in np.flatnonzero(most >= enough[k] * (1 - 1e-5)):
-                            row, start, kk, c = int(prow[pp[j]]), int(at[pp[j]]), int(k[j]), float(cos[r[j], k[j]])
-                            old = best[i0 + row]
-                            if old is not None and (old[0], -old[3]) >= (c, -kk):
-                                continue
-                            near, wide = (ids[off[row] + max(0, start - d) : min(off[row + 1], off[row] + start + WINDOW + d)] for d in (own[kk], reach[kk]))
-                            got = verify(kk, near[near > 0].tolist(), wide[wide > 0].tolist())
-                            if got:
-                                best[i0 + row] = (c, got, items[kk].id, kk)
+                    most = index.weight_there(pp, k, begin, t0)
+                    for d in range(1, int(steps[k].max(initial=0)) + 1):
+                        for q in (pp - d, pp + d):
+                            ok = np.flatnonzero((q >= 0) & (q < len(prow)) & (d <= steps[k]) & (most < index.enough[k]))
+                            ok = ok[prow[q[ok]] == prow[pp[ok]]]
+                            most[ok] += index.weight_there(q[ok], k[ok], begin, t0)
+                    for j in np.flatnonzero(most >= index.enough[k] * (1 - 1e-5)):
+                        row, start, kk, c = int(prow[pp[j]]), int(at[pp[j]]), int(k[j]), float(cos[j])
+                        old = best[i0 + row]
+                        if old is not None and (old[0], -old[2]) >= (c, -kk):
+                            continue
+                        around = [ids[off[row] + max(0, start - d) : min(off[row + 1], off[row] + start + WINDOW + d)] for d in (index.own[kk], index.reach[kk])]
+                        got = index.verify(kk, *(x[x > 0] - 1 for x in around))
+                        if got:
+                            best[i0 + row] = (c, got, kk)
             hit = [x is not None for x in best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(hit, pa.bool_()), pa.array([not x for x in hit], pa.bool_()), pa.array([x and x[2] for x in best], pa.int64()), pa.array([x[0] if x else 0.0 for x in best], pa.float64()), pa.array([x[1] if x else 0.0 for x in best], pa.float64())],
-                names=["doc_id", "text_hash", "contaminated", "kept", "item_id", "cosine", "lcs"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(hit, pa.bool_()), pa.array([index.ids[x[2]] if x else None for x in best], item_type), pa.array([x[0] if x else 0.0 for x in best], pa.float64()), pa.array([x[1] if x else 0.0 for x in best], pa.float64())],
+                names=["doc_id", "text_hash", "contaminated", "item_id", "cosine", "lcs"],
             )
 
-    return coded.mapInArrow(search, f"doc_id {kind}, text_hash long, contaminated boolean, kept boolean, item_id long, cosine double, lcs double")
+    return coded.mapInArrow(search, f"doc_id {of_doc}, text_hash long, contaminated boolean, item_id {kind.simpleString()}, cosine double, lcs double")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

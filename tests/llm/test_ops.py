@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from prismlane.llm import langid, leaks, linededup, mixing, neardup, quality, queries, repetition, store, toxicity, urlfilter, webtext
+from prismlane.llm import langid, linededup, mixing, neardup, quality, queries, repetition, store, toxicity, urlfilter, webtext
 
 from ..conftest import MEDIUM, SMALL, same_rows
 from . import brute
@@ -417,95 +417,6 @@ def test_components(spark):
     assert neardup.components(path.limit(0)).count() == 0
 
 
-# 9 leaks
-
-
-@pytest.mark.parametrize("most", [leaks.ITEMS, 9])
-def test_leaks(spark, docs, rows, empty, monkeypatch, most):
-    monkeypatch.setattr(leaks, "ITEMS", most)
-    rng = random.Random(8)
-    pool = [f"word{i}" for i in range(800)]
-    text = lambda n: [rng.choice(pool) for _ in range(n)]
-    items = [(k, " ".join(text(30)) + ".") for k in range(20)] + [(50, None), (51, ""), (52, "...")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    made, want = [], {}
-    for k in range(60):
-        body = text(rng.choice([0, 40, 300]))
-        item = brute.words(items[k % 20][1])
-        if k < 40:
-            if k >= 20:  # a paraphrase: a fifth of the words differ
-                item = [w if rng.random() > 0.2 else rng.choice(pool) for w in item]
-            at = rng.randrange(len(body) + 1)
-            body = body[:at] + item + body[at:]
-            want[k] = k % 20
-        made.append((k, " ".join(body).upper() if k % 2 else " ".join(body)))
-    got = {r["doc_id"]: r for r in leaks.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
-    assert len(got) == 60
-    for k, r in got.items():
-        assert r["contaminated"] == (k in want) and r["kept"] != r["contaminated"] and (k not in want or r["item_id"] == want[k])
-    out = leaks.leaks(docs, bench)
-    assert out.count() == len(rows) and out.where("contaminated").count() == 0
-    assert leaks.leaks(empty, bench).count() == 0
-    assert leaks.leaks(docs, bench.limit(0)).where("kept").count() == len(rows)
-
-
-def test_answers(spark):
-    q = "which colour has the sky over the sea at noon in the summer of that year"
-    bench = spark.createDataFrame([(1, q, "deep azure")], "item_id long, text string, answer string")
-    made = [(1, f"intro words {q} it was deep azure of course"), (2, f"intro words {q} nobody knows that at all")]
-    got = {r["doc_id"]: r["contaminated"] for r in leaks.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
-    assert got == {1: True, 2: False}
-
-
-@pytest.mark.parametrize("most", [leaks.ITEMS, 9])
-def test_passages_of_long_items(spark, monkeypatch, most):
-    """A contiguous passage counts however long its item is, wherever in it the passage stands."""
-    monkeypatch.setattr(leaks, "ITEMS", most)
-    rng = random.Random(4)
-    pool = [f"word{i}" for i in range(3000)]
-    text = lambda n: [rng.choice(pool) for _ in range(n)]
-    items = {1: text(100), 2: text(400), 3: text(49), 4: text(1000)}
-    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
-    made, want = [], {}
-    for k, n in ((1, 50), (2, 200), (2, 50), (3, 49), (4, 50), (4, 300)):
-        for at in (0, (len(items[k]) - n) // 3, len(items[k]) - n):
-            want[len(made)] = k
-            made.append((len(made), " ".join(text(90) + items[k][at : at + n] + text(60))))
-    for k in items:  # a few words of an item are no passage
-        made.append((len(made), " ".join(text(90) + items[k][:12] + text(60))))
-    made += [(len(made) + i, " ".join(text(200))) for i in range(5)]
-    got = {r["doc_id"]: r["item_id"] for r in leaks.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).where("contaminated").collect()}
-    assert got == want
-
-
-def test_answers_of_long_items(spark):
-    item = [f"word{i}" for i in range(150)]
-    bench = spark.createDataFrame([(1, " ".join(item), "deep azure")], "item_id long, text string, answer string")
-    rest = " ".join(f"other{i}" for i in range(70))
-    made = [(1, " ".join(item[:50]) + f" {rest} deep azure"), (2, " ".join(item[:50]) + f" {rest} nobody knows")]
-    got = {r["doc_id"]: r["contaminated"] for r in leaks.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
-    assert got == {1: True, 2: False}
-
-
-def test_longest_common():
-    rng = random.Random(1)
-    for _ in range(50):
-        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 40))] for _ in range(2))
-        masks = {}
-        for k, w in enumerate(a):
-            masks[w] = masks.get(w, 0) | 1 << k
-        assert leaks.longest_common(masks, len(a), b) == brute.lcs(a, b)
-
-
-def test_leaks_recall_against_brute_force(spark):
-    """Every document that holds a whole item is found, and no other."""
-    docs, bench = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "benchmark"))
-    items = [" ".join(brute.words(brute.lower(r["text"]))) for r in bench.collect()]
-    want = {r["doc_id"] for r in docs.collect() if any(f" {i} " in f" {' '.join(brute.words(brute.lower(r['text'])))} " for i in items)}
-    got = {r["doc_id"] for r in leaks.op9_decontaminate(spark, MEDIUM).where("contaminated").collect()}
-    assert want <= got and len(got - want) <= 0.1 * len(want)
-
-
 # 10 urls
 
 

@@ -65,11 +65,84 @@ def test_mixed_text_is_whole_blocks(docs, rows):
     assert all(brute.words(r["text"]) == text[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]] for r in out)
 
 
+def test_mixed_text_is_the_source_text(spark, docs, rows):
+    """A document's pieces of a whole pass, in order, are its text with its line breaks and spaces."""
+    more = spark.createDataFrame([(20, "  lead\n\n two\tthree  \r\n" + "four  five\n" * 40 + " end \n ", "zz"), (None, "a  b", "zz"), (None, "a  b", "zz"), (20, "other\ttext", "zz")], "doc_id long, text string, source string")
+    wide = docs.select("doc_id", "text", "source").unionByName(more).withColumn("mark", F.lit(1)).withColumn("copies", F.lit("x"))
+    texts = [(r["doc_id"], r["source"], r["text"]) for r in wide.collect()]
+    out = mixing.mixed(wide, block=16).collect()
+    by = {}
+    for r in out:
+        mine = [t for d, s, t in texts if (d, s) == (r["doc_id"], r["source"]) and r["text"] in (t or "")]
+        assert mine and brute.words(r["text"]) == brute.words(mine[0])[r["first_word"] : r["first_word"] + r["n_words"]]
+        by.setdefault((r["doc_id"], r["source"]), {})[r["first_word"]] = r["text"]
+    assert "".join(v for _, v in sorted(by[5, "a"].items())) == brute_text(rows, 5)
+    whole = [k for k, v in by.items() if "".join(x for _, x in sorted(v.items())) in [t for d, s, t in texts if (d, s) == k]]
+    assert len(whole) >= len(by) / 2
+
+
+def brute_text(rows, doc_id):
+    return next(r[1] for r in rows if r[0] == doc_id)
+
+
+def test_mix_of_copies_and_null_ids(spark, monkeypatch):
+    """Thousands of equal rows are one row with a count, dealt to tasks; null ids are documents of their own."""
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    made = [(7, "one two three four", None, "a")] * 700 + [(None, f"null id {i}", None, "a") for i in range(300)] + [(k, "x y " * (k % 50), None, "bc"[k % 2]) for k in range(200)] + [(None, None, None, "a")] * 40
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    sized = mixing.measured(df)
+    assert sized.count() == 700 - 699 + 300 + 200 + 1
+    check_mix(mixing.usage(df, block=8).collect(), made)
+    out = mixing.mixed(df, block=8)
+    assert out.agg(F.sum("n_words")).first()[0] == mixing.usage(df, block=8).agg(F.sum("taken")).first()[0]
+
+
+def test_ranges_follow_the_rows(spark, docs, monkeypatch):
+    """Offsets are the same however finely a source is split."""
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 1)
+    src = mixing.sources(sized := mixing.measured(docs))
+    got = sorted((r["sid"], r["at"], r["size"], r["copies"]) for r in mixing.packed(sized, src).collect())
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 1 << 30)
+    assert got == sorted((r["sid"], r["at"], r["size"], r["copies"]) for r in mixing.packed(sized, src).collect())
+    for sid in {g[0] for g in got}:  # texts follow each other without a gap
+        end = 0
+        for _, at, size, copies in (g for g in got if g[0] == sid):
+            assert at == end
+            end += size * copies
+
+
+def test_shards_are_multinomial_draws(spark):
+    """Counts of a shard sum to its slots, differ from shard to shard, and are near the shares; every draw has one slot."""
+    docs = spark.createDataFrame([(k, "w " * 400, "abc"[min(2, k % 7 // 2)]) for k in range(700)], "doc_id long, text string, source string")
+    counts = {}
+    for r in mixing.shard_counts(docs, block=8, shard_slots=256).collect():
+        counts.setdefault(r["shard"], {})[r["source"]] = r["n"]
+    assert all(sum(c.values()) == 256 for s, c in counts.items() if s < len(counts) - 1)
+    used = mixing.draws(mixing.sources(mixing.measured(docs), block=8), 8, 256).collect()
+    total = len(used)
+    assert sorted(u["slot"] for u in used) == list(range(total)) and len({(u["sid"], u["block"]) for u in used}) <= total
+    share = {s: sum(c.get(s, 0) for c in counts.values()) / total for s in "abc"}
+    wide = [c.get(s, 0) - 256 * share[s] for c in counts.values() if sum(c.values()) == 256 for s in "abc"]
+    assert len(set(wide)) > 20 and all(abs(x) < 6 * (256 * 0.25) ** 0.5 for x in wide)
+    assert 0.6 < sum(x * x for x in wide) / sum(len(counts) * 256 * v * (1 - v) for v in share.values()) < 1.5
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_shuffle_is_a_permutation(spark, n):
-    df = spark.range(n).select("id", mixing.shuffled(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long")).alias("p"))
-    rows = df.withColumn("back", mixing.shuffled(F.col("p"), F.lit(n).cast("long"), F.lit(3).cast("long"), inverse=True)).collect()
-    assert sorted(r["p"] for r in rows) == list(range(n)) and all(r["back"] == r["id"] for r in rows)
+    df = mixing.with_keys(spark.range(n).select("id", F.lit(3).alias("sid"), F.lit(n).cast("long").alias("n")))
+    for e in range(3):
+        there = mixing.shuffled(df.withColumn("e", F.lit(e).cast("long")), "id", "e", "p").select("id", "e", "p", "sid", "n").checkpoint()
+        rows = mixing.shuffled(mixing.with_keys(there), "p", "e", "back", inverse=True).collect()
+        assert sorted(r["p"] for r in rows) == list(range(n)) and all(r["back"] == r["id"] for r in rows)
+
+
+def test_shuffle_of_many_blocks(spark):
+    """Places of 2^37 blocks are spread over all of them, not about their own place or its mirror."""
+    n = 1 << 37
+    df = spark.range(20000).select((F.col("id") * (n // 20000)).alias("id"), F.lit(0).alias("sid"), F.lit(n).alias("n"), F.lit(0).cast("long").alias("e"))
+    p = [(r["id"], r["p"]) for r in mixing.shuffled(mixing.with_keys(df), "id", "e", "p").select("id", "p").collect()]
+    far = sorted(min(abs(a - b), abs(n - a - b)) / n for a, b in p)
+    assert len({b for _, b in p}) == len(p) and 0.12 < far[len(far) // 2] < 0.17 and far[-1] > 0.4
 
 
 # 2 web text

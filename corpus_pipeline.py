@@ -1,7 +1,14 @@
 """The corpus pipeline: quality, line dedup, near duplicates, benchmark leaks, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents. Any other columns of docs pass through the filters. n_chars follows the text.
+the last return the columns of documents. Any other columns of docs pass through the filters, also such as clash with names used in
+a stage. n_chars follows the text.
+
+Nulls: a null text is judged as an empty one by the classifier, has no lines, links with nothing, holds no benchmark passage and gives
+the mix nothing; a null doc_id, lang or source is a value of its own. Long texts are read whole by every stage. Rows that repeat
+doc_id and text are one document from the near-duplicate stage on, the one whose columns hash least; rows that share a doc_id but not
+the text are told apart by the text. Ties: a score on the cut is kept; of equal texts the least doc_id stays. Empty tables give empty
+tables; without labels or benchmark rows the stages that need them accept by the share of label 1 (0.5, below the cut) and drop nothing.
 """
 
 from __future__ import annotations
@@ -34,13 +41,16 @@ def _rows(docs: DataFrame, these: DataFrame, how: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the least doc_id; of rows that repeat it, one."""
+    """Keeps one document of each group: the one with the least doc_id; of rows that repeat it, the one whose columns hash least."""
     found = store.stash(neardup.near_duplicates(docs), "near")
     left = _rows(docs, found.where(~F.col("kept")), "left_anti")
     again = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return left
-    return _rows(left, again, "left_anti").union(_rows(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    row, mark = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), store.free_name("mark", docs.columns)
+    few = _rows(left, again, "left_semi").select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.sha2(F.to_json(row), 256).alias(mark))
+    few = few.groupBy("id", "text_hash").agg(F.min_by("row", mark).alias("row")).select("row.*")
+    return _rows(left, again, "left_anti").union(few)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,25 +71,33 @@ def framing_gate(face_w: Column, face_h: Column, width: Column, height: Column)
 
 
 def original_gate(c: dict[str, Column], person: bool = True, face: bool = False, indoor_face: bool = True, scenery: bool = True, either: bool = True, min_person: float = 0.05, min_face: float = 0.02, min_sharpness: float = 50.0, min_aesthetic: float = 0.0) -> Column:
-    """The first cascade: person, face, scene or subject, blur with the subject's own sharpness, aesthetic; null if all pass.
+    """The first cascade: person, face, scene or subject, text, blur with the subject's own sharpness, aesthetic; null if all pass.
 
-    c: outdoor, scenic (booleans), person_areas, face_areas, roi_sharpness (arrays), sharpness_var, aesthetic, plain_aesthetic.
+    c: outdoor, scenic (booleans), person_areas, face_areas, roi_sharpness (arrays), sharpness_var, aesthetic, plain_aesthetic and, if text
+    is a test, text_prominent.
     """
     none = lambda a: F.size(a) == 0
     outdoor = c["outdoor"]
     must = F.lit(face) | (F.lit(indoor_face) & ~outdoor)
     person_on = F.lit(person) & ~(F.lit(scenery) & outdoor)
     label = F.when(F.lit(indoor_face) & ~outdoor, "indoor_no_face").otherwise("no_face")
-    sharp = (~none(c["roi_sharpness"]) & (F.array_max(c["roi_sharpness"]) >= min_sharpness)) | (c["sharpness_var"] >= min_sharpness)
+    sharp = sharp_enough(c["roi_sharpness"], c["sharpness_var"], min_sharpness)
     excused = F.lit(scenery) & outdoor & c["scenic"] & (c["plain_aesthetic"] >= min_aesthetic)
     return (
         F.when(person_on & none(c["person_areas"]), "no_person").when(person_on & (F.array_max(c["person_areas"]) < min_person), "person_small")
         .when(must & none(c["face_areas"]), label).when(must & (F.array_max(c["face_areas"]) < min_face), "face_small")
         .when(F.lit(either) & none(c["person_areas"]) & none(c["face_areas"]) & ~c["scenic"], "no_scene_no_person")
+        .when(c.get("text_prominent", F.lit(False)), "text")
         .when(~sharp & ~excused, "blur").when(c["aesthetic"] < min_aesthetic, "low_aesthetic")
     )
 
 
+def sharp_enough(roi_sharpness: Column, sharpness_var: Column, least: float) -> Column:
+    """Whether a subject or else the frame is sharp; the test of the cascade and of the prune after de-duplication. No frame is sharp without a measure."""
+    subject = F.coalesce((F.size(roi_sharpness) > 0) & (F.array_max(roi_sharpness) >= least), F.lit(False))
+    return subject | F.coalesce(sharpness_var >= least, F.lit(False))
+
+
 def scenic(outdoor: Column, brightness: Column, edges: Column, saturation: Column, least_edges: float = 0.015) -> Column:
     return outdoor | ((brightness >= 0.12) & (edges >= least_edges) & (saturation >= 0.12))
 
@@ -107,7 +115,7 @@ def capped_size(width: Column, height: Column, cap: int) -> dict[str, Column]:
 
 
 def decision(c: dict[str, Column], require_face: bool = True, faceless: bool = True, scenic_only: bool = True, min_area: float = 0.02, min_y: float = 0.05, min_aesthetic: float = 0.0, min_tech: float = MIN_TECH) -> Column:
-    """Why a frame is dropped, or 'kept'; the tests stand in the order in which they run.
+    """Why a frame is dropped, or 'kept'; the tests stand in the order in which they run. A column overlay_card, where there is one, is a test.
 
     A face below the confidence floor makes the frame a faceless candidate with its own aesthetic floor, and still goes through
     the face tests. Every drop has a reason, also the two that used to leave no trace (no_face, low_aesthetic).
@@ -126,7 +134,7 @@ def decision(c: dict[str, Column], require_face: bool = True, faceless: bool = T
         .when(c["tech"] < min_tech, "low_tech_score").when(black_slate(c["bright_share"], c["mean_luma"], c["max_luma"]), "black_frame")
         .when(no_face, "no_face").when(busy, "faceless_not_scenic").when(has & (c["face_sharpness"] < 60.0), "face_too_blurry")
         .when(has & (F.abs(c["tilt"]) > 35.0), "face_tilted").when(has & (c["face_rel_area"] < min_area), "face_too_small")
-        .when(has & (c["subject_y"] < min_y), "face_too_low").when((c["sharpness_var"] < MIN_SHARPNESS) & run_face & ~(has & (c["face_sharpness"] >= 0.5 * MIN_SHARPNESS)), "global_blur")
+        .when(has & (c["subject_y"] < min_y), "face_too_low").when(c.get("overlay_card", F.lit(False)), "overlay_card").when((c["sharpness_var"] < MIN_SHARPNESS) & run_face & ~(has & (c["face_sharpness"] >= 0.5 * MIN_SHARPNESS)), "global_blur")
         .when(c["aesthetic"] < floor, "low_aesthetic").when(~selection_gate(c["aesthetic"], c["nima"], c["piq"]), "score").otherwise("kept")
     )
 

@@ -6,27 +6,11 @@ neighbours are decided. The result equals the sequential fold. Only edges and un
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlane.functions import vectors as V
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="prismlane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/prismlane/mis-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._path = path
-    return out
+from prismlane.shared import discard, stash
 
 
 def similarity_edges(df: DataFrame, key: str, ids: str, rank: str, vec: str, threshold: float) -> DataFrame:
@@ -39,17 +23,19 @@ def similarity_edges(df: DataFrame, key: str, ids: str, rank: str, vec: str, thr
 
 def greedy_independent(df: DataFrame, edges: DataFrame, key: str, ids: str) -> DataFrame:
     """(key, ids) of the rows that a greedy pass in rank order keeps."""
-    todo = _cut(df.select(key, ids))
-    edges = _cut(edges)
-    kept = todo.limit(0)
+    todo, edges = stash(df.select(key, ids), "todo"), stash(edges, "edges")
+    kept: list[DataFrame] = []
     while not todo.isEmpty():
         blocked = edges.select(key, F.col("worse").alias(ids)).distinct()
-        now = todo.join(blocked, [key, ids], "left_anti")
-        kept = _cut(kept.union(now))
-        now = now.select(key, F.col(ids).alias("better"))
+        kept.append(stash(todo.join(blocked, [key, ids], "left_anti"), "kept"))  # each round writes its own rows only
+        now = kept[-1].select(key, F.col(ids).alias("better"))
         out = edges.join(now, [key, "better"], "left_semi").select(key, F.col("worse").alias(ids)).distinct()
         gone = out.union(now.select(key, F.col("better").alias(ids)))
-        todo = _cut(todo.join(gone, [key, ids], "left_anti"))
+        before, todo = (todo, edges), stash(todo.join(gone, [key, ids], "left_anti"), "todo")
         left = todo.select(key, F.col(ids).alias("better"))
-        edges = _cut(edges.join(left, [key, "better"], "left_semi").join(left.withColumnRenamed("better", "worse"), [key, "worse"], "left_semi").select(key, "better", "worse"))
-    return kept
+        edges = stash(edges.join(left, [key, "better"], "left_semi").join(left.withColumnRenamed("better", "worse"), [key, "worse"], "left_semi").select(key, "better", "worse"), "edges")
+        discard(*before)
+    out = todo
+    for part in kept:
+        out = out.union(part)
+    return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from prismlane.shared import stash
+
 
 def best_per_window(df: DataFrame, key: str, ts: str, index: str, score: str, width: float) -> DataFrame:
     """The first of the highest scores in each window of `width` seconds; one partial aggregate, no sort."""
@@ -123,9 +125,7 @@ def ranked(df: DataFrame, keys: list[str], order: list, out: str = "rank") -> Da
 
 def numbered(df: DataFrame, keys: list[str], order: list, out: str = "rank") -> DataFrame:
     """As ranked, for groups of any size: rows are sorted by ranges, counted per range and numbered within it; keys aren't null."""
-    from prismlane.operators.mis import _cut
-
-    rows = _cut(df.orderBy(*keys, *order).withColumn("id_", F.monotonically_increasing_id())).withColumn("part_", F.shiftright("id_", 33))
+    rows = stash(df.orderBy(*keys, *order).withColumn("id_", F.monotonically_increasing_id()), "numbered").withColumn("part_", F.shiftright("id_", 33))
     sizes = rows.groupBy(*keys, "part_").agg(F.count("*").alias("n_"))
     prior = F.sum("n_").over(W.partitionBy(*keys).orderBy("part_").rowsBetween(W.unboundedPreceding, -1))
     rows = rows.join(sizes.withColumn("before_", F.coalesce(prior, F.lit(0))).drop("n_"), [*keys, "part_"])

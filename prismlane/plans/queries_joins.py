@@ -64,12 +64,6 @@ def nearest_detection(spark, d):
 
 
 def exact_detection(spark, d):
-    f = frames(spark, d, vectors=False).select("video_id", "frame_index", "event_id")
-    b = boxes(spark, d).where("event_id % 3 = 0").groupBy("video_id", F.col("frame_idx").alias("frame_index")).agg(F.min_by(F.struct("x", "y"), "event_id").alias("b"))
-    return f.join(b, ["video_id", "frame_index"], "left").select("video_id", "frame_index", F.col("b.x").alias("x"), F.col("b.y").alias("y"))
-
-
-def exact_detection_all(spark, d):
     """The first stored box of the very frame, of all boxes; null where the frame has none."""
     f = frames(spark, d, vectors=False).select("video_id", "frame_index", "event_id")
     b = boxes(spark, d).groupBy("video_id", F.col("frame_idx").alias("frame_index")).agg(F.min_by(F.struct("x", "y"), "event_id").alias("b"))
@@ -116,7 +110,7 @@ def set_operations(spark, d):
     return a.intersect(b).withColumn("part", F.lit("both")).union(a.exceptAll(b).withColumn("part", F.lit("first"))).groupBy("part").agg(F.count("*").alias("n"), F.sum("frame_index").alias("s"))
 
 
-QUERIES = {f.__name__: f for f in (frames_join_embeddings, scores_left_join, iou_pairs, cosine_topk, query_match, range_dedup_candidates, nearest_detection, exact_detection, exact_detection_all, speaker_overlap, index_anti, clear_previous, upsert_groups, insert_faces, set_operations)}
+QUERIES = {f.__name__: f for f in (frames_join_embeddings, scores_left_join, iou_pairs, cosine_topk, query_match, range_dedup_candidates, nearest_detection, exact_detection, speaker_overlap, index_anti, clear_previous, upsert_groups, insert_faces, set_operations)}
 
 _F = f"f as ({FRAMES_SQL})"
 SQL = {
@@ -133,9 +127,7 @@ SQL = {
     "range_dedup_candidates": f"with {_F} select a.video_id, a.event_id a, b.event_id b, round(abs(a.timestamp_sec - b.timestamp_sec), 3) gap from f a join f b on a.video_id = b.video_id and a.has_smile and b.event_type = 'view' and abs(a.timestamp_sec - b.timestamp_sec) <= 3600",
     "nearest_detection": f"""with {_F}, t as (select video_id, event_id, floor(timestamp_sec / 600)::bigint * 2 t, event_type from f), l as (select * from t where event_type = 'view'), r as (select distinct video_id, t rt from t where event_type = 'click'),
  j as (select l.video_id, l.event_id, l.t, r.rt, row_number() over (partition by l.event_id order by abs(r.rt - l.t), r.rt desc) k from l left join r on r.video_id = l.video_id and abs(r.rt - l.t) <= 100) select video_id, event_id, t, rt matched from j where k = 1""",
-    "exact_detection": f"""with {_F}, b as ({BOXES_SQL}), m as (select video_id, frame_idx, arg_min(x, event_id) x, arg_min(y, event_id) y from b where event_id % 3 = 0 group by video_id, frame_idx)
- select f.video_id, f.frame_index, m.x, m.y from f left join m on m.video_id = f.video_id and m.frame_idx = f.frame_index""",
-    "exact_detection_all": f"""with {_F}, b as ({BOXES_SQL}), m as (select video_id, frame_idx, arg_min(x, event_id) x, arg_min(y, event_id) y from b group by video_id, frame_idx)
+    "exact_detection": f"""with {_F}, b as ({BOXES_SQL}), m as (select video_id, frame_idx, arg_min(x, event_id) x, arg_min(y, event_id) y from b group by video_id, frame_idx)
  select f.video_id, f.frame_index, m.x, m.y from f left join m on m.video_id = f.video_id and m.frame_idx = f.frame_index""",
     "speaker_overlap": f"""with {_F}, c as (select video_id, timestamp_sec s, timestamp_sec + 40000 e from f where has_smile), i as (select *, sum(coalesce((s > far)::int, 1)) over (partition by video_id order by s, e rows unbounded preceding) isle from (select *, max(e) over (partition by video_id order by s, e rows between unbounded preceding and 1 preceding) far from c)),
  p as (select video_id, min(s) s, max(e) e from i group by video_id, isle), t as (select video_id, event_type speaker, timestamp_sec s2, timestamp_sec + tech_score * 600 e2 from f where not has_smile),

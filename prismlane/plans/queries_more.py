@@ -28,15 +28,19 @@ def detail_names(spark, d):
     return p.select("event_id", N.detail_slug(F.initcap("event_type"), {"threshold": F.lit(60), "k": F.col("event_id") % 7}).alias("name"), N.in_root(F.concat(F.lit("/a/b/v"), F.col("video_id"), F.lit(".mp4")), F.lit("out1.jpg")).alias("root_name"))
 
 
-def original_gates(spark, d):
-    p = pixels(spark, d).withColumn("k", F.col("event_id") % 5)
+def _original_columns():
     c = {
-        "outdoor": S.outdoors(F.col("skin"), F.col("person_ratio") * 2), "scenic": F.col("max_luma") > 0.5, "sharpness_var": F.col("sharpness_var"), "aesthetic": F.col("aesthetic"), "plain_aesthetic": F.col("aesthetic") - 0.1,
+        "outdoor": S.outdoors(F.col("skin"), F.col("person_ratio") * 2), "scenic": F.col("max_luma") > 0.5, "sharpness_var": F.col("sharpness_var"), "aesthetic": F.col("aesthetic"), "plain_aesthetic": F.col("aesthetic") - 0.1, "text_prominent": F.col("text_prominent"),
         "person_areas": F.when(F.col("k") > 1, F.array(F.col("person_ratio"), F.col("person_ratio") * 2)).otherwise(F.expr("cast(array() as array<double>)")),
         "face_areas": F.when(F.col("k") > 2, F.array(F.col("face_rel_area") / 4)).otherwise(F.expr("cast(array() as array<double>)")),
         "roi_sharpness": F.when(F.col("k") > 2, F.array(F.col("face_sharpness"))).otherwise(F.expr("cast(array() as array<double>)")),
     }
-    return p.select("event_id", F.coalesce(S.original_gate(c, min_aesthetic=0.3), F.lit("kept")).alias("reason"))
+    return c
+
+
+def original_gates(spark, d):
+    p = pixels(spark, d).withColumn("k", F.col("event_id") % 5)
+    return p.select("event_id", F.coalesce(S.original_gate(_original_columns(), min_aesthetic=0.3), F.lit("kept")).alias("reason"))
 
 
 def area_ratios(spark, d):
@@ -92,7 +96,7 @@ def input_listing(spark, d):
 def frame_features(spark, d):
     """The frames that the pipelines read, with vectors."""
     e = load(spark, d, "embeddings")
-    n = e.count()
+    n = e.agg(F.count("*")).scalar()
     p = pixels(spark, d).withColumn("tech", _tech()).withColumn("tilt", G.tilt(F.col("eye_dy"), F.col("eye_dx"))).withColumn("vec_id", F.col("event_id") % n)
     f = frames(spark, d, vectors=False).select("event_id", "frame_index", "timestamp_sec", "has_smile")
     return p.join(f, "event_id").join(e.select("vec_id", "embedding"), "vec_id")
@@ -150,7 +154,7 @@ SQL = {
     "capped_size": f"with p as ({PIXELS_SQL}), s as (select *, case when greatest(width, height) > 720 then 720 / greatest(width, height)::double else 1e0 end s from p) select event_id, round(s, 4) scale, greatest(1, round_even(width * s, 0)::bigint) new_w, greatest(1, round_even(height * s, 0)::bigint) new_h, round(greatest(1e0, 320 * s), 4) min_edge, round(greatest(10e0, 200000 * s * s), 4) min_pixels from s",
     "detail_names": f"with p as ({PIXELS_SQL}) select event_id, event_type || '__k-' || (event_id % 7) || '__threshold-60' as name, 'v' || video_id || '__out1.jpg' root_name from p",
     "original_gates": f"""with p as ({PIXELS_SQL}), t as (select *, event_id % 5 k, skin > 6e-2 or person_ratio * 2 > 12e-2 od from p) select event_id, case when not od and k <= 1 then 'no_person' when not od and person_ratio * 2 < 5e-2 then 'person_small'
- when not od and k <= 2 then 'indoor_no_face' when not od and face_rel_area / 4 < 2e-2 then 'face_small' when k <= 1 and not max_luma > 5e-1 then 'no_scene_no_person'
+ when not od and k <= 2 then 'indoor_no_face' when not od and face_rel_area / 4 < 2e-2 then 'face_small' when k <= 1 and not max_luma > 5e-1 then 'no_scene_no_person' when text_prominent then 'text'
  when not (sharpness_var >= 50 or (k > 2 and face_sharpness >= 50)) and not (od and max_luma > 5e-1 and aesthetic - 1e-1 >= 3e-1) then 'blur' when aesthetic < 3e-1 then 'low_aesthetic' else 'kept' end reason from t""",
     "area_ratios": f"with b as ({BOXES_SQL}) select video_id, frame_idx, round(least(1e0, sum(w * h) / 307200e0), 6) total, round(max(w * h) / 307200e0, 6) largest, count(*) n from b group by video_id, frame_idx",
     "largest_faces": f"with b as ({BOXES_SQL}) select video_id, frame_idx, event_id, r as rank from (select *, row_number() over (partition by video_id, frame_idx order by w * h desc, event_id) r from b) where r <= 2",

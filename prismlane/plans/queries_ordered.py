@@ -122,20 +122,13 @@ def clip_manifest(spark, d):
 
 
 def gate_expression(spark, d):
-    from prismlane.sources.sinks import gate_expression as make
-
-    f = _f(spark, d).where("frame_index <= 3").select("video_id", F.col("frame_index").cast("double").alias("start_sec"), (F.col("frame_index") + 0.5).alias("end_sec"))
-    return make(f, "video_id")
-
-
-def gate_expression_segments(spark, d):
     """The gate over all segments of every video."""
     from prismlane.sources.sinks import gate_expression as make
 
     return make(hits_to_segments(spark, d), "video_id")
 
 
-QUERIES = {f.__name__: f for f in (best_per_window, best_per_window_two_phase, adaptive_stride, stride_sample, sampling_steps, chunk_plan, hit_streaks, hits_to_segments, build_segments, merged_intervals, presence_intervals, segment_validation, session_segments, rank_and_name, keep_budget, frame_cap, time_cap, video_prominence, clip_manifest, gate_expression, gate_expression_segments)}
+QUERIES = {f.__name__: f for f in (best_per_window, best_per_window_two_phase, adaptive_stride, stride_sample, sampling_steps, chunk_plan, hit_streaks, hits_to_segments, build_segments, merged_intervals, presence_intervals, segment_validation, session_segments, rank_and_name, keep_budget, frame_cap, time_cap, video_prominence, clip_manifest, gate_expression)}
 
 _F = f"f as ({FRAMES_SQL})"
 _SEG = f"""{_F}, g as (select *, timestamp_sec - lag(timestamp_sec) over (partition by video_id order by timestamp_sec) > {GAP}::double brk from f where aesthetic >= 5e-1),
@@ -179,7 +172,6 @@ SQL = {
     "time_cap": f"with {_F} select video_id, count(*) n from f where timestamp_sec < {10 * DAY}::double group by video_id",
     "video_prominence": f"with {_F} select video_id, count(*) n from f group by video_id having sum(case when frame_index <= 200 and tech_score >= 60 then 1 else 0 end) >= 5",
     "clip_manifest": f"with {_SEG} select video_id, 'clip_' || printf('%03d', row_number() over (partition by video_id order by start_sec, end_sec) - 1) || '.mp4' clip, 'clips/' || video_id dir, round(start_sec, 3) start_sec, hits from s where end_sec > start_sec and end_sec - start_sec > 5e-2",
-    "gate_expression": f"with {_F} select video_id, string_agg('between(t,' || printf('%.3f', frame_index::double) || ',' || printf('%.3f', frame_index + 5e-1) || ')', '+' order by frame_index) gate from f where frame_index <= 3 group by video_id",
-    "gate_expression_segments": f"""with {_SEG}, x as (select video_id, round(start_sec, 3) s, round(end_sec, 3) e from s where end_sec > start_sec)
+    "gate_expression": f"""with {_SEG}, x as (select video_id, round(start_sec, 3) s, round(end_sec, 3) e from s where end_sec > start_sec)
  select video_id, string_agg('between(t,' || printf('%.3f', s) || ',' || printf('%.3f', e) || ')', '+' order by s, e) gate from x group by video_id""",
 }

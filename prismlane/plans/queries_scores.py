@@ -133,7 +133,7 @@ _THIRD = "least(" + ", ".join(f"sqrt((subject_x - {a}e0/3e0) * (subject_x - {a}e
 _SLATE = "((bright_share < 5e-2 and mean_luma < 5e-2) or (mean_luma < 5e-2 and max_luma - mean_luma > 5e-1))"
 _DECIDE = f"""case when greatest(width, height) < 320 or width * height < 200000 then 'low_resolution' when tech < 40 then 'low_tech_score' when {_SLATE} then 'black_frame'
  when not sure and ((skin > 5e-2 and motion > 2) or person_ratio > 5e-2) then 'faceless_not_scenic' when has and face_sharpness < 60 then 'face_too_blurry'
- when has and abs(degrees(atan2(eye_dy, eye_dx))) > 35 then 'face_tilted' when has and face_rel_area < 2e-2 then 'face_too_small' when has and subject_y < 5e-2 then 'face_too_low'
+ when has and abs(degrees(atan2(eye_dy, eye_dx))) > 35 then 'face_tilted' when has and face_rel_area < 2e-2 then 'face_too_small' when has and subject_y < 5e-2 then 'face_too_low' when overlay_card then 'overlay_card'
  when sharpness_var < 80 and skin >= 5e-2 and not (has and face_sharpness >= 40) then 'global_blur' when aesthetic < case when sure then 0 else 5 end then 'low_aesthetic'
  when not (aesthetic >= 5e0 and nima >= 475e-2 and piq >= 7e-1 and (aesthetic + nima) * piq >= 8e0) then 'score' else 'kept' end"""
 _DECIDED = f"with p as ({PIXELS_SQL}), t as (select *, {_TECH} tech, skin >= 5e-2 and num_faces > 0 has, skin >= 5e-2 and num_faces > 0 and face_conf >= 3e-1 sure from p), r as (select *, {_DECIDE} reason from t)"

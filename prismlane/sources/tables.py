@@ -21,6 +21,7 @@ PIXEL_VIEW = [
     "(event_id % 37) / 4e2 as person_ratio", "(event_id % 120) / 1e0 as face_sharpness", "(event_id % 3) as num_faces",
     "(event_id % 101) / 1e0 - 5e1 as eye_dy", "(event_id % 61) / 1e0 + 1e0 as eye_dx", "(event_id % 43) / 43e0 as bright_share",
     "(event_id % 83) / 83e0 as max_luma", "value / 50e0 as aesthetic", "4e0 + (event_id % 20) / 1e1 as nima", "(event_id % 50) / 5e1 as piq",
+    "event_id % 41 = 0 as overlay_card", "event_id % 19 = 0 as text_prominent",
 ]
 
 #: Boxes inside 640 x 480.
@@ -41,7 +42,7 @@ def frames(spark: SparkSession, base: str, vectors: bool = True) -> DataFrame:
     The only window is per video; the vectors come by an equi join on vec_id.
     """
     emb = load(spark, base, "embeddings")
-    n = emb.count()
+    n = emb.agg(F.count("*")).scalar()  # part of the plan, no job of its own
     e = load(spark, base, "events").select(
         F.col("user_id").alias("video_id"),
         F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("frame_index"),

@@ -113,5 +113,5 @@ def test_global_registry_takes_all_survivors(spark):
         else:
             want[r["id"]] = "dedup"
     want |= {r["id"]: "kept" for r in slots}
-    assert {r["frame_id"]: r["status"] for r in Q.global_dedup_all(spark, SMALL).collect()} == want
+    assert {r["frame_id"]: r["status"] for r in Q.global_dedup(spark, SMALL).collect()} == want
     assert any(r["aesthetic"] < 4 for v in left.values() for r in v) and len(want) == sum(map(len, left.values()))

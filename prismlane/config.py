@@ -1,4 +1,4 @@
-"""Settings of the four pipelines; the defaults are the published ones."""
+"""Settings of the pipelines; the defaults are the published ones."""
 
 from __future__ import annotations
 
@@ -24,6 +24,30 @@ class KeyframeConfig:
     ghosts: bool = False
 
 
+@dataclass(frozen=True)
+class TwoPassConfig:
+    sec_per_image: float = 10.0
+    max_seconds: float | None = None
+    dedup: float = 0.15
+    min_sharpness: float = 50.0
+    min_aesthetic: float = 0.0
+    min_person: float = 0.05
+    min_face: float = 0.02
+    person_filter: bool = True
+    face_filter: bool = False
+    indoor_needs_face: bool = True
+    allow_scenery: bool = True
+    scene_or_person: bool = True
+
+
+@dataclass(frozen=True)
+class SpeakerConfig:
+    presence_pad: float = 0.15
+    min_turn: float = 0.25
+    turn_gap: float = 0.05
+    near: float = 0.20
+
+
 @dataclass(frozen=True)
 class ClusterConfig:
     similarity: float = 0.30

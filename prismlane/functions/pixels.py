@@ -156,20 +156,126 @@ def plain_aesthetic(bgr: np.ndarray, face: bool = False, person: bool = False) -
     return 50 * float(x[..., 1].mean()) / 255 + 30 * float(x[..., 2].std()) / 255 + 20 * edge_share(gray(bgr)) + (10 if face else 5 if person else 0)
 
 
-def text_share(g: np.ndarray) -> tuple[float, float]:
-    """Share of all pixels, and of the lowest quarter, that stand out from their surroundings in short horizontal runs."""
-    d = np.abs(np.diff(g.astype(np.float64), axis=1)) > 40
-    return float(d.mean()), float(d[int(len(d) * 0.75) :].mean())
+def _box_max(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Dilation by a centred height x width box of odd sides; outside of the frame nothing is set."""
+    out = mask
+    for axis, n in ((0, height), (1, width)):
+        p = np.pad(out, [(n // 2, n // 2) if k == axis else (0, 0) for k in (0, 1)])
+        c = np.cumsum(np.insert(p.astype(np.int32), 0, 0, axis=axis), axis=axis)
+        out = np.take(c, np.arange(n, c.shape[axis]), axis=axis) > np.take(c, np.arange(c.shape[axis] - n), axis=axis)
+    return out
 
 
-FEATURES = "sharpness_var double, noise_sigma double, clip_shadows double, clip_highlights double, mean_luma double, max_luma double, bright_share double, color_cast double, skin double, edge_share double, sky double, green double, image_hash long"
+def _closed(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    return ~_box_max(~_box_max(mask, height, width), height, width)
+
+
+def _opened(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    return _box_max(~_box_max(~mask, height, width), height, width)
+
+
+def _local_mean(g: np.ndarray, side: int = 31) -> np.ndarray:
+    """Gaussian mean over side x side pixels, the border pixel repeated beyond the frame."""
+    k = np.arange(side) - side // 2
+    w = np.exp(-(k**2) / (2 * (0.3 * ((side - 1) * 0.5 - 1) + 0.8) ** 2))
+    w /= w.sum()
+    for axis in (0, 1):
+        p = np.pad(g, [(side // 2, side // 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        g = sum(x * np.take(p, np.arange(i, i + g.shape[axis]), axis=axis) for i, x in enumerate(w))
+    return g
+
+
+def islands(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the 8-connected island of each set pixel (0: none), and of each island: left, top, width, height, pixels.
+
+    Runs of a row are joined to the runs of the row above that they touch.
+    """
+    label, up = np.zeros(mask.shape, dtype=np.int64), [0]
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    above: list[tuple[int, int, int]] = []
+    for y, row in enumerate(mask):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
+        here, first = [], 0
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            n = len(up)
+            up.append(n)
+            while first < len(above) and above[first][1] < a:
+                first += 1
+            for c, _, m in above[first:]:
+                if c > b:
+                    break
+                up[root(m)] = root(n)
+            label[y, a:b] = n
+            here.append((a, b, n))
+        above = here
+    names = np.array([root(k) for k in range(len(up))])
+    _, label = np.unique(np.append(names[label].ravel(), 0), return_inverse=True)
+    label = label[:-1].reshape(mask.shape)
+    ys, xs = np.nonzero(label)
+    of, n = label[ys, xs], int(label.max()) if label.size else 0
+    box = np.zeros((n + 1, 5), dtype=np.int64)
+    box[:, 0], box[:, 1] = mask.shape[1], mask.shape[0]
+    far = np.zeros((n + 1, 2), dtype=np.int64)
+    np.minimum.at(box[:, 0], of, xs)
+    np.minimum.at(box[:, 1], of, ys)
+    np.maximum.at(far[:, 0], of, xs + 1)
+    np.maximum.at(far[:, 1], of, ys + 1)
+    box[:, 2:4] = far - box[:, :2]
+    box[:, 4] = np.bincount(of, minlength=n + 1)
+    return label, box[1:]
+
+
+def text_prominent(bgr: np.ndarray, area: float = 0.08, bottom: float = 0.4, subtitles: bool = False, subtitle_height: float = 0.12, letters_only: bool = False) -> bool:
+    """Whether lettering dominates: in the central band, as a long line, or tall in the bottom part. With `subtitles` low lines alone don't count.
+
+    Letters are strokes off their surroundings, cleaned and joined, in islands of letter-like shape, at 320 pixels on the long side.
+    By the published rule light and dark strokes are one mask, which covers nearly every frame, and the central band counts all of it, so
+    plain surfaces pass; letters_only=True looks for letters in each mask and counts only them. The variant that finds stable regions
+    with an image library is a scorer plug-in.
+    """
+    g, long_side = gray(bgr), max(bgr.shape[:2])
+    if long_side > 320:
+        g = shrink(g, max(1, int(g.shape[0] * 320 / long_side)), max(1, int(g.shape[1] * 320 / long_side)))
+    g = np.round(g)
+    high, wide = g.shape
+    bright = g > np.round(_local_mean(g)) - 5
+    light, dark = _opened(bright, 3, 3), _opened(~bright, 3, 3)
+    strokes = _closed(light | dark, 3, 5)
+    text = np.zeros(g.shape, dtype=bool)
+    for mask in (_closed(light, 3, 5), _closed(dark, 3, 5)) if letters_only else (strokes,):
+        label, box = islands(mask)
+        if len(box):
+            w, h, n = box[:, 2], box[:, 3], box[:, 4]
+            ratio, filled = w / h, n / (w * h)
+            letters = (n <= 0.25 * g.size) & (w >= 6) & (h >= 6) & (ratio >= 0.2) & (ratio <= 5.0) & (filled >= 0.15) & (filled <= 0.85)
+            text |= np.concatenate([[False], letters])[label]
+    band = int(high * 0.30)
+    top = max(0, high // 2 - band // 2)
+    joined = _closed(text if letters_only else strokes, 1, max(15, wide // 30) | 1)[top : top + band]
+    least = max(0.5 * area, 0.04)
+    central = band > 0 and bool(text[top : top + band].mean() >= least or joined.mean() >= max(0.6 * least, 0.035) or joined.mean(axis=1).max() >= 0.35)
+    low = text[high - int(high * bottom) :] if int(high * bottom) else text[:0]
+    tall = max((b[3] / high for b in islands(low)[1]), default=0.0)
+    if subtitles and not central and tall <= subtitle_height:
+        return False
+    line = any(b[4] >= 0.005 * g.size and b[2] >= 3 * b[3] for b in islands(text)[1])
+    return central or line or (low.size > 0 and bool(low.mean() >= area) and tall > subtitle_height)
+
+
+FEATURES = "sharpness_var double, noise_sigma double, clip_shadows double, clip_highlights double, mean_luma double, max_luma double, bright_share double, color_cast double, skin double, edge_share double, sky double, green double, image_hash long, overlay_card boolean, text_prominent boolean"
 
 
 def features(bgr: np.ndarray) -> tuple:
     g = gray(bgr)
     g01 = g / 255.0
     h = average_hash(g)
-    return (laplacian_variance(g), noise_sigma(bgr), *clipping(g01), float(g01.mean()), float(g01.max()), float((g01 > 0.05).mean()), colour_cast(bgr), skin_share(bgr), edge_share(g), *outdoor(bgr), h - (1 << 64) if h >> 63 else h)
+    return (laplacian_variance(g), noise_sigma(bgr), *clipping(g01), float(g01.mean()), float(g01.max()), float((g01 > 0.05).mean()), colour_cast(bgr), skin_share(bgr), edge_share(g), *outdoor(bgr), h - (1 << 64) if h >> 63 else h, overlay_card(overlay_strips(bgr)), text_prominent(bgr))
 
 
 def with_features(frames: DataFrame, height: str = "h", width: str = "w", raw: str = "bgr") -> DataFrame:
@@ -180,7 +286,7 @@ def with_features(frames: DataFrame, height: str = "h", width: str = "w", raw: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(np.frombuffer(b.as_buffer(), np.uint8).reshape(h, w, 3)) for h, w, b in zip(batch.column(height).to_pylist(), batch.column(width).to_pylist(), batch.column(raw))]
-            cols = [pa.array([r[k] for r in rows], pa.int64() if n == "image_hash" else pa.float64()) for k, n in enumerate(names)]
+            cols = [pa.array([r[k] for r in rows], {"image_hash": pa.int64(), "overlay_card": pa.bool_(), "text_prominent": pa.bool_()}.get(n, pa.float64())) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, *names])
 
     return frames.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name != raw) + ", " + FEATURES)

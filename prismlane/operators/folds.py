@@ -202,6 +202,16 @@ def linked_boxes(times: list[float], boxes: list[tuple], least: float = 0.3, gap
     return out
 
 
+def smooth_boxes(df: DataFrame, key: str, order: str, box: list[str], ids: str, alpha: float = 0.35) -> DataFrame:
+    """(key, ids, box): each video's boxes in time order, every side a running mean that moves by alpha."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, ids)}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[[key, ids]].assign(**{c: smoothed([float(v) for v in pdf[c]], alpha) for c in box})
+
+    return apply_fold(df.select(*dict.fromkeys([key, ids, order, *box])), [key], [(order, True), (ids, True)], fold, f"{key} {kinds[key]}, {ids} {kinds[ids]}, " + ", ".join(f"{c} double" for c in box))
+
+
 def smoothed(values: list[float], alpha: float = 0.35) -> list[float]:
     out: list[float] = []
     for v in values:

@@ -1,11 +1,11 @@
-"""The four end-to-end pipelines, each a composition of operators over tables of features."""
+"""The end-to-end pipelines, each a composition of operators over tables of features."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlane.config import ClusterConfig, ImageConfig, KeyframeConfig, PersonConfig
+from prismlane.config import ClusterConfig, ImageConfig, KeyframeConfig, PersonConfig, SpeakerConfig, TwoPassConfig
 from prismlane.functions import naming as N
 from prismlane.functions import scores as S
 from prismlane.functions import vectors as V
@@ -46,6 +46,55 @@ def keyframes(frames: DataFrame, cfg: KeyframeConfig = KeyframeConfig()) -> tupl
     return selected.select(*keep, "rank", name.alias("file")), decisions.select(*keep, "status", "reason")
 
 
+def two_pass_keyframes(frames: DataFrame, cfg: TwoPassConfig = TwoPassConfig()) -> tuple[DataFrame, DataFrame]:
+    """(selected, decisions): the first cascade, then the best frames of a video with near ones suppressed, as many as its length
+    allows, then once more the sharpness test.
+
+    frames: video_id, frame_index, timestamp_sec, embedding, final_roi_sharpness and final_sharpness (of the image as stored), the
+    columns of scores.original_gate.
+    """
+    f = frames if cfg.max_seconds is None else frames.where(F.col("timestamp_sec") < cfg.max_seconds)
+    gate = S.original_gate({c: F.col(c) for c in f.columns}, cfg.person_filter, cfg.face_filter, cfg.indoor_needs_face, cfg.allow_scenery, cfg.scene_or_person, cfg.min_person, cfg.min_face, cfg.min_sharpness, cfg.min_aesthetic)
+    f = f.withColumn("gate_", gate)
+    budget = frames.groupBy("video_id").agg(O.keep_budget(F.max("timestamp_sec"), cfg.sec_per_image, cfg.max_seconds).alias("budget"))
+    order = [("aesthetic", False), ("frame_index", True)]
+    kept = D.greedy_dedup(f.where("gate_ is null").join(budget, "video_id"), "video_id", "embedding", order, cfg.dedup, "frame_index", "budget")
+    out = f.join(kept.withColumn("kept_", F.lit(True)), ["video_id", "frame_index"], "left")
+    sharp = S.sharp_enough(F.col("final_roi_sharpness"), F.col("final_sharpness"), cfg.min_sharpness)
+    why = F.when(F.col("gate_").isNotNull(), F.col("gate_")).when(F.col("kept_").isNull(), "dedup_or_budget").when(~sharp, "blur_after_dedup")
+    decisions = out.withColumn("reason", why).withColumn("is_representative", F.col("reason").isNull())
+    keep = ["video_id", "frame_index", "timestamp_sec", "aesthetic"]
+    selected = O.ranked(decisions.where("is_representative"), ["video_id"], ["timestamp_sec", "frame_index"])
+    return selected.select(*keep, "rank", N.frame_file(F.col("frame_index"), F.col("timestamp_sec")).alias("file")), decisions.select(*keep, "is_representative", "reason")
+
+
+def speaker_clips(segments: DataFrame, seen: DataFrame, turns: DataFrame, cfg: SpeakerConfig = SpeakerConfig()) -> DataFrame:
+    """Each segment with the speaker who talks most while its person is there (who talks most, where nobody is seen), and the
+    audio gate over that speaker's turns; null speaker and gate where nobody speaks.
+
+    segments: clip_id, video_id, start_sec, end_sec; seen: clip_id, t (times at which the person is detected); turns: video_id,
+    speaker, start_sec, end_sec. All times are of the video; the gate's are of the clip.
+    """
+    span = segments.select("clip_id", "video_id", F.col("start_sec").alias("a_"), F.col("end_sec").alias("b_"))
+    pad = F.lit(cfg.presence_pad)
+    there = seen.join(span, "clip_id").where("t >= a_ and t < b_").select("clip_id", F.greatest(F.lit(0.0), F.col("t") - F.col("a_") - pad).alias("s"), F.least(F.col("b_") - F.col("a_"), F.col("t") - F.col("a_") + pad).alias("e"))
+    there = O.merge_intervals(there, "clip_id", "s", "e", cfg.near)
+    # turns reach segments in the hour buckets that both touch
+    mine = J.overlaps(span.select("clip_id", "video_id", F.col("a_").alias("s"), F.col("b_").alias("e")), turns.select("video_id", "speaker", F.col("start_sec").alias("s2"), F.col("end_sec").alias("e2")), "video_id", 3600.0)
+    mine = mine.select(F.to_json(F.struct("clip_id", "speaker")).alias("who"), "clip_id", "speaker", (F.greatest("s", "s2") - F.col("s")).alias("start_sec"), (F.least("e", "e2") - F.col("s")).alias("end_sec"))
+    names = mine.select("who", "clip_id", "speaker").distinct()
+    mine = O.merge_intervals(mine.select("who", "start_sec", "end_sec"), "who", "start_sec", "end_sec", cfg.turn_gap).where(F.col("end_sec") - F.col("start_sec") >= cfg.min_turn).join(names, "who")
+    both = J.overlaps(there, mine.select("clip_id", "speaker", F.col("start_sec").alias("s2"), F.col("end_sec").alias("e2")), "clip_id", 3600.0)
+    both = both.groupBy("clip_id", "speaker").agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("shared"))
+    talk = mine.groupBy("clip_id", "speaker").agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("talk"))
+    anyone = there.select("clip_id").distinct().withColumn("seen_", F.lit(True))
+    score = F.when(F.col("seen_"), F.coalesce("shared", F.lit(0.0))).otherwise(F.col("talk"))
+    best = talk.join(both, ["clip_id", "speaker"], "left").join(anyone, "clip_id", "left").groupBy("clip_id").agg(F.min_by(F.struct("speaker", score.alias("score")), F.struct(-F.round(score, 6), "speaker")).alias("b"))
+    best = best.select("clip_id", "b.speaker", "b.score")
+    gate = K.gate_expression(mine.join(best, ["clip_id", "speaker"], "left_semi").select("clip_id", "start_sec", "end_sec"), "clip_id")
+    return segments.join(best, "clip_id", "left").join(gate, "clip_id", "left")
+
+
 def face_clusters(faces: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> tuple[DataFrame, DataFrame]:
     """(clusters, segments) from detections: video_id, face_id, t, area_ratio, sharpness, face_hash, embedding, duration_sec."""
     good = faces.where((F.col("area_ratio") >= cfg.min_area) & (F.col("sharpness") >= cfg.min_sharpness) & V.finite(F.col("embedding")))

@@ -105,7 +105,13 @@ def track_continuity(spark, d):
     return D.tracked(b, "video_id", "t", ["x", "y", "w", "h"], "event_id", 0.3, 200.0)
 
 
-QUERIES = {f.__name__: f for f in (greedy_dedup, greedy_dedup_mis, two_pass_topn, dedup_replace, windowed_face_dedup, final_dedup_chunks, global_dedup, threshold_groups, greedy_cluster, cluster_sizes, cluster_representative, vector_mean, novel_images, adaptive_sampler, track_continuity)}
+def smoothed_boxes(spark, d):
+    """Boxes of a video in time order, each side smoothed."""
+    s = D.smooth_boxes(boxes(spark, d), "video_id", "event_id", ["x", "y", "w", "h"], "event_id")
+    return s.select("video_id", "event_id", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+QUERIES = {f.__name__: f for f in (greedy_dedup, greedy_dedup_mis, two_pass_topn, dedup_replace, windowed_face_dedup, final_dedup_chunks, global_dedup, threshold_groups, greedy_cluster, cluster_sizes, cluster_representative, vector_mean, novel_images, adaptive_sampler, track_continuity, smoothed_boxes)}
 
 _F = f"f as materialized ({FRAMES_SQL})"
 _O = "o as materialized (select *, row_number() over (partition by video_id order by {}) i from f{})"
@@ -160,6 +166,10 @@ SQL = {
  select b.video_id, b.i, b.event_id, k.ok, case when k.ok then b.x else r.px end, case when k.ok then b.y else r.py end, case when k.ok then b.w else r.pw end, case when k.ok then b.h else r.ph end, case when k.ok then b.t else r.seen end
  from r join b on b.video_id = r.video_id and b.i = r.i + 1, lateral (select greatest(0, least(r.px + r.pw, b.x + b.w) - greatest(r.px, b.x)) * greatest(0, least(r.py + r.ph, b.y + b.h) - greatest(r.py, b.y)) a) a,
  lateral (select r.seen is null or (b.t - r.seen <= 200 and a.a::double / (r.pw * r.ph + b.w * b.h - a.a + 1e-9) >= 3e-1) ok) k) select video_id, event_id, linked from r where i > 0""",
+    "smoothed_boxes": f"""with recursive b as materialized (select *, row_number() over (partition by video_id order by event_id) i from ({BOXES_SQL})),
+ r(video_id, i, event_id, x, y, w, h) as (select video_id, i, event_id, x::double, y::double, w::double, h::double from b where i = 1 union all
+ select b.video_id, b.i, b.event_id, 35e-2 * b.x + (1e0 - 35e-2) * r.x, 35e-2 * b.y + (1e0 - 35e-2) * r.y, 35e-2 * b.w + (1e0 - 35e-2) * r.w, 35e-2 * b.h + (1e0 - 35e-2) * r.h from r join b on b.video_id = r.video_id and b.i = r.i + 1)
+ select video_id, event_id, round(x, 6) x, round(y, 6) y, round(w, 6) w, round(h, 6) h from r""",
     "novel_images": """with recursive o as materialized (select label scope, vec_id, embedding::double[] v, list_transform(embedding[1:64], lambda x: x > 0) h, row_number() over (partition by label order by vec_id) i from embeddings),
  r(scope, i, s, ids) as (select scope, 0::bigint, []::struct(v double[], h boolean[])[], []::bigint[] from (select distinct scope from o) union all
  select o.scope, o.i, case when b.dup then r.s else list_append(r.s, struct_pack(v := o.v, h := o.h)) end, case when b.dup then r.ids else list_append(r.ids, o.vec_id) end from r join o on o.scope = r.scope and o.i = r.i + 1,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismlane.config import ClusterConfig, ImageConfig, KeyframeConfig, PersonConfig
+from prismlane.config import ClusterConfig, ImageConfig, KeyframeConfig, PersonConfig, SpeakerConfig, TwoPassConfig
 from prismlane.functions import geometry as G
 from prismlane.functions import naming as N
 from prismlane.functions import scores as S
@@ -120,6 +120,32 @@ def keyframes_decisions(spark, d):
     return decisions.groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
+def two_pass_frames(spark, d):
+    """Frames with the columns of the first cascade and vectors; the stored image's sharpness is the frame's, shifted."""
+    p = pixels(spark, d).withColumn("k", F.col("event_id") % 5)
+    names = _original_columns()
+    f = frames(spark, d).select("event_id", "frame_index", "timestamp_sec", F.col("embedding").cast("array<double>").alias("embedding"))
+    p = p.select("event_id", "video_id", *[v.alias(k) for k, v in names.items()], F.expr("cast(array() as array<double>)").alias("final_roi_sharpness"), ((F.col("event_id") % 10) * 20.0).alias("final_sharpness"))
+    return p.join(f, "event_id")
+
+
+def two_pass_pipeline(spark, d):
+    """The first program as a whole: cascade, suppression within the budget, prune."""
+    _, decisions = P.two_pass_keyframes(two_pass_frames(spark, d), TwoPassConfig(sec_per_image=3 * DAY, dedup=0.7, min_aesthetic=0.3))
+    return decisions.select("video_id", "frame_index", "is_representative", "reason")
+
+
+def speaker_pipeline(spark, d):
+    """Segments of each video's clicks, who speaks in them (other events stand for turns), and the gates."""
+    f = frames(spark, d, vectors=False)
+    clips = O.merge_intervals(f.where("has_smile").select("video_id", F.col("timestamp_sec").alias("start_sec"), (F.col("timestamp_sec") + 40000).alias("end_sec")), "video_id", "start_sec", "end_sec", 0.0)
+    clips = clips.withColumn("clip_id", F.concat_ws(":", "video_id", F.floor("start_sec")))
+    seen = clips.join(f.where("has_smile").select("video_id", F.col("timestamp_sec").alias("t")), "video_id").where("t >= start_sec and t < end_sec").select("clip_id", "t")
+    turns = f.where("not has_smile").select("video_id", F.col("event_type").alias("speaker"), F.col("timestamp_sec").alias("start_sec"), (F.col("timestamp_sec") + F.col("tech_score") * 600).alias("end_sec"))
+    out = P.speaker_clips(clips, seen, turns, SpeakerConfig(presence_pad=9000.0, min_turn=60.0, turn_gap=1.0, near=10.0))
+    return out.select("clip_id", "speaker", F.round("score", 2).alias("score"))
+
+
 def _detections(spark, d):
     f = frames(spark, d)
     return f.select("video_id", F.col("event_id").alias("face_id"), F.col("timestamp_sec").alias("t"), "frame_index", ((F.col("event_id") % 47) / 100.0).alias("area_ratio"), (F.col("event_id") % 120).cast("double").alias("sharpness"), V.sign_hash(F.col("embedding")).alias("face_hash"), "embedding")
@@ -147,7 +173,7 @@ def score_images_pipeline(spark, d):
     return P.score_images(s, ImageConfig("ordered")).select("image", F.round("overall_rating", 6).alias("overall_rating"), "selected", "file", "slug")
 
 
-QUERIES = {f.__name__: f for f in (capped_size, detail_names, original_gates, area_ratios, largest_faces, best_face, detect_schedule, seek_sample, face_gate, draw_instructions, input_listing, keyframes_pipeline, keyframes_decisions, face_clusters_pipeline, face_segments_pipeline, person_clips_pipeline, score_images_pipeline)}
+QUERIES = {f.__name__: f for f in (capped_size, detail_names, original_gates, area_ratios, largest_faces, best_face, detect_schedule, seek_sample, face_gate, draw_instructions, input_listing, keyframes_pipeline, keyframes_decisions, face_clusters_pipeline, face_segments_pipeline, person_clips_pipeline, score_images_pipeline, two_pass_pipeline, speaker_pipeline)}
 _F = f"f as materialized ({FRAMES_SQL})"
 _pad = lambda a, b: f"trunc({a} - {b} * 2e-1)::bigint"
 SQL = {

@@ -63,9 +63,9 @@ def _replayed(spark, df, build, name: str, runs: int = 1):
 
     A second run lets the watermark of the first close its windows.
     """
-    from prismlane.operators.mis import _cut
+    from prismlane.shared import stash
 
-    path = _cut(df)._path
+    path = stash(df, name)._stash_path
     stream = spark.readStream.schema(df.schema).parquet(path)
     out = build(stream)
     sink = f"{path}-{name}"
@@ -83,8 +83,8 @@ def streamed_streaks(spark, d):
 
 def streamed_dedup(spark, d):
     """De-duplication against kept rows of the last five days, as a stream whose state is that window."""
-    f = frames(spark, d).select("video_id", "frame_index", "timestamp_sec", F.col("embedding").cast("array<double>").alias("embedding"))
-    return _replayed(spark, f, lambda s: T.lately_unseen(s, "video_id", "timestamp_sec", "embedding", "frame_index", 5 * DAY, 0.4, "video_id long, frame_index int"), "unseen")
+    f = frames(spark, d).select("video_id", "frame_index", "timestamp_sec", F.timestamp_seconds("timestamp_sec").alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return _replayed(spark, f, lambda s: T.lately_unseen(s.withWatermark("at", "1 hour"), "video_id", "timestamp_sec", "embedding", "frame_index", 5 * DAY, 0.4, "video_id long, frame_index int", event_time="at"), "unseen")
 
 
 def _timed(spark, d):

@@ -43,6 +43,98 @@ def test_features_on_frames(spark):
     row = P.with_features(df).first()
     assert row["sharpness_var"] == pytest.approx(P.laplacian_variance(P.gray(img))) and 0 < row["mean_luma"] < 1
     assert P.with_features(df.where(F.lit(False))).count() == 0
+    assert row["overlay_card"] == P.overlay_card(P.overlay_strips(img)) and row["text_prominent"] == P.text_prominent(img)
+
+
+def test_islands():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        mask = rng.random((rng.integers(1, 14), rng.integers(1, 14))) < 0.4
+        label, box = P.islands(mask)
+        left, found = {(int(y), int(x)) for y, x in zip(*np.nonzero(mask))}, []
+        while left:
+            todo, mine = [left.pop()], []
+            while todo:
+                y, x = todo.pop()
+                mine.append((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            ys, xs = zip(*mine)
+            found.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(mine)))
+            assert len({int(label[p]) for p in mine}) == 1 and label[mine[0]] > 0
+        assert sorted(found) == sorted(map(tuple, box.tolist())) and ((label > 0) == mask).all()
+
+
+def test_box_morphology():
+    rng = np.random.default_rng(3)
+    mask = rng.random((9, 11)) < 0.5
+    for h, w in ((1, 5), (3, 3), (3, 5), (1, 15)):
+        want = np.array([[mask[max(0, y - h // 2) : y + h // 2 + 1, max(0, x - w // 2) : x + w // 2 + 1].any() for x in range(11)] for y in range(9)])
+        assert (P._box_max(mask, h, w) == want).all()
+        assert (P._opened(mask, h, w) <= mask).all() and (P._closed(mask, h, w) >= mask).all()
+
+
+def test_text_prominent():
+    """Rows of strokes over a smooth picture count in the middle, low ones only when tall; a smooth picture has none."""
+    smooth = np.repeat(np.tile(np.linspace(60, 200, 320)[None, :, None], (180, 1, 1)), 3, axis=2).astype(np.uint8)
+
+    def lettered(y, size):
+        img = smooth.copy()
+        for k in range(8, 300, 2 * size):  # letters like an H
+            for a, b, c, d in ((0, size, 0, size // 3), (0, size, size - size // 3, size), (size // 3, 2 * size // 3, 0, size)):
+                img[y + a : y + b, k + c : k + d] = 5
+        return img
+
+    flat = np.full((90, 160, 3), 128, np.uint8)
+    assert P.text_prominent(flat) and not P.text_prominent(flat, letters_only=True) and not P.text_prominent(smooth, letters_only=True)
+    big, low = lettered(80, 24), lettered(150, 9)
+    assert P.text_prominent(big) and P.text_prominent(big, subtitles=True, letters_only=True)
+    assert not P.text_prominent(low, subtitles=True, letters_only=True)
+    assert P._local_mean(np.full((40, 50), 7.0)) == pytest.approx(7.0)
+
+
+def test_smoothed_boxes_and_state(spark):
+    from prismlane.operators import folds as D
+
+    df = spark.createDataFrame([("v", 1, 0, 10), ("v", 2, 10, 10), ("v", 3, 10, 20), ("w", 1, 5, 5)], "v string, t long, x long, y long")
+    got = {(r["v"], r["t"]): (r["x"], r["y"]) for r in D.smooth_boxes(df, "v", "t", ["x", "y"], "t", 0.5).collect()}
+    assert got == {("v", 1): (0, 10), ("v", 2): (5, 10), ("v", 3): (7.5, 15), ("w", 1): (5, 5)}
+
+
+def test_state_expires(spark, tmp_path):
+    """A key's rows leave the state once the watermark is a window beyond them."""
+    from prismlane.streaming import flows as T
+
+    schema = "v string, t double, at timestamp, e array<double>, i int"
+    make = lambda rows, n: spark.createDataFrame(rows, "v string, t double, e array<double>, i int").select("v", "t", F.timestamp_seconds("t").alias("at"), "e", "i").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    sink, log = str(tmp_path / "out"), str(tmp_path / "log")
+    rows_in_state = []
+    for n, rows in enumerate(([("a", 1.0, [1.0, 0.0], 1), ("a", 2.0, [1.0, 0.0], 2)], [("b", 1000.0, [1.0, 0.0], 3)], [("b", 2000.0, [1.0, 0.0], 4)])):
+        make(rows, n)
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")).withWatermark("at", "1 second")
+        out = T.lately_unseen(stream, "v", "t", "e", "i", 10.0, 0.9, "v string, i int", event_time="at")
+        q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows_in_state.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(r["i"] for r in spark.read.parquet(sink).collect()) == [1, 3, 4]
+    assert rows_in_state[-1] <= 1
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from prismlane import shared
+
+    conf = {"spark.master": "spark://host:7077"}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__))
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(fake)
+    conf["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert shared.shared_dir(fake) == "hdfs://shared"
+    conf.clear()
+    conf["spark.master"] = "local[2]"
+    assert shared.shared_dir(fake).startswith("file://")
 
 
 def test_registry(spark):

@@ -94,3 +94,51 @@ def test_sql_functions(spark):
     assert row["u"] == pytest.approx(1.0)
     plan = spark.sql("select v, c.* from values (1, 700D), (2, 0D) t(v, dur), lateral pl_chunk_plan(dur, 300D) c order by 1, 2").collect()
     assert [(r["v"], r["chunk_id"], r["end_sec"]) for r in plan] == [(1, 0, 300.0), (1, 1, 600.0), (1, 2, 700.0), (2, 0, None)]
+
+
+def test_two_pass(spark):
+    """Against a plain reading: cascade, best first within the budget, near ones out, then the sharpness of the stored image."""
+    from prismlane.config import TwoPassConfig
+
+    f = Q.two_pass_frames(spark, SMALL)
+    cfg = TwoPassConfig(sec_per_image=3 * 86400.0, dedup=0.7, min_aesthetic=0.3)
+    selected, decisions = P.two_pass_keyframes(f, cfg)
+    rows = {(r["video_id"], r["frame_index"]): r for r in decisions.collect()}
+    source = f.collect()
+    assert len(rows) == len(source)
+    by = {}
+    for r in source:
+        by.setdefault(r["video_id"], []).append(r)
+    for video, mine in by.items():
+        most = max(1, int(max(r["timestamp_sec"] for r in mine) / cfg.sec_per_image))
+        kept = []
+        for r in sorted(mine, key=lambda r: (-r["aesthetic"], r["frame_index"])):
+            if rows[video, r["frame_index"]]["reason"] in (None, "dedup_or_budget", "blur_after_dedup") and len(kept) < most:
+                if all(1 - sum(a * b for a, b in zip(r["embedding"], k["embedding"])) >= cfg.dedup for k in kept):
+                    kept.append(r)
+        sharp = {r["frame_index"] for r in kept if max([*r["final_roi_sharpness"], r["final_sharpness"]]) >= cfg.min_sharpness}
+        assert {i for v, i in rows if v == video and rows[v, i]["is_representative"]} == sharp
+    assert {(r["video_id"], r["frame_index"]) for r in selected.collect()} == {k for k, r in rows.items() if r["is_representative"]}
+    assert {"text", "blur_after_dedup", "dedup_or_budget"} <= {r["reason"] for r in rows.values()}
+    none, all_ = P.two_pass_keyframes(f.limit(0), cfg)
+    assert none.count() == all_.count() == 0
+
+
+def test_speakers(spark):
+    segments = spark.createDataFrame([("c1", "v", 10.0, 20.0), ("c2", "v", 30.0, 40.0), ("c3", "w", 0.0, 5.0), ("c4", "v", 7000.0, 7300.0)], "clip_id string, video_id string, start_sec double, end_sec double")
+    seen = spark.createDataFrame([("c1", 12.0), ("c1", 12.3), ("c1", 50.0), ("c4", 7210.0)], "clip_id string, t double")
+    turns = [("v", "x", 10.0, 11.9), ("v", "y", 12.0, 12.4), ("v", "y", 12.42, 13.0), ("v", "x", 14.0, 19.0), ("v", "x", 19.5, 19.6), ("v", "y", 31.0, 32.0), ("v", "x", 33.0, 39.0), ("v", "y", 7000.0, 7100.0), ("v", "x", 7100.0, 7300.0)]
+    got = {r["clip_id"]: r for r in P.speaker_clips(segments, seen, spark.createDataFrame(turns, "video_id string, speaker string, start_sec double, end_sec double")).collect()}
+    assert (got["c1"]["speaker"], got["c1"]["gate"]) == ("y", "between(t,2.000,3.000)") and got["c1"]["score"] == pytest.approx(0.45)
+    assert (got["c2"]["speaker"], got["c2"]["score"], got["c2"]["gate"]) == ("x", 6.0, "between(t,3.000,9.000)")
+    assert got["c3"]["speaker"] is None and got["c3"]["gate"] is None
+    assert (got["c4"]["speaker"], got["c4"]["gate"]) == ("x", "between(t,100.000,300.000)")
+
+
+def test_query_photos(spark):
+    from prismlane import __main__ as M
+
+    rows = spark.createDataFrame([([float(k)],) for k in range(M.MOST_PHOTOS + 1)], "embedding array<double>")
+    assert [r["embedding"][0] for r in M.query_photos(rows.where("embedding[0] < 100"))] == [float(k) for k in range(100)]
+    with pytest.raises(SystemExit):
+        M.query_photos(rows)

@@ -33,7 +33,7 @@ from . import store
 
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST = (5, 2, 1), 3, 2, 2
 BLOCK, SHARD_SLOTS, ROUNDS, SEED = 128, 4096, 16, 20260
-SLOTS_A_TASK, ROWS_A_RANGE, COPIES, SHARES = 1 << 16, 1 << 15, 1024, 1024
+SLOTS_A_TASK, ROWS_A_RANGE, COPIES, SHARES = 1 << 16, 1 << 11, 1024, 1024
 _M = (1 << 31) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space after it; the first one also with what stands before it.

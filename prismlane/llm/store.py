@@ -1,13 +1,12 @@
-"""Tables kept between jobs in the folder that driver and executors share, and code shipped to workers."""
+"""Code shipped to workers, and the tables kept between jobs, which the library keeps in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+
+from prismlane.shared import discard, new_path, shared_dir, stash  # noqa: F401
 
 
 def by_value(name: str) -> None:
@@ -15,38 +14,6 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local test) a temporary one, set for the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="prismlane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/prismlane/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes stashed tables that no later job reads."""
-    for df in frames:
-        path = getattr(df, "_stash_path", None)
-        if path:
-            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
-
-
 def free_name(wanted: str, taken) -> str:
     """wanted, or with underscores added until no column of `taken` has that name in any case."""
     lower = {c.lower() for c in taken}

@@ -6,7 +6,8 @@ doc_id among rows with a language whose crc32(doc_id) mod 4 is not 2 (the only u
 executors. A text's DOC most frequent n-grams are held against each profile: the distance is the sum of the rank differences,
 MISSING for an n-gram that a profile lacks. The nearest language wins, ties by name. score = second / (first + second) distance,
 1.0 if only one language was learned. A null text, one without a letter, or a table without languages gives `und` and 0.0. Whole
-texts are read; each is judged alone. A null doc_id counts as the empty string for crc32. Repeated rows get equal results.
+texts are read; each is judged alone. A null doc_id counts as the empty string for crc32. Repeated rows get equal results. An
+empty table gives no rows; other columns pass through, clashing names get underscores.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ of a bucket are at last compared in blocks, where only links come out. So a grou
 link that could join two components goes unchecked. Estimates below a five-sigma margin end a pair; all others are confirmed on the full sets.
 
 Ties and repeated rows: rows with equal text share a class and get equal results. A null doc_id takes part; component_id is the
-least non-null doc_id of the component (null if it has none). kept is doc_id <=> component_id. An empty table gives no rows.
+least non-null doc_id of the component (null if it has none). kept is doc_id <=> component_id. An empty table gives no rows. Other
+columns of docs are left alone and not returned. Long texts are read whole, in slices of rows.
 """
 
 from __future__ import annotations
@@ -151,25 +152,27 @@ def components(edges: DataFrame) -> DataFrame:
     left; no node's neighbours are gathered, degrees only pass through a minimum, which is summed up before the exchange.
     """
     steps: list[DataFrame] = []
-    edges = store.stash(edges.select("a", "b"), "edges")
+    spent = [edges := store.stash(edges.select("a", "b"), "edges")]
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
         parent = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up"))
-        parent = store.stash(parent, "parents")
+        spent.append(parent := store.stash(parent, "parents"))
         for _ in range(3):
             nxt = parent.select(F.col("node").alias("up"), F.col("up").alias("up2"))
             parent = parent.join(nxt, "up", "left").select("node", F.coalesce("up2", "up").alias("up"))
-        parent = store.stash(parent, "parents")
+        spent.append(parent := store.stash(parent, "parents"))
         steps.append(parent)
         pa_, pb = (parent.select(F.col("node").alias(x), F.col("up").alias(f"u{x}")) for x in ("a", "b"))
         edges = edges.join(pa_, "a").join(pb, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        edges = store.stash(edges, "edges")
+        spent.append(edges := store.stash(edges, "edges"))
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     out = steps[0]
     for step in steps[1:]:
         out = out.join(step.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up", "left").select("node", F.coalesce("up2", "up").alias("up"))
-    return store.stash(out.select("node", F.col("up").alias("comp")), "components")
+    out = store.stash(out.select("node", F.col("up").alias("comp")), "components")
+    store.discard(*spent)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -183,34 +186,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what is known of a bucket is summed up first and stored, then joined: a plain join, whose large buckets Spark can split
     shared = store.stash(bands.groupBy("band").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).where("c > 1").select("band", "pivot"), "shared")
     members = store.stash(bands.join(shared, "band"), "members")  # only buckets of two or more
+    store.discard(shared)
+    spent = [members]  # tables that nothing reads once the components stand
 
     pairs = store.stash(_ordered(members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))), "pairs")
     tested, edges = pairs, confirm(classes, pairs, texts=docs)
     comp = components(edges)
     left = central = sets = None
+    spent += [pairs, edges]
     for turn in range(PIVOT_ROUNDS + 1):
         here = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
         if left is None:
             apart = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
-            left = store.stash(members.join(store.stash(apart.select("band"), "apart"), "band", "left_semi").select("cls").distinct(), "left")
+            spent.append(apart := store.stash(apart.select("band"), "apart"))
+            spent.append(left := store.stash(members.join(apart, "band", "left_semi").select("cls").distinct(), "left"))
             if left.isEmpty():
                 break
-            sets = sets_of(docs, classes, left)
-            central = store.stash(shared_items(sets, classes), "central")
-        here = store.stash(here.join(central, "cls"), "here")
+            spent.append(sets := sets_of(docs, classes, left))
+            spent.append(central := store.stash(shared_items(sets, classes), "central"))
+        spent.append(here := store.stash(here.join(central, "cls"), "here"))
         if turn < PIVOT_ROUNDS:
             own = F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "cls", "comp", "n", "common")).alias("p")
-            apart = store.stash(here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), own).where("lo <> hi").select("band", "p"), "apart")
+            spent.append(apart := store.stash(here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), own).where("lo <> hi").select("band", "p"), "apart"))
             pairs = here.join(apart, "band").where(f"comp <> p.comp and {_can('p', None)}").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
-            pairs = store.stash(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+            spent.append(pairs := store.stash(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs"))
             if pairs.isEmpty():
                 continue
             tested, found = tested.union(pairs), confirm(classes, pairs, sets=sets)
         else:
             found = store.stash(compare_blocks(here, classes, sets), "links")
+        spent.append(found)
         if not found.isEmpty():
             edges = edges.union(found)
+            spent.append(comp)
             comp = components(edges)
+    store.discard(*spent)
     named = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("cls", "component_id")

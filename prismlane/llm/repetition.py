@@ -4,7 +4,8 @@ Words are runs of bytes other than space and \\x09-\\x0D, case kept. For each n
 that stood in the text before are marked, and their code points divided by those of all words; so a text said twice has a share
 of one half. The base rule counts the first occurrence too. Lines are cut at \\n.
 A null or empty text has no words: all counts 0, all shares 0.0 and it fails the base rule. Whole texts are read; a text is
-judged on its own, so repeated rows get equal results and no data are exchanged. Other columns of the input pass through.
+judged on its own, so repeated rows get equal results and no data are exchanged. Other columns of the input pass through, clashing names get underscores. An
+empty table gives no rows. Memory follows the longest text; there are no ties.
 """
 
 from __future__ import annotations

@@ -132,13 +132,15 @@ def slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     s = spark.range(0, shards, 1, max(1, -(-total // SLOTS_A_TASK))).withColumnRenamed("id", "shard")
     s = s.withColumn("slot", F.explode(F.expr(f"sequence(shard * {shard_slots}, least((shard + 1) * {shard_slots}, {total}L) - 1)")))
     s = s.withColumn("tick", F.expr(f"{_round_key('slot', '0', 0)} ^ {_round_key('slot', '0', 1)}")).withColumn("range", F.expr(f"tick div {wide}"))
-    return s.join(table, "range").where("lo <= tick and tick < hi").select("shard", "slot", "sid")
+    # left joins here and below: the planner takes rows that have yet to multiply for few, and would send them out as the small side
+    fits = (s["range"] == table["range"]) & (F.col("lo") <= F.col("tick")) & (F.col("tick") < F.col("hi"))
+    return s.join(table, fits, "left").select("shard", "slot", "sid")
 
 
 def shard_counts(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(shard, source, n): the multinomial draw of each shard, before the balance of totals."""
     src = store.stash(sources(measured(docs), block=block), "sources")
-    return slots(planned(src, block), shard_slots).groupBy("shard", "sid").agg(F.count("*").alias("n")).join(src.select("sid", "source"), "sid").select("shard", "source", "n")
+    return slots(planned(src, block), shard_slots).groupBy("shard", "sid").agg(F.count("*").alias("n")).join(src.select("sid", "source"), "sid", "left").select("shard", "source", "n")
 
 
 def numbered(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -150,22 +152,22 @@ def numbered(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     near = counts.withColumn("near", F.coalesce(F.sum("m").over(before("sid", "part").orderBy("shard")), F.lit(0)))
     base = near.join(far, ["sid", "part"]).select("shard", "sid", (F.col("far") + F.col("near")).alias("base"))
     out = drawn.withColumn("k", F.row_number().over(W.partitionBy("shard", "sid").orderBy("slot")) - 1)
-    out = out.join(base, ["shard", "sid"]).select("shard", "slot", "sid", (F.col("base") + F.col("k")).alias("i"))
+    out = out.join(base, ["shard", "sid"], "left").select("shard", "slot", "sid", (F.col("base") + F.col("k")).alias("i"))
     # what a source drew beyond its draws goes, number by number, to those that drew too few
     got = plan.select("sid", "d").join(counts.groupBy("sid").agg(F.sum("m").alias("m")), "sid", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     sums = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))).over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     got = store.stash(got.withColumn("over", sums(F.col("m") - F.col("d"))).withColumn("under", sums(F.col("d") - F.col("m"))), "balance")
-    out = store.stash(out.join(got.select("sid", "d", "over"), "sid"), "numbers")
+    out = store.stash(out.join(got.select("sid", "d", "over"), "sid", "left"), "numbers")
     extra = out.where("i >= d").select("shard", "slot", (F.col("over") + F.col("i") - F.col("d")).alias("g"))
     few = got.where("m < d").withColumn("j", F.explode(F.expr("sequence(0L, d - m - 1)"))).select("sid", (F.col("m") + F.col("j")).alias("i"), (F.col("under") + F.col("j")).alias("g"))
     cols = ["shard", "slot", "sid", "i"]
-    return out.where("i < d").select(cols).unionByName(extra.join(few, "g").select(cols))
+    return out.where("i < d").select(cols).unionByName(extra.join(few.hint("merge"), "g").select(cols))
 
 
 def draws(src: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(sid, block, words, slot, shard) for each draw of a block."""
     plan = planned(src, block)
-    s = numbered(plan, shard_slots).join(plan.drop("from_", "all_", "d"), "sid").withColumn("e", F.expr("i div n")).withColumn("k", F.expr("i % n"))
+    s = numbered(plan, shard_slots).join(plan.drop("from_", "all_", "d"), "sid", "left").withColumn("e", F.expr("i div n")).withColumn("k", F.expr("i % n"))
     s = shuffled(s, "k", "e", "block")
     size = F.when(F.col("block") == F.col("n") - 1, F.col("tail")).otherwise(block)
     before = F.col("k") * block - F.when(F.col("short_at") < F.col("k"), block - F.col("tail")).otherwise(0)
@@ -182,12 +184,12 @@ def packed(sized: DataFrame, src: DataFrame) -> DataFrame:
     while most > ROWS_A_RANGE * 16**digits:
         digits += 1
     d = sized.where("size > 0").withColumn("range", F.substring("mark", 1, digits)).withColumn("words", F.col("size") * F.col("copies"))
-    d = d.join(names, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    d = d.join(names, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     prior = W.partitionBy("sid").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = d.groupBy("sid", "range").agg(F.sum("words").alias("s"))
     sums = sums.select("sid", "range", F.coalesce(F.sum("s").over(prior), F.lit(0)).alias("base"))
     within = W.partitionBy("sid", "range").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("at", F.coalesce(F.sum("words").over(within), F.lit(0))).join(sums, ["sid", "range"])
+    d = d.withColumn("at", F.coalesce(F.sum("words").over(within), F.lit(0))).join(sums, ["sid", "range"], "left")
     return d.withColumn("at", F.col("at") + F.col("base")).drop("base", "range", "words")
 
 
@@ -224,8 +226,8 @@ def usage(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     taken = part.groupBy("sid", "at", "copy", "doc_id", "size").agg(F.sum(took).cast("long").alias("taken"))
     named = src.select("sid", "source", F.col("size").alias("source_size"), "target")
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    some = taken.join(named, "sid").select(cols)
-    none = copied(sized.where("size = 0")).alias("z").join(named.alias("m"), F.expr("z.source <=> m.source")).select("z.doc_id", "z.source", "z.size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    some = taken.join(named, "sid", "left").select(cols)
+    none = copied(sized.where("size = 0")).alias("z").join(named.alias("m"), F.expr("z.source <=> m.source"), "left").select("z.doc_id", "z.source", "z.size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none)
 
 

@@ -106,7 +106,7 @@ def face_clusters(faces: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> tup
     good = good.join(size, ["scope", "cluster_id"])
     mean = V.vector_mean(good, ["scope", "cluster_id"], "embedding").withColumn("centroid", V.normalised(F.col("centroid")))
     near = good.join(mean, ["scope", "cluster_id"]).withColumn("sim", V.dot(F.col("embedding"), F.col("centroid")))
-    best = near.groupBy("scope", "cluster_id", "size").agg(F.max_by("face_id", F.struct("sim", -F.col("t"))).alias("representative"))
+    best = near.groupBy("scope", "cluster_id", "size").agg(F.max_by("face_id", F.struct(F.round("sim", 9), -F.col("t"))).alias("representative"))
     clusters = O.ranked(best, ["scope"], [F.desc("size"), "cluster_id"]).withColumn("name", F.format_string("face%d", "rank"))
     times = good.withColumn("key", F.concat_ws(":", "scope", "cluster_id", "video_id"))
     segments = O.build_segments(times.select("key", "t"), "key", "t", cfg.pre, cfg.post, cfg.merge_gap, cfg.min_dur)

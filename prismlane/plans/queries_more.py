@@ -10,6 +10,7 @@ from prismlane.functions import naming as N
 from prismlane.functions import scores as S
 from prismlane.functions import vectors as V
 from prismlane.operators import ordered as O
+from prismlane.plans import pipeline_sql
 from prismlane.plans import pipelines as P
 from prismlane.plans.queries_scores import _tech
 from prismlane.sources import files
@@ -165,7 +166,8 @@ def person_clips_pipeline(spark, d):
     faces = _detections(spark, d)
     photos = [list(map(float, r["embedding"])) for r in load(spark, d, "embeddings").where("vec_id < 2").orderBy("vec_id").collect()]
     samples = faces.select("video_id", "frame_index", F.col("t").alias("timestamp_sec"), F.lit(30 * DAY).alias("duration_sec"))
-    return P.person_clips(faces, samples, photos, PersonConfig(match=0.05, consecutive=1, every_photo=False, join_gap=DAY, pre=600.0, post=600.0, min_sharpness=20.0, least_ratio=0.3))
+    clips = P.person_clips(faces, samples, photos, PersonConfig(match=0.05, consecutive=1, every_photo=False, join_gap=DAY, pre=600.0, post=600.0, min_sharpness=20.0, least_ratio=0.3))
+    return clips.withColumn("best_sim", F.round("best_sim", 6))
 
 
 def score_images_pipeline(spark, d):
@@ -196,3 +198,4 @@ SQL = {
  when clip is null or nima is null or piq is null then false else clip >= 5 and nima >= 5 and piq >= 65e-2 and coalesce(brisque <= 40, false) end, false) selected from s)
  select image, round(o, 6) overall_rating, selected, case when selected then 'out' else 'reject' end || row_number() over (partition by selected order by image) || '.JPG' file, replace(lower(image), '.', '_') slug from k""",
 }
+SQL |= pipeline_sql.SQL

@@ -77,8 +77,8 @@ def _replayed(spark, df, build, name: str, runs: int = 1):
 
 def streamed_streaks(spark, d):
     """The streak operator as a stream with state per video."""
-    f = frames(spark, d, vectors=False).select("video_id", "frame_index", (F.col("aesthetic") >= 0.5).alias("matched"))
-    return _replayed(spark, f, lambda s: T.hit_streaks(s, "video_id", "frame_index", "matched", 2, "video_id long, frame_index int"), "streaks")
+    f = frames(spark, d, vectors=False).select("video_id", "frame_index", F.timestamp_seconds("timestamp_sec").alias("at"), (F.col("aesthetic") >= 0.5).alias("matched"))
+    return _replayed(spark, f, lambda s: T.hit_streaks(s.withWatermark("at", "1 hour"), "video_id", "frame_index", "matched", 2, "video_id long, frame_index int", event_time="at"), "streaks")
 
 
 def streamed_dedup(spark, d):

@@ -27,11 +27,22 @@ def sessions(stream: DataFrame, key: str, ts: str, sim: str, gap: str, late: str
     return s.select(key, F.col("s.start").alias("start_ts"), F.col("s.end").alias("end_ts"), "hits", "best_sim")
 
 
+def _timeout(event_time: str | None) -> str:
+    return GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+
+
+def _expire(state: GroupState, rows: pd.DataFrame, event_time: str | None, after: float) -> None:
+    """The state of a key goes when the watermark is `after` seconds beyond the key's last row."""
+    if event_time:
+        last = int((rows[event_time].max().timestamp() + after) * 1000) + 1
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+
+
 def lately_unseen(stream: DataFrame, key: str, ts: str, vec: str, ids: str, window: float, least: float, schema: str, event_time: str | None = None) -> DataFrame:
     """Rows without a kept one of their key within `window` seconds whose vector is alike; state holds only that window.
 
     With an event_time (a column of the stream that has a watermark) a key's state goes once the watermark is a window beyond its
-    last row. Without one it goes when the key has had no row for a window of processing time, which can forget what late rows need.
+    last row. Without one it stays: there is no time by which it could be dropped.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,18 +61,15 @@ def lately_unseen(stream: DataFrame, key: str, ts: str, vec: str, ids: str, wind
                 vectors.append([float(x) for x in v])
                 out.append((k[0], i))
         state.update((times, vectors))
-        if event_time:
-            last = int(rows[event_time].max().timestamp() * 1000 + window * 1000) + 1
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.setTimeoutDuration(max(1, int(window * 1000)))
+        _expire(state, rows, event_time, window)
         yield pd.DataFrame(out, columns=[key, ids])
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "times array<double>, vectors array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "times array<double>, vectors array<array<double>>", "append", _timeout(event_time))
 
 
-def hit_streaks(stream: DataFrame, key: str, index: str, match: str, n: int, schema: str, idle_ms: int = 7 * 86400000) -> DataFrame:
-    """Matches from the n-th of a run on; the run's length is the state, gone after idle_ms without a row of the key."""
+def hit_streaks(stream: DataFrame, key: str, index: str, match: str, n: int, schema: str, event_time: str | None = None, idle: float = 7 * 86400.0) -> DataFrame:
+    """Matches from the n-th of a run on; the run's length is the state. With an event_time (a column that has a watermark) it goes
+    once the watermark is `idle` seconds beyond the key's last row."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,15 +77,16 @@ def hit_streaks(stream: DataFrame, key: str, index: str, match: str, n: int, sch
             return
         run = state.get[0] if state.exists else 0
         out = []
-        for i, m in pd.concat(list(batches)).sort_values(index)[[index, match]].itertuples(index=False, name=None):
+        rows = pd.concat(list(batches))
+        for i, m in rows.sort_values(index)[[index, match]].itertuples(index=False, name=None):
             run = run + 1 if m else 0
             if run >= n:
                 out.append((k[0], i))
         state.update((run,))
-        state.setTimeoutDuration(idle_ms)
+        _expire(state, rows, event_time, idle)
         yield pd.DataFrame(out, columns=[key, index])
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "run long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "run long", "append", _timeout(event_time))
 
 
 def chunk_batches(stream: DataFrame, process, checkpoint: str):

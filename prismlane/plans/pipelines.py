@@ -12,6 +12,7 @@ from prismlane.functions import vectors as V
 from prismlane.operators import folds as D
 from prismlane.operators import joins as J
 from prismlane.operators import ordered as O
+from prismlane.shared import stash
 from prismlane.sources import sinks as K
 
 
@@ -40,10 +41,11 @@ def keyframes(frames: DataFrame, cfg: KeyframeConfig = KeyframeConfig()) -> tupl
     out = f.join(marks, ["video_id", "frame_index"], "left")
     why = F.when(F.col("reason") != "kept", F.col("reason")).when(F.col("first").isNull(), "max_frames").when(F.col("first") != "kept", F.col("first")).when(~F.col("kept"), "final_dedup")
     decisions = out.withColumn("reason", why).withColumn("status", F.when(F.col("reason").isNull(), "selected").otherwise("rejected"))
+    keep = ["video_id", "frame_index", "timestamp_sec", "aesthetic", "nima", "piq", "overall"]
+    decisions = stash(decisions.select(*keep, "status", "reason"), "decisions")  # both outputs read it; the folds run once
     selected = O.ranked(decisions.where("status = 'selected'"), ["video_id"], ["timestamp_sec", "frame_index"])
     name = F.format_string("out%d_t%.2f_clip-%s.jpg", "rank", "timestamp_sec", S.text_number(F.col("aesthetic")))
-    keep = ["video_id", "frame_index", "timestamp_sec", "aesthetic", "nima", "piq", "overall"]
-    return selected.select(*keep, "rank", name.alias("file")), decisions.select(*keep, "status", "reason")
+    return selected.select(*keep, "rank", name.alias("file")), decisions
 
 
 def two_pass_keyframes(frames: DataFrame, cfg: TwoPassConfig = TwoPassConfig()) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +66,9 @@ def two_pass_keyframes(frames: DataFrame, cfg: TwoPassConfig = TwoPassConfig())
     why = F.when(F.col("gate_").isNotNull(), F.col("gate_")).when(F.col("kept_").isNull(), "dedup_or_budget").when(~sharp, "blur_after_dedup")
     decisions = out.withColumn("reason", why).withColumn("is_representative", F.col("reason").isNull())
     keep = ["video_id", "frame_index", "timestamp_sec", "aesthetic"]
+    decisions = stash(decisions.select(*keep, "is_representative", "reason"), "decisions")
     selected = O.ranked(decisions.where("is_representative"), ["video_id"], ["timestamp_sec", "frame_index"])
-    return selected.select(*keep, "rank", N.frame_file(F.col("frame_index"), F.col("timestamp_sec")).alias("file")), decisions.select(*keep, "is_representative", "reason")
+    return selected.select(*keep, "rank", N.frame_file(F.col("frame_index"), F.col("timestamp_sec")).alias("file")), decisions
 
 
 def speaker_clips(segments: DataFrame, seen: DataFrame, turns: DataFrame, cfg: SpeakerConfig = SpeakerConfig()) -> DataFrame:
@@ -96,7 +99,11 @@ def speaker_clips(segments: DataFrame, seen: DataFrame, turns: DataFrame, cfg: S
 
 
 def face_clusters(faces: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> tuple[DataFrame, DataFrame]:
-    """(clusters, segments) from detections: video_id, face_id, t, area_ratio, sharpness, face_hash, embedding, duration_sec."""
+    """(clusters, segments) from detections: video_id, face_id, t, area_ratio, sharpness, face_hash, embedding, duration_sec.
+
+    Clusters of the whole corpus (per_video=False) are one sequence, as the rule asks: each face meets the centroids so far. Only
+    faces that pass the filters and the window of their video enter it, in one task.
+    """
     good = faces.where((F.col("area_ratio") >= cfg.min_area) & (F.col("sharpness") >= cfg.min_sharpness) & V.finite(F.col("embedding")))
     kept = D.windowed_dedup(good, "video_id", "t", "face_hash", "embedding", "face_id", cfg.dedup_window, cfg.dedup_bits, cfg.dedup_least, cfg.dedup_method)
     good = good.join(kept, ["video_id", "face_id"], "left_semi").withColumn("scope", F.col("video_id").cast("string") if cfg.per_video else F.lit("all"))

@@ -247,9 +247,11 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     part = part.groupBy("key", "copy", "doc_id", "source").agg(F.collect_list("p").alias("ps"))
     mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))))
     texts = docs.where(n_words("text") > 0).withColumn("mark", mark).select(_key("mark", "source").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    out = part.join(texts.hint("merge"), "key").withColumn("ws", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))
-    cut = F.transform("ps", lambda p: F.struct(p["shard"].alias("shard"), p["slot"].alias("slot"), p["first"].alias("first"), p["skip"].alias("skip"), p["n"].alias("n"), F.array_join(F.slice("ws", (p["skip"] + 1).cast("int"), p["n"].cast("int")), "").alias("text")))
-    out = out.select("source", "doc_id", F.explode(cut).alias("p"))
+    out = part.join(texts.hint("merge"), "key")
+    piece = lambda ws, p: F.struct(*[p[c].alias(c) for c in ("shard", "slot", "first", "skip", "n")], F.array_join(F.slice(ws, (p["skip"] + 1).cast("int"), p["n"].cast("int")), "").alias("text"))
+    # the words are an argument of the outer lambda, so they are made once for a text; a column would be moved into the inner one
+    cut = F.transform(F.array(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))), lambda ws: F.transform("ps", lambda p: piece(ws, p)))
+    out = out.select("source", "doc_id", F.explode(F.flatten(cut)).alias("p"))
     return out.select("p.shard", "p.slot", "p.first", "source", "doc_id", F.col("p.skip").alias("first_word"), F.col("p.n").alias("n_words"), "p.text")
 
 

@@ -70,11 +70,12 @@ def test_mixed_text_is_the_source_text(spark, docs, rows):
     more = spark.createDataFrame([(20, "  lead\n\n two\tthree  \r\n" + "four  five\n" * 40 + " end \n ", "zz"), (None, "a  b", "zz"), (None, "a  b", "zz"), (20, "other\ttext", "zz")], "doc_id long, text string, source string")
     wide = docs.select("doc_id", "text", "source").unionByName(more).withColumn("mark", F.lit(1)).withColumn("copies", F.lit("x"))
     texts = [(r["doc_id"], r["source"], r["text"]) for r in wide.collect()]
+    words = {t: brute.words(t) for _, _, t in texts}
     out = mixing.mixed(wide, block=16).collect()
     by = {}
     for r in out:
         mine = [t for d, s, t in texts if (d, s) == (r["doc_id"], r["source"]) and r["text"] in (t or "")]
-        assert mine and brute.words(r["text"]) == brute.words(mine[0])[r["first_word"] : r["first_word"] + r["n_words"]]
+        assert mine and brute.words(r["text"]) == words[mine[0]][r["first_word"] : r["first_word"] + r["n_words"]]
         by.setdefault((r["doc_id"], r["source"]), {})[r["first_word"]] = r["text"]
     assert "".join(v for _, v in sorted(by[5, "a"].items())) == brute_text(rows, 5)
     whole = [k for k, v in by.items() if "".join(x for _, x in sorted(v.items())) in [t for d, s, t in texts if (d, s) == k]]

@@ -140,4 +140,6 @@ def decision(c: dict[str, Column], require_face: bool = True, faceless: bool = T
 
 
 def text_number(c: Column, digits: int = 2, missing: str = "NA") -> Column:
-    return F.when(c.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", c))
+    """c with a fixed number of decimals. Its shortest decimal counts to 12 places, halves go away from zero: a sum that misses an exact half by a last bit prints as the half. What no decimal holds (NaN, infinity) prints as it is."""
+    exact = F.round(c.cast("double").try_cast("decimal(38,12)"), digits)
+    return F.when(c.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", F.coalesce(exact.cast("double"), c.cast("double"))))

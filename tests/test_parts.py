@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismlane.functions import pixels as P
+from prismlane.functions import scores as S
 from prismlane.functions.scorers import ScorerRegistry, linear_head
 from prismlane.operators import joins as J
 from prismlane.operators import ordered as O
@@ -249,3 +250,18 @@ def test_near_hashes(spark):
     h, q = spark.createDataFrame(rows, "i int, h long"), spark.createDataFrame(list(enumerate(base)), "j int, q long")
     want = {(i, j) for i, x in rows for j, y in enumerate(base) if (x ^ y).bit_count() <= 7}
     assert {(r["i"], r["j"]) for r in J.near_hashes(h, q, "h", "q", 7).collect()} == want
+
+
+def test_decision_lines_round_as_sql(spark, duck):
+    """A product that misses a half by its last bits prints as the half, as in the SQL; NaN, huge and missing numbers print too."""
+    from prismlane.plans.queries_tables import _n
+
+    rows = [(c, n, p, (c + n) * p) for c, n, p in ((3.2, 4.3, 0.71), (5.27, 4.2, 0.5), (6.75, 4.5, 0.7), (4.0, 4.5, 0.69), (3.0, 4.0, 0.125), (-3.0, -4.0, 0.125), (-0.001, 0.0, 1.0), (1.0, 1.0, 1e-9))]
+    df = spark.createDataFrame(rows, "clip double, nima double, piq double, overall double")
+    lines = sinks.decision_lines(df.select(F.lit("selected").alias("status"), F.lit("v").alias("video"), F.lit(1).alias("frame"), F.lit(None).cast("double").alias("ts"), "*", F.lit(None).cast("string").alias("reason")))
+    got = [dict(x.split("=") for x in r["value"].split("\t")[2:]) for r in lines.collect()]
+    want = duck.sql(f"select {', '.join(_n.format(c, 2, 'NA') for c in ('clip', 'nima', 'piq', 'overall'))} from (values {', '.join('(' + ', '.join(f'{x!r}::double' for x in r) + ')' for r in rows)}) t(clip, nima, piq, overall)").fetchall()
+    assert [tuple(g[c] for c in ("clip", "nima", "piq", "overall")) for g in got] == want
+    assert got[0] == {"frame": "1", "ts": "NA", "clip": "3.20", "nima": "4.30", "piq": "0.71", "overall": "5.33", "reason": "NA"}
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e30,), (None,)], "x double").select(S.text_number(F.col("x"), 1))
+    assert [r[0] for r in odd.collect()] == ["NaN", "Infinity", "1" + "0" * 30 + ".0", "NA"]

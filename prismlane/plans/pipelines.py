@@ -44,7 +44,7 @@ def keyframes(frames: DataFrame, cfg: KeyframeConfig = KeyframeConfig()) -> tupl
     keep = ["video_id", "frame_index", "timestamp_sec", "aesthetic", "nima", "piq", "overall"]
     decisions = stash(decisions.select(*keep, "status", "reason"), "decisions")  # both outputs read it; the folds run once
     selected = O.ranked(decisions.where("status = 'selected'"), ["video_id"], ["timestamp_sec", "frame_index"])
-    name = F.format_string("out%d_t%.2f_clip-%s.jpg", "rank", "timestamp_sec", S.text_number(F.col("aesthetic")))
+    name = F.format_string("out%d_t%s_clip-%s.jpg", "rank", S.text_number(F.col("timestamp_sec")), S.text_number(F.col("aesthetic")))
     return selected.select(*keep, "rank", name.alias("file")), decisions
 
 

@@ -1,8 +1,8 @@
 """Order-dependent selections as NumPy folds over one video (or scope) at a time.
 
 The group is one video, which bounds it; rows come in the order given, with a total tiebreak. All arithmetic is in doubles. A
-fold never sees two videos, so videos spread over tasks. Where the rows of all videos form one sequence (global_dedup) the input is
-the survivors of the folds before it.
+fold never sees two videos, so videos spread over tasks. Where the rows of all videos form one sequence (global_dedup)
+operators.registry gives the rows of with_replacement without a group.
 """
 
 from __future__ import annotations
@@ -222,15 +222,15 @@ def smoothed(values: list[float], alpha: float = 0.35) -> list[float]:
 # ---- the folds on DataFrames
 
 
-def greedy_dedup(df: DataFrame, key: str, vec: str, order: list[tuple[str, bool]], threshold: float, ids: str, budget: str | None = None) -> DataFrame:
-    """The rows kept by keep_first; with `budget` at most that many (a column constant in the group)."""
-    kind = df.schema[ids].dataType.simpleString()
+def greedy_dedup(df: DataFrame, key: str, vec: str, order: list[tuple[str, bool]], threshold: float, ids: str, budget: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows kept by keep_first, with the columns `carry`; with `budget` at most that many (a column constant in the group)."""
+    cols = list(dict.fromkeys([key, ids, *carry]))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         most = int(pdf[budget].iloc[0]) if budget else None
-        return pdf.iloc[keep_first(_vectors(pdf, vec), threshold, most)][[key, ids]]
+        return pdf.iloc[keep_first(_vectors(pdf, vec), threshold, most)][cols]
 
-    return apply_fold(df.select(*dict.fromkeys([key, ids, vec, *(c for c, _ in order), *([budget] if budget else [])])), [key], order, fold, f"{key} {df.schema[key].dataType.simpleString()}, {ids} {kind}")
+    return apply_fold(df.select(*dict.fromkeys([*cols, vec, *(c for c, _ in order), *([budget] if budget else [])])), [key], order, fold, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols))
 
 
 def dedup_with_replacement(df: DataFrame, key: str, vec: str, order: list[tuple[str, bool]], smile: str, quality: str, threshold: float, ids: str) -> DataFrame:

@@ -8,6 +8,7 @@ from prismlane.functions import vectors as V
 from prismlane.operators import folds as D
 from prismlane.operators import mis as M
 from prismlane.operators import ordered as O
+from prismlane.operators import registry as R
 from prismlane.sources.tables import BOXES_SQL, FRAMES_SQL, boxes, frames, load
 
 DAY, DEDUP, REPLACE, GROUP, CLUSTER = 86400.0, 0.7, 0.72, 0.9, 0.30
@@ -46,16 +47,11 @@ def final_dedup_chunks(spark, d):
     return D.final_dedup(f, "video_id", "chunk_id", "embedding", [("frame_index", True)], "has_smile", "tech_score", REPLACE, "frame_index")
 
 
-def _registry(f, kept):
-    f = f.join(kept, ["video_id", "frame_index"])
-    f = f.withColumn("scope", F.lit(0)).withColumn("frame_id", F.col("video_id") * 1000000 + F.col("frame_index"))
-    return D.dedup_with_replacement(f, "scope", "embedding", [("video_id", True), ("timestamp_sec", True), ("frame_index", True)], "has_smile", "aesthetic", REPLACE, "frame_id").select("frame_id", "status")
-
-
 def global_dedup(spark, d):
-    """One registry over all survivors of the per-video pass over all frames; a single group by nature, so only survivors enter it."""
-    f = frames(spark, d)
-    return _registry(f, D.greedy_dedup(f, "video_id", "embedding", BEST_FIRST, DEDUP, "frame_index"))
+    """One registry over all survivors of the per-video pass over all frames, in rounds and without a group; the pass hands on what the registry reads."""
+    f = D.greedy_dedup(frames(spark, d), "video_id", "embedding", BEST_FIRST, DEDUP, "frame_index", carry=("timestamp_sec", "aesthetic", "has_smile", "embedding"))
+    f = f.withColumn("frame_id", F.col("video_id") * 1000000 + F.col("frame_index"))
+    return R.one_registry(f, "embedding", [("video_id", True), ("timestamp_sec", True), ("frame_index", True)], "has_smile", "aesthetic", REPLACE, "frame_id")
 
 
 def threshold_groups(spark, d):

@@ -140,6 +140,9 @@ def decision(c: dict[str, Column], require_face: bool = True, faceless: bool = T
 
 
 def text_number(c: Column, digits: int = 2, missing: str = "NA") -> Column:
-    """c with a fixed number of decimals. Its shortest decimal counts to 12 places, halves go away from zero: a sum that misses an exact half by a last bit prints as the half. What no decimal holds (NaN, infinity) prints as it is."""
-    exact = F.round(c.cast("double").try_cast("decimal(38,12)"), digits)
-    return F.when(c.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", F.coalesce(exact.cast("double"), c.cast("double"))))
+    """c with a fixed number of decimals. Its shortest decimal counts to 12 places, halves go away from zero: a sum that misses an exact half by a last bit prints as the half. From 1e12 to 2^63, where that decimal may lack digits, the exact value counts. What no decimal holds (NaN, infinity) prints as it is."""
+    x = c.cast("double")
+    whole = x.try_cast("long")
+    large = F.when(F.abs(x) >= 1e12, whole.cast("decimal(20,0)") + (x - whole).cast("decimal(13,12)"))  # both parts are short, hence exact
+    exact = F.round(F.coalesce(large, x.try_cast("decimal(38,12)")), digits)
+    return F.when(c.isNull(), missing).otherwise(F.coalesce(exact.cast("string"), F.format_string(f"%.{digits}f", x)))

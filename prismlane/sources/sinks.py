@@ -36,8 +36,10 @@ def write_csv(df: DataFrame, path: str, digits: dict[str, int]) -> None:
 
 
 def decision_lines(df: DataFrame) -> DataFrame:
-    """One tab-separated line a decision: status, video, frame, time, scores (NA where missing), reason."""
-    return df.select(F.concat_ws("\t", "status", "video", F.concat(F.lit("frame="), F.col("frame")), F.concat(F.lit("ts="), text_number(F.col("ts"))), *[F.concat(F.lit(f"{c}="), text_number(F.col(c))) for c in ("clip", "nima", "piq", "overall")], F.concat(F.lit("reason="), F.coalesce("reason", F.lit("NA")))).alias("value"))
+    """One tab-separated line a decision: status, video, frame, time, scores (NA where missing), reason. Without a status, video or frame the line is null; fields never move up."""
+    numbers = [F.concat(F.lit(f"{c}="), text_number(F.col(c))) for c in ("ts", "clip", "nima", "piq", "overall")]
+    fields = ["status", "video", F.concat(F.lit("frame="), F.col("frame")), *numbers, F.concat(F.lit("reason="), F.coalesce("reason", F.lit("NA")))]
+    return df.select(F.concat(*[x for f in fields for x in (F.lit("\t"), f)][1:]).alias("value"))
 
 
 def markdown(df: DataFrame, name: str, scores: list[str]) -> DataFrame:

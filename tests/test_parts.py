@@ -265,3 +265,23 @@ def test_decision_lines_round_as_sql(spark, duck):
     assert got[0] == {"frame": "1", "ts": "NA", "clip": "3.20", "nima": "4.30", "piq": "0.71", "overall": "5.33", "reason": "NA"}
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e30,), (None,)], "x double").select(S.text_number(F.col("x"), 1))
     assert [r[0] for r in odd.collect()] == ["NaN", "Infinity", "1" + "0" * 30 + ".0", "NA"]
+
+
+def test_decision_lines_of_odd_ids(spark, tmp_path):
+    """A document without an id gives a null line, no line with fewer fields; times of ids beyond 2^51 print all their digits, as in the SQL."""
+    import duckdb
+
+    from prismlane.plans import catalogue
+
+    ids = [None, 0, 7, *[s * (2**k + i) for k in (41, 43, 50, 51, 52, 53, 54, 55, 60, 62) for i in range(8) for s in (1, -1)], 2**63 - 1, -(2**63)]
+    con = duckdb.connect()
+    for name, df in (
+        ("documents", spark.createDataFrame([(x, 14 * i if i % 5 else None) for i, x in enumerate(ids)], "doc_id long, n_chars long")),
+        ("labels", spark.createDataFrame([(x, 1 if i % 3 else None) for i, x in enumerate(ids) if i % 2], "doc_id long, quality int")),
+    ):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [r["value"] for r in catalogue.QUERIES["decision_lines"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted((r[0] for r in con.sql(catalogue.ORACLE_SQL["decision_lines"]).fetchall()), key=repr)
+    assert got.count(None) == 1
+    assert all(len(x.split("\t")) == 9 for x in got if x is not None)
